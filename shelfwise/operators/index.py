@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfwise.functions.text import _words, tokenise
 
 
 def inverted_index(df: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
     """(term, key, column): one row per document, column and distinct term. No shuffle."""
-    parts = [F.transform(F.array_distinct(tokenise(F.col(c))), lambda t, c=c: F.struct(
-        t.alias("term"), F.lit(c).alias("column"))) for c in columns]
+    def tagged(name: str) -> Column:
+        return F.transform(F.array_distinct(tokenise(F.col(name))),
+                           lambda t: F.struct(t.alias("term"), F.lit(name).alias("column")))
+
+    parts = [tagged(c) for c in columns]
     return df.select(key, F.explode(F.concat(*parts)).alias("_t")).select("_t.term", key, "_t.column")
 
 

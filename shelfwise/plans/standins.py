@@ -218,7 +218,7 @@ FROM {part}
 
 
 def _names(text: str) -> list[str]:
-    return re.findall(r"\{(\w+)\}", text)
+    return re.findall(r"(?<!\\p)\{(\w+)\}", text)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -243,7 +243,7 @@ def with_views(sql: str) -> str:
     for name in _names(sql):
         visit(name)
     def plain(text: str) -> str:
-        return re.sub(r"\{(\w+)\}", r"\1", text)
+        return re.sub(r"(?<!\\p)\{(\w+)\}", r"\1", text)
     ctes = ",\n".join(f"{n} AS ({plain(VIEWS[n]).strip()})" for n in order)
     body = plain(sql).strip()
     if not ctes:
