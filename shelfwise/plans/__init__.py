@@ -9,4 +9,4 @@ def all_registries():
     return [importlib.import_module(f"shelfwise.plans.{area}").registry for area in AREAS]
 
 
-AREAS = ("mirror", "catalogue")
+AREAS = ("mirror", "catalogue", "cellar", "streams")

@@ -31,7 +31,7 @@ SHELF = "availability_rank <= 1 AND NOT is_discontinued"
 @add("common_filters", """
 SELECT product_id, price FROM {product} p WHERE availability_rank <= 2 AND NOT is_discontinued
   AND (cat1 = 'A' OR cat2 = 'A') AND country = 'NATION_3' AND price >= 905 AND price <= 1050
-  AND EXISTS (SELECT 1 FROM {store_product} s WHERE s.product_id = p.product_id AND s.site_id % 10 = 3 AND s.site_id = 3)
+  AND EXISTS (SELECT 1 FROM {store_product} s WHERE s.product_id = p.product_id AND s.site_id = 3)
 """)
 def common_filters(t: Source) -> DataFrame:
     return filters.common_filters(t.product, 2, "A", "NATION_3", 905.0, 1050.0, 3, t.store_product).select("product_id", "price")
