@@ -17,6 +17,7 @@ from shelfwise import spec
 from shelfwise.functions import cellar as rules
 from shelfwise.functions.strings import strip
 from shelfwise.operators.running import numbered, previous_value, running_sum
+from shelfwise.sources.scratch import staged
 
 KEYS = ["cellar_id", "wine_id"]
 # Commands per block when a wine's commands are numbered or summed in parallel.
@@ -98,8 +99,7 @@ def resolve_adds(adds: DataFrame, products: DataFrame, grapes: DataFrame) -> Dat
     by_number = adds.filter(F.col("product_id").isNull() & F.col("product_number").isNotNull()).join(
         first, F.col("product_number") == F.col("m_product_number"), "left")
     by_name = adds.filter(F.col("product_id").isNull() & F.col("product_number").isNull())
-    for field in mirror.schema:
-        by_name = by_name.withColumn(field.name, F.lit(None).cast(field.dataType))
+    by_name = by_name.select(*adds.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in mirror.schema])
     found = by_id.unionByName(by_number).unionByName(by_name)
 
     listed = F.col("m_vintage").cast("int")
@@ -169,6 +169,7 @@ def top_up(resolved: DataFrame, wines: DataFrame, racked: DataFrame, today: date
     unless the command says where the new bottles went. ``racked`` has the
     cellar_ids with a rack.
     """
+    resolved = staged(resolved, "adds-resolved")
     good = resolved.filter(F.col("reason").isNull())
     has_rack = racked.select(F.col("cellar_id").alias("_racked")).distinct()
     held = (wines.filter(F.col("product_id").isNotNull())
@@ -181,18 +182,20 @@ def top_up(resolved: DataFrame, wines: DataFrame, racked: DataFrame, today: date
         has_rack, F.col("cellar_id") == F.col("_racked"), "left")
     homeless = (F.col("_held").isNotNull() & F.col("_racked").isNotNull() & ~given("location")
                 & (F.size(rules.slots_in(F.col("_held.location"))) > 0))
-    listed = listed.withColumn("reason", F.when(homeless, F.lit("needs a slot for each bottle")))
+    # Looked up once; the new state, the events and the rejects all read this.
+    listed = staged(listed.withColumn("reason", F.when(homeless, F.lit("needs a slot for each bottle")))
+                    .select(*resolved.columns, F.col("_held.wine_id").alias("_old")), "adds-listed")
     rejects = resolved.filter(F.col("reason").isNotNull()).select("cellar_id", "seq", "reason").unionByName(
         listed.filter(F.col("reason").isNotNull()).select("cellar_id", "seq", "reason"))
-    accepted = listed.filter(F.col("reason").isNull()).withColumn("_old", F.col("_held.wine_id"))
+    accepted = listed.filter(F.col("reason").isNull())
 
     row_fields = [f for f in wines.columns if f in resolved.columns and f not in ("cellar_id", "quantity")]
     overlay = [F.max_by(F.struct(value_of(f, k).alias("v")), F.when(given(f), F.col("seq"))).alias(f"o_{f}")
                for f, k in spec.WINE_FIELDS.items()]
     group = ["cellar_id", "product_id", "vintage"]
-    grouped = accepted.groupBy(*group).agg(
+    grouped = staged(accepted.groupBy(*group).agg(
         F.sum("quantity").cast("int").alias("_added"), F.min("_old").alias("_old"), F.min("seq").alias("_seq"),
-        F.min_by(F.struct(*row_fields), "seq").alias("_first"), *overlay)
+        F.min_by(F.struct(*row_fields), "seq").alias("_first"), *overlay), "adds-grouped")
 
     def overlaid(field: str, base: Column) -> Column:
         if field not in spec.WINE_FIELDS or field == "vintage":
@@ -240,8 +243,8 @@ def top_up(resolved: DataFrame, wines: DataFrame, racked: DataFrame, today: date
     new = numbered(fresh.unionByName(named).withColumn("_block", block_of("_seq")),
                    ["cellar_id"], "_block", ["_seq"], "_nth")
     highest = wines.groupBy(F.col("cellar_id").alias("x_cellar")).agg(F.max("wine_id").alias("_max"))
-    new = new.join(highest, F.col("cellar_id") == F.col("x_cellar"), "left").withColumn(
-        "_id", F.coalesce("_max", F.lit(0)) + F.col("_nth"))
+    new = staged(new.join(highest, F.col("cellar_id") == F.col("x_cellar"), "left").withColumn(
+        "_id", F.coalesce("_max", F.lit(0)) + F.col("_nth")), "adds-new")
     added = state(new, "first", F.col("_id"), F.col("_added"))
 
     untouched = wines.join(topped.select(*KEYS), KEYS, "left_anti")
@@ -300,7 +303,7 @@ def apply_patch(patches: DataFrame, wines: DataFrame, racked: DataFrame, today:
          & (quantity != F.col("_was")) & (F.size(rules.slots_in(F.col("_location"))) > 0)),
         *field_problems(),
     ])
-    judged = before.withColumn("reason", reason)
+    judged = staged(before.withColumn("reason", reason).select(*patches.columns, "_was", "_vintage", "reason"), "patches-judged")
     rejects = judged.filter(F.col("reason").isNotNull()).select(*KEYS, "seq", "reason")
     good = judged.filter(F.col("reason").isNull())
 
@@ -309,6 +312,7 @@ def apply_patch(patches: DataFrame, wines: DataFrame, racked: DataFrame, today:
         *[F.max_by(F.struct(value_of(f, k).alias("v")), F.when(given(f), F.col("seq"))).alias(f"o_{f}")
           for f, k in fields.items()],
         F.max(given("vintage") & ~value_of("vintage", "int").eqNullSafe(F.col("_vintage"))).alias("_moved"))
+    merged = staged(merged, "patches-merged")
     joined = merged.join(old, (F.col("cellar_id") == F.col("w_cellar")) & (F.col("wine_id") == F.col("w_id"))).join(
         has_rack, F.col("cellar_id") == F.col("_racked"), "left")
     copied = ("sb_taste", *spec.CLOCKS)
@@ -388,7 +392,8 @@ def _decide_plain(commands: DataFrame) -> DataFrame:
     commands can still be accepted, and folding those is bounded per wine.
     """
     fitting = commands.filter(F.col("quantity") <= F.col("balance"))
-    total = running_sum(fitting.withColumn("_block", block_of()), KEYS, "_block", ["seq"], F.col("quantity"), "_upto")
+    total = staged(running_sum(fitting.withColumn("_block", block_of()).select(*KEYS, "_block", "seq", "quantity", "balance", "parts"),
+                               KEYS, "_block", ["seq"], F.col("quantity"), "_upto"), "removals-running")
     run = total.filter(F.col("_upto") <= F.col("balance"))
     spent = total.groupBy(*KEYS).agg(
         F.max(F.when(F.col("_upto") <= F.col("balance"), F.col("_upto"))).alias("_spent"),
@@ -460,7 +465,7 @@ def apply_removals(commands: DataFrame, wines: DataFrame, racked: DataFrame, tod
         ("rating out of range", ~valid_rating),
         ("more than held", F.col("quantity") > F.col("balance")),
     ])
-    judged = asked.withColumn("_problem", problem)
+    judged = staged(asked.withColumn("_problem", problem), "removals-judged")
     valid = judged.filter(F.col("_problem").isNull())
 
     # One bottle per place is what every write to a racked cellar guarantees.
@@ -472,7 +477,8 @@ def apply_removals(commands: DataFrame, wines: DataFrame, racked: DataFrame, tod
     special = naming.unionByName(loose.filter(ambiguous).select(*KEYS)).distinct()
     plain = loose.join(special, KEYS, "left_anti")
     mixed = loose.join(special, KEYS, "left_semi")
-    accepted = (_decide_plain(plain).unionByName(_decide_racked(racked_cmds)).unionByName(_decide_mixed(mixed)))
+    accepted = staged(_decide_plain(plain).unionByName(_decide_racked(racked_cmds)).unionByName(_decide_mixed(mixed)),
+                      "removals-accepted")
 
     took = accepted.select(F.col("cellar_id").alias("a_cellar"), F.col("wine_id").alias("a_wine"),
                            F.col("seq").alias("a_seq"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfwise.functions.text import _words, tokenise
+from shelfwise.sources import tables
 
 
 def inverted_index(df: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
@@ -17,32 +20,51 @@ def inverted_index(df: DataFrame, key: str, columns: tuple[str, ...]) -> DataFra
     return df.select(key, F.explode(F.concat(*parts)).alias("_t")).select("_t.term", key, "_t.column")
 
 
-def write_index(index: DataFrame, path: str, key: str, partitions: int | None = None) -> None:
-    """Range-partitioned and sorted by (term, document), so that a term lookup skips
-    all other row groups and a frequent term is spread over several files."""
-    spread = (index.repartitionByRange(partitions, "term", key) if partitions
-              else index.repartitionByRange("term", key))
-    spread.sortWithinPartitions("term", key).write.mode("overwrite").parquet(path)
+def write_index(index: DataFrame, path: str, buckets: int = 256) -> None:
+    """Bucketed by term and sorted by (term, document).
+
+    A lookup reads only its terms' folders and, there, only row groups holding
+    them; the bucket of a very frequent term is split over several files.
+    """
+    key = next(c for c in index.columns if c not in ("term", "column"))
+    tables.write_table(index, path, ["term"], buckets, ("term", key))
+
+
+def read_index(spark: SparkSession, path: str, buckets: int = 256) -> StoredIndex:
+    return StoredIndex(tables.read_table(spark, path), buckets)
+
+
+@dataclass(frozen=True)
+class StoredIndex:
+    """An index on disk and the number of buckets it was written with."""
+
+    rows: DataFrame
+    buckets: int
 
 
-def _hits(index: DataFrame, words: list[str], columns: tuple[str, ...] | None) -> DataFrame:
-    hits = index.filter(F.col("term").isin(*words))
+def _hits(index: DataFrame | StoredIndex, words: list[str], columns: tuple[str, ...] | None) -> DataFrame:
+    if isinstance(index, StoredIndex):
+        # A constant the optimiser folds, so that it prunes folders.
+        places = [F.pmod(F.hash(F.lit(w)), F.lit(index.buckets)).cast("int") for w in words]
+        hits = index.rows.filter(F.col(tables.BUCKET).isin(*places) & F.col("term").isin(*words))
+    else:
+        hits = index.filter(F.col("term").isin(*words))
     return hits.filter(F.col("column").isin(*columns)) if columns else hits
 
 
-def search_all(index: DataFrame, key: str, text: str, columns: tuple[str, ...] | None = None) -> DataFrame:
+def search_all(index: DataFrame | StoredIndex, key: str, text: str, columns: tuple[str, ...] | None = None) -> DataFrame:
     """Keys of documents holding every word of ``text``, possibly in different columns."""
     words = sorted(set(_words(text)))
     found = _hits(index, words, columns).groupBy(key).agg(F.count_distinct("term").alias("_n"))
     return found.filter(F.col("_n") == len(words)).select(key)
 
 
-def search_any(index: DataFrame, key: str, text: str, columns: tuple[str, ...] | None = None) -> DataFrame:
+def search_any(index: DataFrame | StoredIndex, key: str, text: str, columns: tuple[str, ...] | None = None) -> DataFrame:
     """Keys of documents holding at least one word of ``text``."""
     return _hits(index, sorted(set(_words(text))), columns).select(key).distinct()
 
 
-def search_without(index: DataFrame, key: str, wanted: str, unwanted: str,
+def search_without(index: DataFrame | StoredIndex, key: str, wanted: str, unwanted: str,
                    columns: tuple[str, ...] | None = None) -> DataFrame:
     """Keys with every wanted and no unwanted word, from one lookup and one aggregate."""
     keep, drop = sorted(set(_words(wanted))), sorted(set(_words(unwanted)))

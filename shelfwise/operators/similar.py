@@ -12,15 +12,14 @@ The work is done on taste cells, not on products:
 2. Cells reach references through *pools*: one per (category, reference grape
    set, number of shared grapes), found by joining distinct grape sets on their
    grapes. One more pool per category serves references with too few relatives.
-3. Inside a pool the L1 distance is built up one clock at a time: an entry moves
-   along one axis to the references' values there (thirteen at most) and each
-   place keeps only the entries that can still be among the answers. L1 is a
-   sum over the axes, so cutting after every axis loses nothing.
-4. Every reference then looks up one finished, short list by equality.
-
-How much is kept per cell depends on ``k`` and the clock scale only, so a
-category, grape or cell that holds a third of the products costs no more than
-any other.
+3. Inside a pool the L1 distance is built up one clock at a time: the list of a
+   cell moves along one axis to the references' values there (thirteen at most),
+   and the lists meeting at a place are merged into one short list. L1 is a sum
+   over the axes, so shortening after every axis loses nothing.
+4. Every reference then looks up one finished list by equality.
+
+How long a list can be depends on ``k`` and the clock scale only, so a category,
+grape or cell that holds a third of the products costs no more than any other.
 """
 
 from __future__ import annotations
@@ -28,8 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfwise import spec
+from shelfwise.sources.scratch import staged
 
 AXES = len(spec.CLOCKS)
+XS = [f"x{i}" for i in range(AXES)]
+YS = [f"y{i}" for i in range(AXES)]
 
 
 def grape_sets(grapes: DataFrame, key: str = "product_id") -> DataFrame:
@@ -38,80 +40,125 @@ def grape_sets(grapes: DataFrame, key: str = "product_id") -> DataFrame:
 
 
 def _cells(df: DataFrame, sets: DataFrame, key: str, category: str) -> DataFrame:
-    clocks = [F.coalesce(F.col(c), F.lit(spec.CLOCK_DEFAULTS[c])).cast("int").alias(f"y{i}")
-              for i, c in enumerate(spec.CLOCKS)]
+    clocks = [F.coalesce(F.col(c), F.lit(spec.CLOCK_DEFAULTS[c])).cast("int").alias(y)
+              for y, c in zip(YS, spec.CLOCKS)]
     with_sets = df.join(sets, F.col(key) == F.col("_gkey"), "left")
     return with_sets.select(
         F.col(key).alias("id"), F.col(category).alias("cat"), F.col("price"),
         F.coalesce("gset", F.array().cast("array<string>")).alias("gset"), *clocks)
 
 
-def _cut(df: DataFrame, group: list[str], order: list[str], keep: int) -> DataFrame:
-    w = Window.partitionBy(*group).orderBy(*order)
+def _cut(df: DataFrame, group: list[str], keep: int) -> DataFrame:
+    """The ``keep`` cheapest rows of each group; also cut before the shuffle."""
+    w = Window.partitionBy(*group).orderBy("price", "id")
     return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= keep).drop("_rank")
 
 
+def _shorten(ordered: Column, keep: Column, cheaper_only: bool) -> Column:
+    """A list without the entries no reference at its place can need.
+
+    ``ordered`` is sorted by distance, then price. Without a price limit the first ``keep`` are
+    enough. With one, an entry is out of reach once ``keep`` earlier entries cost
+    no more; entries of unknown price (first in order, only for references of
+    unknown price) are limited on their own.
+    """
+    if not cheaper_only:
+        return F.slice(ordered, 1, keep)
+    free = F.slice(F.filter(ordered, lambda e: e["known"] == 0), 1, keep)
+    priced = F.filter(ordered, lambda e: e["known"] == 1)
+    # ``low``: the smallest prices so far, ascending, at most ``keep`` of them.
+    empty = F.slice(priced, 1, 0)
+    start = F.struct(empty.alias("kept"), F.array().cast("array<double>").alias("low"))
+
+    def step(s: Column, e: Column) -> Column:
+        useful = (F.size(s["low"]) < keep) | (e["price"] < F.try_element_at(s["low"], F.lit(-1)))
+        return F.when(useful, F.struct(
+            F.array_append(s["kept"], e).alias("kept"),
+            F.slice(F.array_sort(F.array_append(s["low"], e["price"])), 1, keep).alias("low"))).otherwise(s)
+
+    return F.array_sort(F.concat(free, F.aggregate(priced, start, step)["kept"]))
+
+
 def find_similar(refs: DataFrame, products: DataFrame, grapes: DataFrame, k: int = 20, cheaper_only: bool = True,
                  max_rank: int = 1, key: str = "product_id", category: str = "cat2") -> DataFrame:
     """(ref_id, rank, product_id, shared_grapes, distance) with at most ``k`` rows per reference."""
     sets = grape_sets(grapes, key)
     offered = products.filter((F.col("availability_rank") <= max_rank) & ~F.col("is_discontinued"))
     cand = _cells(offered, sets, key, category).withColumn("known", F.col("price").isNotNull().cast("int"))
-    ref = _cells(refs, sets, key, category)
-    # Among the first 2k of a cell at least k are neither the reference itself nor,
-    # for a reference with fewer than k relatives, one of those.
+    # With shared grapes one entry may be the reference itself. Among the first 2k of
+    # the pool of all, at least k are neither the reference nor, for a reference with
+    # fewer than k relatives, one of those.
     keep = 2 * k
+    needed = F.when(F.col("shared") > 0, F.lit(k + 1)).otherwise(F.lit(keep))
+    cells = staged(_cut(cand, ["cat", "gset", *YS, "known"], keep), "similar-cells")
+    ref = staged(_cells(refs, sets, key, category), "similar-refs")
+
+    # A number for every (category, grape set) in use, the empty set included; it
+    # is written down, so it is the same wherever it is read.
     empty = F.array().cast("array<string>")
-    ys = [f"y{i}" for i in range(AXES)]
-    xs = [f"x{i}" for i in range(AXES)]
-
-    cells = _cut(cand, ["cat", "gset", *ys, "known"], ["price", "id"], keep)
-
-    # Pools. ``pool`` is the reference's grape set, or empty for the pool of all.
-    ref_sets = ref.filter(F.size("gset") > 0).select("cat", F.col("gset").alias("pool")).distinct()
-    cell_sets = cells.filter(F.size("gset") > 0).select(F.col("cat").alias("c_cat"), F.col("gset").alias("c_set")).distinct()
-    left = ref_sets.select("cat", "pool", F.explode("pool").alias("grape"))
-    right = cell_sets.select("c_cat", "c_set", F.explode("c_set").alias("c_grape"))
-    related = (left.join(right, F.col("cat").eqNullSafe(F.col("c_cat")) & (F.col("grape") == F.col("c_grape")))
-               .groupBy(F.col("cat").alias("p_cat"), "pool", "c_set").agg(F.count(F.lit(1)).cast("int").alias("shared")))
-    own = cells.join(related, F.col("cat").eqNullSafe(F.col("p_cat")) & (F.col("gset") == F.col("c_set"))).select(
-        "cat", "pool", "shared", *ys, "known", "price", "id", "gset")
-    rest = cells.select("cat", empty.alias("pool"), F.lit(0).alias("shared"), *ys, "known", "price", "id", "gset")
-    entries = own.unionByName(rest).withColumn("dist", F.lit(0))
-    entries = _cut(entries, ["cat", "pool", "shared", *ys, "known"], ["price", "id"], keep)
+    used = cells.select("cat", "gset").unionByName(ref.select("cat", "gset"))
+    used = used.unionByName(used.select("cat", empty.alias("gset"))).distinct()
+    numbers = staged(used.withColumn("sid", F.monotonically_increasing_id()), "similar-sets")
+    base = numbers.filter(F.size("gset") == 0).select(F.col("cat").alias("b_cat"), F.col("sid").alias("base"))
+    numbers = numbers.join(base, F.col("cat").eqNullSafe(F.col("b_cat"))).select(
+        F.col("cat").alias("s_cat"), F.col("gset").alias("s_set"), "sid", "base")
+
+    def numbered(df: DataFrame) -> DataFrame:
+        on = F.col("cat").eqNullSafe(F.col("s_cat")) & (F.col("gset") == F.col("s_set"))
+        return df.join(numbers, on).drop("cat", "s_cat", "s_set")
+
+    # Pools: the number of the references' set, or of the empty set for everything.
+    grape_of = numbers.select("sid", "base", F.explode("s_set").alias("grape"))
+    wanted = ref.select("cat", "gset").distinct()
+    ref_grapes = numbered(wanted).select(F.col("sid").alias("pool"), F.col("base").alias("r_base"),
+                                         F.explode("gset").alias("r_grape"))
+    related = (ref_grapes.join(grape_of, (F.col("base") == F.col("r_base")) & (F.col("grape") == F.col("r_grape")))
+               .groupBy("pool", F.col("sid").alias("c_sid")).agg(F.count(F.lit(1)).cast("int").alias("shared")))
+    cand_cells = numbered(cells)
+    own = cand_cells.join(related, F.col("sid") == F.col("c_sid")).select(
+        "pool", "shared", *YS, "known", "price", "id", empty.alias("gset"))
+    rest = cand_cells.select(F.col("base").alias("pool"), F.lit(0).alias("shared"), *YS, "known", "price", "id", "gset")
+    entries = _cut(own.unionByName(rest), ["pool", "shared", *YS, "known"], keep)
+    lists = entries.groupBy("pool", "shared", *YS).agg(F.array_sort(F.collect_list(
+        F.struct(F.lit(0).alias("dist"), "known", "price", "id", "gset"))).alias("found"))
+    # ``shift`` is added to every distance of the list, so that a list that meets
+    # no other moves without being touched.
+    lists = lists.withColumn("shift", F.lit(0))
 
     # Where references stand, in their own pool and in the pool of all.
-    stands = ref.select("cat", F.explode(F.array_distinct(F.array("gset", empty))).alias("pool"),
-                        *[F.col(y).alias(x) for x, y in zip(xs, ys)]).distinct()
+    ref = numbered(ref)
+    stands = ref.select(F.explode(F.array_distinct(F.array("sid", "base"))).alias("pool"),
+                        *[F.col(y).alias(x) for x, y in zip(XS, YS)]).distinct()
     for axis in range(AXES):
-        done, todo = xs[:axis], ys[axis + 1:]
-        prefix = stands.select(F.col("cat").alias("r_cat"), F.col("pool").alias("r_pool"),
-                               *[F.col(x).alias(f"r_{x}") for x in xs[:axis + 1]]).distinct()
-        on = F.col("cat").eqNullSafe(F.col("r_cat")) & (F.col("pool") == F.col("r_pool"))
-        for x in done:
-            on = on & (F.col(x) == F.col(f"r_{x}"))
-        here = F.col(f"r_{xs[axis]}")
-        moved = entries.join(prefix, on).select(
-            "cat", "pool", "shared", *done, here.alias(xs[axis]), *todo, "known", "price", "id", "gset",
-            (F.col("dist") + F.abs(F.col(ys[axis]) - here)).alias("dist"))
-        place = ["cat", "pool", "shared", *done, xs[axis], *todo]
-        # A price limit removes an unknown share of each distance, so then every
-        # distance keeps its own cheapest; without one, the nearest suffice.
-        entries = (_cut(moved, [*place, "known", "dist"], ["price", "id"], keep) if cheaper_only
-                   else _cut(moved, place, ["dist", "known", "price", "id"], keep))
-
-    lists = entries.groupBy(F.col("cat").alias("l_cat"), F.col("pool").alias("l_pool"),
-                            *[F.col(x).alias(f"l_{x}") for x in xs]).agg(
-        F.array_sort(F.collect_list(F.struct(
-            (-F.col("shared")).alias("order"), "dist", "known", "price", "id", "gset"))).alias("found"))
-
-    def look_up(df: DataFrame, pool: Column, out: str) -> DataFrame:
-        on = F.col("cat").eqNullSafe(F.col("l_cat")) & (pool == F.col("l_pool"))
-        for x, y in zip(xs, ys):
+        done, todo, here = XS[:axis], YS[axis + 1:], XS[axis]
+        prefix = stands.select("pool", *XS[:axis + 1]).distinct()
+        step = F.col("shift") + F.abs(F.col(YS[axis]) - F.col(here))
+        moved = lists.join(prefix, ["pool", *done]).select(
+            "pool", "shared", *done, here, *todo, F.struct(step.alias("shift"), "found").alias("part"))
+        merged = moved.groupBy("pool", "shared", *done, here, *todo).agg(F.collect_list("part").alias("parts"))
+        alone = F.size("parts") == 1
+        together = F.array_sort(F.flatten(F.transform("parts", lambda p: F.transform(p["found"], lambda e: F.struct(
+            (e["dist"] + p["shift"]).alias("dist"), e["known"], e["price"], e["id"], e["gset"])))))
+        place = ["pool", "shared", *done, here, *todo]
+        first = merged.select(*place, "parts", F.when(~alone, together).alias("all"))
+        lists = first.select(
+            *place, F.when(alone, F.col("parts")[0]["found"]).otherwise(_shorten(F.col("all"), needed, cheaper_only)).alias("found"),
+            F.when(alone, F.col("parts")[0]["shift"]).otherwise(F.lit(0)).alias("shift"))
+
+    # Tiers of a place in one list, most shared grapes first.
+    tiers = lists.groupBy(F.col("pool").alias("l_pool"), *[F.col(x).alias(f"l_{x}") for x in XS]).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("shared")).alias("order"), "shift", "found"))).alias("tiers"))
+    flat = tiers.withColumn("found", F.flatten(F.transform("tiers", lambda t: F.transform(
+        t["found"], lambda e: F.struct(t["order"].alias("order"), (e["dist"] + t["shift"]).alias("dist"), e["known"].alias("known"),
+                                       e["price"].alias("price"), e["id"].alias("id"), e["gset"].alias("gset")))))).drop("tiers")
+
+    def look_up(df: DataFrame, pool: str, out: str) -> DataFrame:
+        on = F.col(pool) == F.col("l_pool")
+        for x, y in zip(XS, YS):
             on = on & (F.col(y) == F.col(f"l_{x}"))
-        return df.join(lists.withColumnRenamed("found", out), on, "left").select(*df.columns, out)
+        return df.join(flat.withColumnRenamed("found", out), on, "left").select(*df.columns, out)
 
-    both = look_up(look_up(ref, F.col("gset"), "near"), empty, "far")
+    both = look_up(look_up(ref, "sid", "near"), "base", "far")
 
     def allowed(e: Column) -> Column:
         other = e["id"] != F.col("id")
@@ -119,9 +166,9 @@ def find_similar(refs: DataFrame, products: DataFrame, grapes: DataFrame, k: int
             return other
         return other & (F.col("price").isNull() | F.coalesce(e["price"] < F.col("price"), F.lit(False)))
 
-    near = F.when(F.size("gset") > 0, F.filter("near", allowed))
+    near = F.when(F.col("sid") != F.col("base"), F.filter("near", allowed))
     far = F.filter("far", lambda e: allowed(e) & ~F.arrays_overlap(e["gset"], F.col("gset")))
-    none = F.filter("far", lambda e: F.lit(False))
+    none = F.slice("far", 1, 0)
     best = F.slice(F.concat(F.coalesce(near, none), F.coalesce(far, none)), 1, k)
     rows = both.select(F.col("id").alias("ref_id"), F.posexplode(best).alias("_pos", "_e"))
     return rows.select("ref_id", (F.col("_pos") + 1).alias("rank"), F.col("_e.id").alias(key),

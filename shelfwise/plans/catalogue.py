@@ -243,8 +243,8 @@ UNION ALL SELECT 'without', doc_id FROM d WHERE list_contains(a, 'the') AND NOT
 """)
 def index_search(t: Source) -> DataFrame:
     path = scratch.new_path(t.spark, "index")
-    index.write_index(index.inverted_index(t.documents, "doc_id", ("text", "source")), path, "doc_id")
-    stored = t.spark.read.parquet(path)
+    index.write_index(index.inverted_index(t.documents, "doc_id", ("text", "source")), path, 16)
+    stored = index.read_index(t.spark, path, 16)
     found = {"all": index.search_all(stored, "doc_id", "the OF on"), "any": index.search_any(stored, "doc_id", "que les"),
              "without": index.search_without(stored, "doc_id", "the", "to")}
     out = None

@@ -16,6 +16,9 @@ CLUSTER_DEFAULTS = {
     # Dates and timestamps mean the same on every executor.
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.showConsoleProgress": "false",
+    # Wide projections would become methods too long for the JIT; past this size
+    # expressions are compiled in pieces instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Rewriting a bucket must not touch its neighbours.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
