@@ -493,11 +493,14 @@ def apply_removals(commands: DataFrame, wines: DataFrame, racked: DataFrame, tod
     # Slots taken from a wine are at most its places, so gathering them is bounded.
     taken = done.groupBy(F.col("cellar_id").alias("t_cellar"), F.col("wine_id").alias("t_wine")).agg(
         F.sum("quantity").cast("int").alias("_out"),
-        F.flatten(F.collect_list(F.when(F.size("slots") > 0, F.col("slots")))).alias("_slots"))
+        F.flatten(F.collect_list(F.when(F.size("slots") > 0, F.col("slots")))).alias("_slots"),
+        (F.max_by(F.size("slots"), "seq") > 0).alias("_last_named"))
     joined = wines.join(taken, (F.col("cellar_id") == F.col("t_cellar")) & (F.col("wine_id") == F.col("t_wine")), "left")
     parts = rules.location_parts(F.col("location"))
     remaining = _drop_slots(parts, F.coalesce("_slots", F.array().cast("array<string>")))
-    emptied = (F.size(F.filter(parts, rules.is_slot)) > 0) & (F.col("quantity") == F.col("_out"))
+    # The last bottle leaves its slots; a command that named its slots has said what is left.
+    emptied = (~F.col("_last_named") & (F.size(F.filter(remaining, rules.is_slot)) > 0)
+               & (F.col("quantity") == F.col("_out")))
     location = F.when(F.col("t_wine").isNull(), F.col("location")).when(emptied, F.lit(None).cast("string")).when(
         F.size("_slots") > 0, F.nullif(F.array_join(remaining, ", "), F.lit(""))).otherwise(F.col("location"))
     after = joined.select(*[
