@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -123,29 +124,83 @@ def _phrase(tokens: Column, words: list[str]) -> Column:
     return F.contains(joined, F.lit(" " + " ".join(words) + " "))
 
 
-def match_tokens(expr: Expr, tokens: dict[str, Column]) -> Column:
-    """``expr`` over ready-made token arrays, one per searchable column."""
+Leaf = Callable[[str, list[str]], Column]
+
+
+def build(expr: Expr, columns: tuple[str, ...], leaf: Leaf) -> Column:
+    """``expr`` as one condition; ``leaf`` says how a column is searched for words in a row."""
     if isinstance(expr, Term):
         words = expr.words()
-        if not words:
-            return F.lit(False)
         found = F.lit(False)
-        for column in tokens.values():
-            found = found | _phrase(column, words)
+        for column in columns if words else ():
+            found = found | leaf(column, words)
         return found
     if isinstance(expr, Scoped):
-        return match_tokens(expr.inner, {c: tokens[c] for c in expr.columns if c in tokens})
+        return build(expr.inner, tuple(c for c in columns if c in expr.columns), leaf)
     if isinstance(expr, Without):
-        return match_tokens(expr.keep, tokens) & ~match_tokens(expr.drop, tokens)
+        return build(expr.keep, columns, leaf) & ~build(expr.drop, columns, leaf)
     if isinstance(expr, All):
-        parts = [match_tokens(p, tokens) for p in expr.parts]
-        return functools.reduce(lambda a, b: a & b, parts)
+        return functools.reduce(lambda a, b: a & b, [build(p, columns, leaf) for p in expr.parts])
     if isinstance(expr, Any_):
-        parts = [match_tokens(p, tokens) for p in expr.parts]
-        return functools.reduce(lambda a, b: a | b, parts)
+        return functools.reduce(lambda a, b: a | b, [build(p, columns, leaf) for p in expr.parts])
     raise TypeError(f"not a text expression: {expr!r}")
 
 
+def match_tokens(expr: Expr, tokens: dict[str, Column]) -> Column:
+    """``expr`` over ready-made token arrays, one per searchable column."""
+    return build(expr, tuple(tokens), lambda c, words: _phrase(tokens[c], words))
+
+
+@functools.cache
+def letter_variants() -> dict[str, str]:
+    """Folded letter -> every other character that folds to it alone."""
+    variants: dict[str, str] = {}
+    for code in (*range(0x41, 0x530), *range(0x1E00, 0x2000), 0x212A, 0x212B):
+        char = chr(code)
+        folded = fold_text(char)
+        if folded != char and len(folded) == 1 and unicodedata.category(char)[0] == "L":
+            variants[folded] = variants.get(folded, "") + char
+    return variants
+
+
+def phrase_pattern(words: list[str]) -> str:
+    """A regular expression that finds the words as adjacent tokens in unfolded text.
+
+    Every letter stands for all its cases and accents, combining marks may follow
+    it, and no letter or digit may touch the words. The first letter comes before
+    the look-behind, so that the scan only stops where a word may begin.
+    """
+    marks, solid = r"[\x{300}-\x{36f}]*+", r"[\p{L}\p{N}]"
+
+    def letter(char: str) -> str:
+        near = [c for c in char + letter_variants().get(char, "") if ord(c) < 256]
+        far = [c for c in char + letter_variants().get(char, "") if ord(c) >= 256]
+        listed = lambda chars: "".join(f"\\x{{{ord(c):x}}}" for c in chars)
+        # The many far variants behind a range test: most characters fail it at once.
+        behind = f"[\\x{{100}}-\\x{{10ffff}}&&[{listed(far)}]]" if far else ""
+        return f"[{listed(near)}{behind}]"
+
+    first = letter(words[0][0])
+    start = f"{first}(?<!{solid}[\\x{{300}}-\\x{{36f}}]{{0,8}}{first}){marks}"
+    texts = ["".join(letter(c) + marks for c in word) for word in words]
+    texts[0] = start + "".join(letter(c) + marks for c in words[0][1:])
+    return f"[^\\p{{L}}\\p{{N}}]++".join(texts) + f"(?!{solid})"
+
+
+def match_text(expr: Expr, columns: tuple[str, ...]) -> Column:
+    """``expr`` over text columns themselves: one pass of a pattern per term, nothing is tokenised."""
+    return build(expr, columns, lambda c, words: F.coalesce(F.col(c).rlike(phrase_pattern(words)), F.lit(False)))
+
+
+def _all_words(expr: Expr) -> list[str]:
+    if isinstance(expr, Term):
+        return expr.words()
+    if isinstance(expr, Scoped):
+        return _all_words(expr.inner)
+    parts = (expr.keep, expr.drop) if isinstance(expr, Without) else expr.parts
+    return [w for p in parts for w in _all_words(p)]
+
+
 def used_columns(expr: Expr, columns: tuple[str, ...]) -> tuple[str, ...]:
     """The columns an expression looks into, so only those are read and tokenised."""
     if isinstance(expr, Term):
@@ -158,7 +213,13 @@ def used_columns(expr: Expr, columns: tuple[str, ...]) -> tuple[str, ...]:
 
 
 def text_match(df: DataFrame, expr: Expr, columns: tuple[str, ...]) -> DataFrame:
-    """Rows whose text satisfies the expression; each column is tokenised once per row."""
+    """Rows whose text satisfies the expression.
+
+    Patterns run on the text as it is. The case of a Greek sigma depends on its
+    place in the word, so expressions with one go by tokens instead.
+    """
+    if not any(c in "σς" for word in _all_words(expr) for c in word):
+        return df.filter(match_text(expr, columns))
     used = used_columns(expr, columns)
     names = {c: f"_tok_{i}" for i, c in enumerate(used)}
     tokened = df.select("*", *[tokenise(F.col(c)).alias(n) for c, n in names.items()])

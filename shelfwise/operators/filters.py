@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfwise import spec
 from shelfwise.functions.strings import any_contains
+from shelfwise.functions.text import Term, match_text
 
 
 def having(df: DataFrame, child: DataFrame, key: str, col: str, value) -> DataFrame:
@@ -97,14 +98,12 @@ STYLE_PRESETS = {
 def style_preset(df: DataFrame, grapes: DataFrame, name: str,
                  presets: dict[str, tuple] = STYLE_PRESETS, key: str = "product_id") -> DataFrame:
     """Products of a named style: all its grapes, one of its countries, its note rule."""
-    from shelfwise.functions.text import Term, match_tokens, tokenise
-
     required, countries, unwanted = presets[name]
     out = df
     if countries:
         out = out.filter(F.col("country").isin(*countries))
     if unwanted:
-        out = out.filter(~match_tokens(Term(unwanted), {"taste": tokenise(F.col("taste"))}))
+        out = out.filter(~match_text(Term(unwanted), ("taste",)))
     for grape in required:
         out = having(out, grapes, key, "grape", grape)
     return out
@@ -117,8 +116,6 @@ def styles_of(df: DataFrame, grapes: DataFrame, presets: dict[str, tuple] = STYL
     The presets are a small constant: they become conditional aggregates over the
     grape table, joined back to the products once.
     """
-    from shelfwise.functions.text import Term, match_tokens, tokenise
-
     names = sorted({g for required, _, _ in presets.values() for g in required})
     flags = grapes.filter(F.col("grape").isin(*names)).groupBy(F.col(key).alias("_gkey")).agg(
         *[F.max(F.col("grape") == g).alias(f"_g{i}") for i, g in enumerate(names)])
@@ -131,7 +128,7 @@ def styles_of(df: DataFrame, grapes: DataFrame, presets: dict[str, tuple] = STYL
         if countries:
             ok = ok & F.coalesce(F.col("country").isin(*countries), F.lit(False))
         if unwanted:
-            ok = ok & ~match_tokens(Term(unwanted), {"taste": tokenise(F.col("taste"))})
+            ok = ok & ~match_text(Term(unwanted), ("taste",))
         labels.append(F.when(ok, F.lit(style)))
     return joined.select(key, F.explode(F.array_compact(F.array(*labels))).alias("style"))
 

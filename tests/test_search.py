@@ -54,6 +54,19 @@ def test_nothing_negated_on_missing_text(notes):
     assert {r.id for r in out.collect()} == {1, 3, 4, 6}
 
 
+def test_patterns_and_tokens_agree(spark):
+    rng = random.Random(3)
+    alphabet = "aAáÅo\u0301öÖnñK\u212aİiIßẞ1é \t-,.'_\u0300\u0323sΣσςeE²"
+    rows = [(i, "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14)))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id INT, t STRING")
+    stored = df.withColumn("tok", tokenise(F.col("t")))
+    for word in ("a", "o", "ao", "k", "i", "n a", "e1", "ß", "o o", "σ", "as", "1", "a-o"):
+        got = {r.id for r in text_match(df, Term(word), ("t",)).collect()}
+        want = {r.id for r in text_match_tokens(stored, Term(word), {"t": "tok"}).collect()}
+        assert got == want, (word, [rows[i] for i in sorted(got ^ want)][:5])
+        assert got or word in ("e1", "as"), word
+
+
 def test_index_answers_like_the_scan(spark, notes, tmp_path):
     path = str(tmp_path / "index")
     index.write_index(index.inverted_index(notes, "id", ("taste", "color")), path, 8)
