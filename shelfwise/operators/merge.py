@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfwise import spec
 from shelfwise.sources import tables
+from shelfwise.sources.scratch import staged
 
 
 def first_by(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -61,14 +61,16 @@ def upsert_table(path: str, updates: DataFrame, keys: list[str], buckets: int,
     ignored, so replayed or late input changes nothing.
 
     The touched bucket numbers are collected (at most ``buckets`` small ints) so
-    that the scan prunes to those folders. The merged buckets are written beside
-    the target first: a folder cannot be read and overwritten in one job, and an
-    executor lost half-way must find its input again.
+    that the scan prunes to those folders. The merged rows are staged first: a
+    folder cannot be read and overwritten in one job, and an executor lost
+    half-way must find its input again.
     """
     spark = updates.sparkSession
     if not tables.table_exists(spark, path):
         tables.write_table(updates, path, keys, buckets, sort)
         return
+    # Read twice below (for its buckets, for the merge), computed once.
+    updates = staged(updates, "updates")
     tagged = updates.select(tables.bucket_of(keys, buckets).alias(tables.BUCKET))
     touched = sorted(r[0] for r in tagged.distinct().collect())
     if not touched:
@@ -79,9 +81,7 @@ def upsert_table(path: str, updates: DataFrame, keys: list[str], buckets: int,
         updates = updates.join(stored, keys, "left").filter(
             F.col("_stored").isNull() | (F.col("_stored") <= F.col(newest))).drop("_stored")
     merged = upsert(current, updates, keys, written)
-    staged = f"{path.rstrip('/')}__staged/{uuid.uuid4().hex}"
-    tables.write_table(merged, staged, keys, buckets, sort)
-    tables.write_table(tables.read_table(spark, staged).drop(tables.BUCKET), path, keys, buckets, sort)
+    tables.write_table(staged(merged, "merged"), path, keys, buckets, sort)
 
 
 def upsert_products(target: DataFrame, updates: DataFrame) -> DataFrame:

@@ -80,8 +80,9 @@ def _shorten(ordered: Column, keep: Column, cheaper_only: bool) -> Column:
 
 
 def find_similar(refs: DataFrame, products: DataFrame, grapes: DataFrame, k: int = 20, cheaper_only: bool = True,
-                 max_rank: int = 1, key: str = "product_id", category: str = "cat2") -> DataFrame:
-    """(ref_id, rank, product_id, shared_grapes, distance) with at most ``k`` rows per reference."""
+                 max_rank: int = 1, offset: int = 0, key: str = "product_id", category: str = "cat2") -> DataFrame:
+    """(ref_id, rank, product_id, shared_grapes, distance): ``k`` rows per reference, the first ``offset`` skipped."""
+    top, k = k, k + offset
     sets = grape_sets(grapes, key)
     offered = products.filter((F.col("availability_rank") <= max_rank) & ~F.col("is_discontinued"))
     cand = _cells(offered, sets, key, category).withColumn("known", F.col("price").isNotNull().cast("int"))
@@ -169,7 +170,7 @@ def find_similar(refs: DataFrame, products: DataFrame, grapes: DataFrame, k: int
     near = F.when(F.col("sid") != F.col("base"), F.filter("near", allowed))
     far = F.filter("far", lambda e: allowed(e) & ~F.arrays_overlap(e["gset"], F.col("gset")))
     none = F.slice("far", 1, 0)
-    best = F.slice(F.concat(F.coalesce(near, none), F.coalesce(far, none)), 1, k)
+    best = F.slice(F.concat(F.coalesce(near, none), F.coalesce(far, none)), offset + 1, top)
     rows = both.select(F.col("id").alias("ref_id"), F.posexplode(best).alias("_pos", "_e"))
-    return rows.select("ref_id", (F.col("_pos") + 1).alias("rank"), F.col("_e.id").alias(key),
+    return rows.select("ref_id", (F.col("_pos") + 1 + offset).alias("rank"), F.col("_e.id").alias(key),
                        (-F.col("_e.order")).alias("shared_grapes"), F.col("_e.dist").alias("distance"))

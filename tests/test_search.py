@@ -117,7 +117,12 @@ def test_similar_equals_brute_force(spark, seed, k, cheaper, rank, hot):
     gdf = spark.createDataFrame(grapes, "product_id INT, grape STRING")
     got = {(r.ref_id, r["rank"]): (r.product_id, r.shared_grapes, r.distance)
            for r in find_similar(df, df, gdf, k, cheaper, rank).collect()}
-    assert got == _brute(rows, grapes, k, cheaper, rank)
+    want = _brute(rows, grapes, k, cheaper, rank)
+    assert got == want
+    if k == 3:
+        paged = find_similar(df, df, gdf, 2, cheaper, rank, offset=1).collect()
+        assert {(r.ref_id, r["rank"]): (r.product_id, r.shared_grapes, r.distance) for r in paged} == {
+            key: value for key, value in want.items() if key[1] > 1}
 
 
 def test_candidate_counts(spark):
