@@ -356,17 +356,23 @@ def _drop_slots(parts: Column, taken: Column) -> Column:
     return F.aggregate(taken, parts, drop)
 
 
+def _is_open(parts: Column) -> Column:
+    """One place at most, or no slot among them: nobody has to say which."""
+    return (F.size(parts) <= 1) | ~F.exists(parts, rules.is_slot)
+
+
 def _fold(commands: DataFrame, named: bool) -> DataFrame:
     """Sequential decisions for wines with few commands left: (KEYS, seqs accepted, trail).
 
-    ``trail`` has the balance and the number of places after each accepted command.
+    ``trail`` has the balance after each accepted command and whether taking a
+    bottle without naming its place has become unambiguous.
     """
     taken = F.col("slots") if named else F.array().cast("array<string>")
     ordered = commands.groupBy(*KEYS).agg(
         F.array_sort(F.collect_list(F.struct("seq", "quantity", taken.alias("slots")))).alias("_list"),
         F.first("balance").alias("balance"), F.first("parts").alias("parts"))
     start = F.struct(F.col("balance").cast("bigint").alias("bal"), F.col("parts").alias("parts"),
-                     F.array().cast("array<struct<seq:bigint,bal:bigint,places:int>>").alias("ok"))
+                     F.array().cast("array<struct<seq:bigint,bal:bigint,open:boolean>>").alias("ok"))
 
     def step(s: Column, c: Column) -> Column:
         q = c["quantity"].cast("bigint")
@@ -377,7 +383,7 @@ def _fold(commands: DataFrame, named: bool) -> DataFrame:
         return F.when(fits, F.struct(
             (s["bal"] - q).alias("bal"), left.alias("parts"),
             F.concat(s["ok"], F.array(F.struct(c["seq"].cast("bigint").alias("seq"), (s["bal"] - q).alias("bal"),
-                                               F.size(left).alias("places")))).alias("ok"))).otherwise(s)
+                                               _is_open(left).alias("open")))).alias("ok"))).otherwise(s)
 
     return ordered.select(*KEYS, F.aggregate("_list", start, step)["ok"].alias("trail"))
 
@@ -429,7 +435,7 @@ def _decide_racked(commands: DataFrame) -> DataFrame:
     possible = named.filter((F.size("slots") == F.col("quantity")) & (F.size(F.array_except("slots", "parts")) == 0))
     trail = _fold(_first_of_each(possible), named=True)
     unnamed = commands.filter(F.size("slots") == 0).join(trail, KEYS, "left")
-    before = F.filter(F.coalesce("trail", F.array().cast("array<struct<seq:bigint,bal:bigint,places:int>>")),
+    before = F.filter(F.coalesce("trail", F.array().cast("array<struct<seq:bigint,bal:bigint,open:boolean>>")),
                       lambda t: t["seq"] < F.col("seq"))
     balance = F.coalesce(F.try_element_at(before, F.lit(-1))["bal"], F.col("balance"))
     last = unnamed.filter((F.col("quantity") == balance)).groupBy(*KEYS).agg(F.min("seq").alias("_last"))
@@ -516,15 +522,35 @@ def _decide_mixed(commands: DataFrame) -> DataFrame:
     """(KEYS, seq) accepted where slots are named outside a rack, or a racked wine's
     places do not match its bottles.
 
-    Folded per wine. Repeats that cannot be accepted are dropped first: of
-    commands of one quantity no more than the bottles allow.
+    Folded per wine, after dropping commands that cannot be accepted. Refusing is
+    final for equal commands, so of each no more stay than the bottles held allow.
+    The exception is a command without slots while its wine's places are ambiguous:
+    it is accepted only when it takes all that is left, so the first such is kept.
     """
     from pyspark.sql import Window
 
     w = Window.partitionBy(*KEYS, "quantity", "slots").orderBy("seq")
     may = F.floor(F.col("balance") / F.col("quantity"))
-    free = F.col("_racked").isNull() | ~F.col("_in_slots")
-    some = commands.withColumn("_nth", F.row_number().over(w)).filter((F.col("_nth") <= may) | ~free)
+
+    def few(df: DataFrame) -> DataFrame:
+        return df.withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") <= may).drop("_nth")
+
+    ambiguous = F.col("_racked").isNotNull() & F.col("_in_slots")
+    named = few(commands.filter(F.size("slots") > 0))
+    free = few(commands.filter((F.size("slots") == 0) & ~ambiguous))
+    trail = _fold(named.filter(ambiguous), named=True)
+    waiting = commands.filter((F.size("slots") == 0) & ambiguous).join(trail, KEYS, "left")
+    before = F.filter(F.coalesce("trail", F.array().cast("array<struct<seq:bigint,bal:bigint,open:boolean>>")),
+                      lambda t: t["seq"] < F.col("seq"))
+    last = F.try_element_at(before, F.lit(-1))
+    waiting = waiting.withColumns({"_bal": F.coalesce(last["bal"], F.col("balance")),
+                                   "_open": F.coalesce(last["open"], _is_open(F.col("parts")))})
+    opened = few(waiting.filter("_open").select(*commands.columns))
+    emptying = waiting.filter(~F.col("_open") & (F.col("quantity") == F.col("_bal"))).select(*commands.columns)
+    rest = [c for c in commands.columns if c not in KEYS]
+    first = emptying.groupBy(*KEYS).agg(F.min_by(F.struct(*rest), "seq").alias("_row")).select(
+        *KEYS, "_row.*").select(*commands.columns)
+    some = named.unionByName(free).unionByName(opened).unionByName(first)
     ordered = some.groupBy(*KEYS).agg(
         F.array_sort(F.collect_list(F.struct("seq", "quantity", "slots"))).alias("_list"),
         F.first("balance").alias("balance"), F.first("parts").alias("parts"),
