@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwise.llm import sharding, url_filter
+from shelfwise.llm import packing, sharding, token_counts, url_filter
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -58,3 +59,18 @@ def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (sharding.placed(slim, slot_map, ["doc_id", "size", "text_crc32"])
             .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                     F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"))
+
+
+def byte_bpe() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@registered
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.with_token_counts(docs, byte_bpe()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@registered
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), byte_bpe(), keep_ids=False)
