@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwise.llm import packing, quality, sharding, token_counts, url_filter
+from shelfwise.llm import nearest, packing, quality, sharding, token_counts, url_filter
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -81,3 +81,8 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
     return quality.with_scores(docs.withColumn("held_out", quality.held_out()), model).select("doc_id", "held_out", "score", "predicted")
+
+
+@registered
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
