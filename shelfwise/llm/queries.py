@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwise.llm import nearest, packing, quality, sharding, token_counts, url_filter
+from shelfwise.llm import decontaminate, nearest, packing, quality, sharding, token_counts, url_filter
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -86,3 +86,38 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@registered
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return (decontaminate.with_contamination(docs, _table(spark, sf_dir, "benchmark"))
+            .select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"))
+
+
+SQL["op1_decontamination"] = r"""
+WITH item_words AS (
+    SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+phrases AS (
+    SELECT DISTINCT item_id, unnest(CASE WHEN len(w) < 13 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' ')) END) AS phrase,
+        least(len(w), 13) AS n
+    FROM item_words WHERE len(w) > 0),
+doc_words AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+    FROM documents),
+starts AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc_words, (SELECT DISTINCT n FROM phrases)),
+hits AS (SELECT DISTINCT r, i, s.n, item_id
+         FROM (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM starts) s
+         JOIN phrases p ON s.phrase = p.phrase AND s.n = p.n),
+words_hit AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM hits) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+          FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM doc_words LEFT JOIN words_hit USING (r) LEFT JOIN items USING (r)
+"""
