@@ -19,7 +19,9 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -30,6 +32,8 @@ from shelfwise.sources.scratch import staged
 
 #: Windows a partition keeps open, and partitions whose open windows are merged in one group.
 OPEN, FAN_IN = 64, 32
+#: Pre-tokens whose ids a worker remembers, about 200 bytes each.
+REMEMBERED = 800_000
 #: Bits of a sequence's number within its partition.
 _SERIAL_BITS = 36
 
@@ -84,12 +88,16 @@ def _memo(path: str) -> tuple[Memo, bytes]:
     tokenizer = Tokenizer.from_file(path)
 
     def compute(new: list[bytes]) -> list[bytes]:
-        return [b"".join(i.to_bytes(4, "little") for i in e.ids)
-                for a, b in portions(new)
-                for e in tokenizer.encode_batch_fast([p.decode() for p in new[a:b]], add_special_tokens=False)]
+        out = []
+        for a, b in portions(new):
+            ids = [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in new[a:b]], add_special_tokens=False)]
+            flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+            ends = (4 * np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))).tolist()
+            out += [flat[x:y] for x, y in zip([0, *ends], ends)]
+        return out
 
     special = tokenizer.token_to_id(SPECIAL.decode())
-    return Memo(compute, 200_000), special.to_bytes(4, "little")
+    return Memo(compute, REMEMBERED), special.to_bytes(4, "little")
 
 
 def encoded(texts: list[bytes], path: str) -> Iterator[bytes]:
