@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwise.llm import decontaminate, nearest, packing, quality, sharding, token_counts, url_filter
+from shelfwise.llm import decontaminate, jaccard, nearest, packing, quality, sharding, token_counts, url_filter
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -121,3 +121,29 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
 FROM doc_words LEFT JOIN words_hit USING (r) LEFT JOIN items USING (r)
 """
+
+
+@registered
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard.NGramJaccard(n=4, share=85).join(_table(spark, sf_dir, "documents"))
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
+SQL["op3_ngram_jaccard"] = r"""
+WITH RECURSIVE words AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x20\x09-\x0D]+'), []) AS w
+    FROM documents),
+sets AS (
+    SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+    FROM words),
+members AS (SELECT r, len(s) AS n, unnest(s) AS m FROM sets),
+links AS (SELECT x.r AS a, y.r AS b FROM members x JOIN members y ON x.m = y.m AND x.r <> y.r
+          WHERE 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n)
+          GROUP BY x.r, y.r, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reached(r, root) AS (SELECT r, r FROM sets UNION SELECT b, root FROM links JOIN reached ON a = r)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM sets s JOIN reached ON s.r = reached.r JOIN sets o ON o.r = reached.root GROUP BY s.r, s.doc_id, s.s
+"""
