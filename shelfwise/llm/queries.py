@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwise.llm import decontaminate, jaccard, nearest, packing, quality, sharding, token_counts, url_filter
+from shelfwise.llm import decontaminate, jaccard, nearest, packing, quality, sharding, suffix_dedup, token_counts, url_filter
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -147,3 +147,9 @@ reached(r, root) AS (SELECT r, r FROM sets UNION SELECT b, root FROM links JOIN
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
 FROM sets s JOIN reached ON s.r = reached.r JOIN sets o ON o.r = reached.root GROUP BY s.r, s.doc_id, s.s
 """
+
+
+@registered
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (suffix_dedup.with_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+            .select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
