@@ -57,11 +57,14 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def with_spans(docs: DataFrame, length: int = 400, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs`` with n_bytes, n_removed, n_spans, kept_sha256, spans ([first, end) in bytes, merged) and, if asked, kept (the bytes that stay)."""
+    """``docs`` with n_bytes, n_removed, n_spans, kept_sha256, spans ([first, end) in bytes, merged) and, if asked, kept.
+
+    kept is the text that stays; of a character that a cut goes through, nothing stays in it.
+    """
     spark = docs.sparkSession
     ship_code(spark)
     new = T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
-                                   "spans array<struct<first: long, end: long>>" + ", kept binary" * keep_text)
+                                   "spans array<struct<first: long, end: long>>" + ", kept string" * keep_text)
     rest = docs.drop(*(set(new.names) - {text}), *_NAME, "cut")
     whole = F.coalesce(text, F.lit(""))
     named = rest.withColumns({"d": F.xxhash64(whole), "n_bytes": F.octet_length(whole).cast("long")})
@@ -77,9 +80,9 @@ def with_spans(docs: DataFrame, length: int = 400, text: str = "text", keep_text
                 spans = _merged(cut or [])
                 kept = b"".join(data[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(f for f, _ in spans), len(data)]))
                 rows.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(),
-                             [{"first": a, "end": b} for a, b in spans], kept)[:len(added)])
+                             [{"first": a, "end": b} for a, b in spans], kept.decode(errors="ignore"))[:len(added)])
             columns = list(zip(*rows)) or [[] for _ in added]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct({"first": pa.int64(), "end": pa.int64()})), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct({"first": pa.int64(), "end": pa.int64()})), pa.string()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns_kept), *(pa.array(c, k) for c, k in zip(columns, kinds))],
                                              names=[*columns_kept, *added])
 
