@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwise.llm import decontaminate, jaccard, nearest, packing, quality, sharding, suffix_dedup, token_counts, url_filter
+from shelfwise.llm import decontaminate, html_text, jaccard, nearest, packing, quality, sharding, suffix_dedup, token_counts, url_filter
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -153,3 +153,8 @@ FROM sets s JOIN reached ON s.r = reached.r JOIN sets o ON o.r = reached.root GR
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (suffix_dedup.with_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
             .select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+
+
+@registered
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.with_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
