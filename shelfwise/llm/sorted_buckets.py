@@ -65,8 +65,9 @@ def compared(records: DataFrame, name: str) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema)
     ordered = staged(records.repartitionByRange(n_buckets, "t1", "t2", "salt").mapInArrow(_sorted, f"{fields}, {extra}"), name)
     key = F.struct("t1", "t2")
-    edges = [tuple(r) for r in ordered.groupBy("bucket").agg(F.min(key).alias("a"), F.max(key).alias("z")).orderBy("bucket").collect()]
-    mend = spark.createDataFrame(_mended([(b, tuple(a), tuple(z)) for b, a, z in edges]),
+    edges = (ordered.groupBy("bucket").agg(F.min(key), F.max(key), F.min_by("many", key), F.max_by("many", key))
+             .orderBy("bucket").collect())  # one row per bucket
+    mend = spark.createDataFrame(_mended([(b, tuple(a), tuple(z), *many) for b, a, z, *many in edges]),
                                  "bucket int, a1 long, a2 long, z1 long, z2 long, a_same boolean, z_same boolean, a_many boolean, z_many boolean")
     at_a, at_z = F.expr("t1 = a1 and t2 = a2"), F.expr("t1 = z1 and t2 = z2")
     return (ordered.join(F.broadcast(mend), "bucket")  # one row per bucket
@@ -78,12 +79,12 @@ def compared(records: DataFrame, name: str) -> DataFrame:
 
 def _mended(edges: list[tuple]) -> list[tuple]:
     """Per bucket its first and last tokens and what its neighbours say about the runs that touch them."""
-    spread: dict[int, set] = {}  # of tokens at an edge: the second tokens seen there
-    for _, a, z in edges:
-        spread.setdefault(a[0], set()).add(a[1])
-        spread.setdefault(z[0], set()).add(z[1])
+    spread: dict[int, set] = {}  # of tokens at an edge: the second tokens seen there, None for more in between
+    for _, a, z, many_a, many_z in edges:
+        spread.setdefault(a[0], set()).update([a[1], None] if many_a else [a[1]])
+        spread.setdefault(z[0], set()).update([z[1], None] if many_z else [z[1]])
     out = []
-    for i, (bucket, a, z) in enumerate(edges):
+    for i, (bucket, a, z, _, _) in enumerate(edges):
         before = i > 0 and edges[i - 1][2] == a
         after = i + 1 < len(edges) and edges[i + 1][1] == z
         out.append((bucket, *a, *z, before, after, len(spread[a[0]]) > 1, len(spread[z[0]]) > 1))

@@ -40,7 +40,7 @@ from shelfwise.llm.words import mixed
 from shelfwise.llm.workers import ship_code
 from shelfwise.sources.scratch import staged
 
-#: Offsets that are looked at together before single ones.
+#: Offsets that are looked at together before single ones (an eighth of the length at most).
 PART = 16
 _NAME = ["d", "n_bytes"]
 
@@ -166,6 +166,8 @@ def _strings(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
 
 
 def _part_records(length: int):
+    size_of = max(1, min(PART, length // 8))
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = 0
         for batch in batches:
@@ -174,12 +176,12 @@ def _part_records(length: int):
             for a, b in portions(strings, 2 << 20):
                 held = Substrings(strings[a:b])
                 at, highest, lowest = held.starts + offset[a:b], offset[a:b], offset[a:b] - span[a:b]  # of the anchors, in the joined strings
-                n = highest // PART - lowest // PART + 1
+                n = highest // size_of - lowest // size_of + 1
                 own = np.repeat(np.arange(len(n)), n)
-                part = lowest[own] // PART + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                high, low = np.minimum(highest[own], part * PART + PART - 1), np.maximum(lowest[own], part * PART)
+                part = lowest[own] // size_of + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                high, low = np.minimum(highest[own], part * size_of + size_of - 1), np.maximum(lowest[own], part * size_of)
                 # Common to all windows of the part, whether or not this run has them all.
-                core = held.hash(at[own] - part * PART, at[own] - part * PART - (PART - 1) + length)
+                core = held.hash(at[own] - part * size_of, at[own] - part * size_of - (size_of - 1) + length)
                 t2 = _salted(held.hash(at[own] - high, at[own] - low + length), high, low)
                 yield pa.RecordBatch.from_arrays(
                     [_long(_salted(core, part)), _long(t2), _long(_salts(len(own), done)), _long(d[a:b][own]), _long(size[a:b][own]), _long(first[a:b][own]),
