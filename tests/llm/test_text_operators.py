@@ -8,6 +8,7 @@ import zlib
 
 import public_tokenizers
 import pytest
+from brute import checked_packs
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -41,32 +42,6 @@ def test_token_counts_equal_the_library(spark, library):
     assert token_counts.with_token_counts(_texts(spark, []), BPE).count() == 0
 
 
-def _packs(rows, library, texts_by_id, length):
-    """Every sequence is gapless and no longer than allowed; every id of every document lies in one piece."""
-    by_sequence, by_doc = {}, {}
-    for r in rows:
-        by_sequence.setdefault(r["sequence_id"], []).append(r)
-        by_doc.setdefault(r["doc_id"], []).append(r)
-    for own in by_sequence.values():
-        own.sort(key=lambda r: r["offset"])
-        at = 0
-        for r in own:
-            assert r["offset"] == at
-            at += r["length"]
-        assert at <= length
-    assert set(by_doc) == set(texts_by_id)
-    for doc, own in by_doc.items():
-        ids = library(texts_by_id[doc]) + [1]
-        packed = b"".join(i.to_bytes(4, "little") for i in ids)
-        own.sort(key=lambda r: r["start"])
-        assert [r["start"] for r in own] == [sum(o["length"] for o in own[:i]) for i in range(len(own))]
-        assert sum(r["length"] for r in own) == len(ids)
-        for r in own:
-            part = packed[4 * r["start"]:4 * (r["start"] + r["length"])]
-            assert (r["ids_crc32"], r["doc_tokens"], bytes(r["ids"])) == (zlib.crc32(part), len(ids), part)
-    return len(by_sequence)
-
-
 @pytest.mark.parametrize("n_parts, fan_in", [(1, 32), (9, 2)])
 def test_packing_is_an_exact_cover(spark, library, monkeypatch, n_parts, fan_in):
     monkeypatch.setattr(packing, "FAN_IN", fan_in)
@@ -75,7 +50,7 @@ def test_packing_is_an_exact_cover(spark, library, monkeypatch, n_parts, fan_in)
     texts[7] = None
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(n_parts)
     rows = packing.pack(docs, BPE, length=64, n_open=4).collect()
-    n = _packs(rows, library, texts, 64)
+    n = checked_packs(rows, library, texts, 64)
     assert sum(r["length"] for r in rows) / (64 * n) > 0.85
 
 
