@@ -9,6 +9,7 @@ arrays; nothing is parsed and no row leaves the JVM.
 from __future__ import annotations
 
 import functools
+import sys
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -40,7 +41,7 @@ def fold(c: Column) -> Column:
     """Lower-case without accents."""
     accented, plain = accent_table()
     # Marks without a partner in ``plain`` are deleted: text may arrive decomposed.
-    return F.translate(F.lower(c), accented + COMBINING_MARKS, plain)
+    return F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(F.lower(c), accented + COMBINING_MARKS, plain)).otherwise(F.lower(c))
 
 
 def tokenise(c: Column) -> Column:
@@ -155,9 +156,10 @@ def match_tokens(expr: Expr, tokens: dict[str, Column]) -> Column:
 def letter_variants() -> dict[str, str]:
     """Folded letter -> every other character that folds to it alone."""
     variants: dict[str, str] = {}
-    for code in (*range(0x41, 0x530), *range(0x1E00, 0x2000), 0x212A, 0x212B):
+    accented = {*range(0x41, 0x530), *range(0x1E00, 0x2000), 0x212A, 0x212B}
+    for code in range(0x41, sys.maxunicode + 1):
         char = chr(code)
-        folded = fold_text(char)
+        folded = fold_text(char) if code in accented else char.lower()
         if folded != char and len(folded) == 1 and unicodedata.category(char)[0] == "L":
             variants[folded] = variants.get(folded, "") + char
     return variants
@@ -167,8 +169,8 @@ def phrase_pattern(words: list[str]) -> str:
     """A regular expression that finds the words as adjacent tokens in unfolded text.
 
     Every letter stands for all its cases and accents, combining marks may follow
-    it, and no letter or digit may touch the words. The first letter comes before
-    the look-behind, so that the scan only stops where a word may begin.
+    it, and no letter or digit may touch the words: they begin the text or come
+    after something else than a letter, a digit or a mark, with any number of marks between.
     """
     marks, solid = r"[\x{300}-\x{36f}]*+", r"[\p{L}\p{N}]"
 
@@ -180,10 +182,8 @@ def phrase_pattern(words: list[str]) -> str:
         behind = f"[\\x{{100}}-\\x{{10ffff}}&&[{listed(far)}]]" if far else ""
         return f"[{listed(near)}{behind}]"
 
-    first = letter(words[0][0])
-    start = f"{first}(?<!{solid}[\\x{{300}}-\\x{{36f}}]{{0,8}}{first}){marks}"
     texts = ["".join(letter(c) + marks for c in word) for word in words]
-    texts[0] = start + "".join(letter(c) + marks for c in words[0][1:])
+    texts[0] = r"(?:\A|[^\p{L}\p{N}\x{300}-\x{36f}])" + marks + texts[0]
     return f"[^\\p{{L}}\\p{{N}}]++".join(texts) + f"(?!{solid})"
 
 

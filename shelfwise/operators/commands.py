@@ -8,6 +8,7 @@ returns new rows and, separately, refused commands with a reason.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 from datetime import date
 
@@ -36,6 +37,13 @@ def value_of(field: str, kind: str, fields: str = "fields") -> Column:
     return raw if kind == "string" else raw.try_cast(kind)
 
 
+def mistyped(kinds: dict[str, str]) -> Column:
+    """True where a given value is no value of its field's type (NULL is: it clears)."""
+    wrong = [F.try_element_at("fields", F.lit(f)).isNotNull() & value_of(f, kind).isNull()
+             for f, kind in kinds.items() if kind != "string"]
+    return functools.reduce(lambda a, b: a | b, wrong)
+
+
 def _filled(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) != ""
 
@@ -44,6 +52,7 @@ def field_problems() -> list[tuple[str, Column]]:
     """Rules a command's own fields must meet, as (reason, broken)."""
     frm, until = value_of("drink_from", "int"), value_of("drink_until", "int")
     return [
+        ("not a number", mistyped(spec.WINE_FIELDS)),
         ("profile needs sources",
          _filled(value_of("profile", "string")) & ~_filled(value_of("profile_sources", "string"))),
         ("window runs backwards", F.coalesce(frm > until, F.lit(False))),
@@ -474,8 +483,11 @@ def apply_removals(commands: DataFrame, wines: DataFrame, racked: DataFrame, tod
     judged = staged(asked.withColumn("_problem", problem), "removals-judged")
     valid = judged.filter(F.col("_problem").isNull())
 
-    # One bottle per place is what every write to a racked cellar guarantees.
-    in_rack = F.col("_racked").isNotNull() & F.col("_in_slots") & (F.size("parts") == F.col("balance"))
+    # One bottle per place is what every write to a racked cellar guarantees. Where two places or more
+    # are no slots, a command may leave only those, and nobody has to say which any more.
+    loose_places = F.size(F.filter("parts", lambda p: ~rules.is_slot(p)))
+    in_rack = (F.col("_racked").isNotNull() & F.col("_in_slots") & (F.size("parts") == F.col("balance"))
+               & (loose_places < 2))
     racked_cmds = valid.filter(in_rack)
     loose = valid.filter(~in_rack)
     naming = loose.filter(F.size("slots") > 0).select(*KEYS).distinct()

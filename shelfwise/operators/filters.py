@@ -131,9 +131,3 @@ def styles_of(df: DataFrame, grapes: DataFrame, presets: dict[str, tuple] = STYL
             ok = ok & ~match_text(Term(unwanted), ("taste",))
         labels.append(F.when(ok, F.lit(style)))
     return joined.select(key, F.explode(F.array_compact(F.array(*labels))).alias("style"))
-
-
-def presets_frame(spark: SparkSession, presets: dict[str, tuple] = STYLE_PRESETS) -> DataFrame:
-    """The presets as a table."""
-    rows = [(name, list(g), list(c), u) for name, (g, c, u) in presets.items()]
-    return spark.createDataFrame(rows, "style STRING, grapes ARRAY<STRING>, countries ARRAY<STRING>, without STRING")

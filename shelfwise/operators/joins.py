@@ -73,8 +73,3 @@ def cheaper_counts(refs: DataFrame, products: DataFrame, category: str = "cat2",
              .join(own, (F.col("_ref") == F.col("_own")) & F.col("_cat").eqNullSafe(F.col("_own_cat")), "left")
              .select("_ref", (F.coalesce("_n", F.lit(0)) - F.coalesce("_one", F.lit(0))).alias("candidates")))
     return below.select("_ref", F.col("below").alias("candidates")).unionByName(whole).withColumnRenamed("_ref", key)
-
-
-def equal_category(a: Column, b: Column) -> Column:
-    """Category equality where two unknown categories are the same."""
-    return a.eqNullSafe(b)

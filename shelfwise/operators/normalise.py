@@ -147,8 +147,3 @@ def normalise(raw: DataFrame, raw_col: str = "raw", synced_at: str = "synced_at"
     for flag in spec.FLAG_COLUMNS:
         priced = priced.withColumn(flag, F.lit(None).cast("boolean"))
     return priced.select(*keep, *spec.ALL_COLUMNS, "grapes", "pairings")
-
-
-def synonyms_frame(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
-    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("canonical", T.StringType())])
-    return spark.createDataFrame(rows, schema)

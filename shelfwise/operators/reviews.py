@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 
@@ -9,8 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfwise import spec
 from shelfwise.functions import cellar as rules
-from shelfwise.operators.commands import block_of, first_problem, given, value_of
+from shelfwise.operators.commands import block_of, first_problem, given, mistyped, value_of
 from shelfwise.operators.running import numbered
+from shelfwise.sources.scratch import staged
 
 KEYS = ["cellar_id", "wine_id"]
 REVIEW_COLUMNS = ("cellar_id", "review_id", "wine_id", *spec.REVIEW_FIELDS, "recorded_on")
@@ -20,14 +22,14 @@ def _given_text(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) != ""
 
 
-def review_problems() -> list[tuple[str, Column]]:
-    """A review has to say something, and its numbers have to fit."""
+def review_problems(of: Callable[[str], Column] = F.col) -> list[tuple[str, Column]]:
+    """A review has to say something, and its numbers have to fit. ``of`` gives the column of a field."""
     return [
         ("needs a score, an award or a summary",
-         F.col("score").isNull() & ~_given_text(F.col("award")) & ~_given_text(F.col("summary"))),
-        ("score above its scale", F.coalesce(F.col("score") > F.col("scale"), F.lit(False))),
-        ("window runs backwards", F.coalesce(F.col("drink_from") > F.col("drink_until"), F.lit(False))),
-        ("invalid date", ~rules.valid_partial_date(F.col("tasted_on"))),
+         of("score").isNull() & ~_given_text(of("award")) & ~_given_text(of("summary"))),
+        ("score above its scale", F.coalesce(of("score") > of("scale"), F.lit(False))),
+        ("window runs backwards", F.coalesce(of("drink_from") > of("drink_until"), F.lit(False))),
+        ("invalid date", ~rules.valid_partial_date(of("tasted_on"))),
     ]
 
 
@@ -102,37 +104,62 @@ def upsert_reviews(batch: DataFrame, reviews: DataFrame, wines: DataFrame, today
     return Reviewed(after, _mark(wines, good, today), rejects)
 
 
+#: Patches of one review that are folded in one array.
+PATCH_BLOCK = 1000
+
+
 def patch_reviews(patches: DataFrame, reviews: DataFrame, today: date) -> tuple[DataFrame, DataFrame]:
     """Correct reviews; ``patches``: cellar_id, review_id, seq, fields. Returns (reviews, rejects).
 
     An absent key keeps, NULL clears; critic, release and seen cannot be cleared;
-    without a score there is no scale. Patches of one review merge, the later
-    winning, and the merged review must pass the rules.
+    without a score there is no scale. Patches of one review are judged in the
+    order of seq, each against what the accepted ones before it made; a refused
+    one changes nothing and is reported by its own seq.
     """
     cannot = [(f"{f} cannot be cleared", given(f) & ~_given_text(value_of(f, "string")))
               for f in ("critic", "release", "seen")]
     known = reviews.select(F.col("cellar_id").alias("k_cellar"), F.col("review_id").alias("k_id"))
     judged = patches.join(known, (F.col("cellar_id") == F.col("k_cellar")) & (F.col("review_id") == F.col("k_id")),
-                          "left").withColumn("reason", first_problem([("no such review", F.col("k_id").isNull()), *cannot]))
+                          "left").withColumn("reason", first_problem([("no such review", F.col("k_id").isNull()),
+                                                                      ("not a number", mistyped(spec.REVIEW_FIELDS)), *cannot]))
     refused = judged.filter(F.col("reason").isNotNull()).select("cellar_id", "review_id", "seq", "reason")
-    merged = judged.filter(F.col("reason").isNull()).groupBy("cellar_id", "review_id").agg(
-        F.max("seq").alias("_seq"),
-        *[F.max_by(F.struct(value_of(f, k).alias("v")), F.when(given(f), F.col("seq"))).alias(f"o_{f}")
-          for f, k in spec.REVIEW_FIELDS.items()])
-    joined = reviews.join(merged, ["cellar_id", "review_id"], "left")
-    patched = joined.select(
-        "cellar_id", "review_id", "wine_id", "_seq",
-        *[F.when(F.col(f"o_{f}").isNotNull(), F.col(f"o_{f}.v")).otherwise(F.col(f)).alias(f) for f in spec.REVIEW_FIELDS],
-        F.when(F.col("_seq").isNotNull(), F.lit(today.isoformat())).otherwise(F.col("recorded_on")).alias("recorded_on"))
-    touched = F.col("_seq").isNotNull()
-    scaled = patched.withColumn("scale", F.when(~touched, F.col("scale")).when(
-        F.col("score").isNotNull(), F.coalesce("scale", F.lit(100.0))))
-    checked = scaled.withColumn("reason", F.when(touched, first_problem(review_problems())))
-    bad = checked.filter(F.col("reason").isNotNull()).select(
-        "cellar_id", "review_id", F.col("_seq").alias("seq"), "reason")
-    fine = checked.filter(F.col("reason").isNull()).select(*reviews.columns)
-    old = reviews.join(bad, ["cellar_id", "review_id"], "left_semi")
-    return fine.unionByName(old), refused.unionByName(bad)
+    given_values = F.struct("seq", *[F.when(given(f), F.struct(value_of(f, k).alias("v"))).alias(f) for f, k in spec.REVIEW_FIELDS.items()])
+    left = judged.filter(F.col("reason").isNull()).select("cellar_id", "review_id", "seq", given_values.alias("patch"))
+    counted = numbered(left.withColumn("_block", block_of("seq")), ["cellar_id", "review_id"], "_block", ["seq"], "_nth")
+    rounds = staged(counted.select("cellar_id", "review_id", "patch", F.floor((F.col("_nth") - 1) / PATCH_BLOCK).alias("_round")), "review-patches")
+    # One round, unless a review has more than PATCH_BLOCK patches.
+    last = rounds.agg(F.max("_round")).first()[0]
+    for i in range(0 if last is None else last + 1):
+        folded = _fold_patches(reviews, rounds.filter(F.col("_round") == i), today)
+        folded = folded if i == last else staged(folded, "reviews")
+        refused = refused.unionByName(folded.select("cellar_id", "review_id", F.explode("_rejects").alias("_r")).select(
+            "cellar_id", "review_id", "_r.seq", "_r.reason"))
+        reviews = folded.drop("_rejects")
+    return reviews, refused
+
+
+def _fold_patches(reviews: DataFrame, patches: DataFrame, today: date) -> DataFrame:
+    """``reviews`` after their patches, with _rejects (seq, reason)."""
+    lists = patches.groupBy("cellar_id", "review_id").agg(F.array_sort(F.collect_list("patch"), lambda a, b: F.when(
+        a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)).alias("_list"))
+    start = F.struct(F.struct(*[F.col(f).cast(k).alias(f) for f, k in spec.REVIEW_FIELDS.items()]).alias("row"), F.lit(False).alias("changed"),
+                     F.array().cast("array<struct<seq:bigint,reason:string>>").alias("rejects"))
+
+    def step(state: Column, patch: Column) -> Column:
+        values = {f: F.when(patch[f].isNotNull(), patch[f]["v"]).otherwise(state["row"][f]) for f in spec.REVIEW_FIELDS}
+        values["scale"] = F.when(values["score"].isNotNull(), F.coalesce(values["scale"], F.lit(100.0)))
+        reason = first_problem(review_problems(values.__getitem__))
+        row = F.struct(*[values[f].alias(f) for f in spec.REVIEW_FIELDS])
+        reject = F.array(F.struct(patch["seq"].cast("bigint").alias("seq"), reason.alias("reason")))
+        return F.when(reason.isNull(), F.struct(row.alias("row"), F.lit(True).alias("changed"), state["rejects"].alias("rejects"))).otherwise(
+            F.struct(state["row"].alias("row"), state["changed"].alias("changed"), F.concat(state["rejects"], reject).alias("rejects")))
+
+    end = F.aggregate(F.coalesce("_list", F.array().cast(lists.schema["_list"].dataType)), start, step)
+    folded = reviews.join(lists, ["cellar_id", "review_id"], "left").withColumn("_end", end)
+    columns = [F.col(f"_end.row.{c}").alias(c) if c in spec.REVIEW_FIELDS
+               else F.when(F.col("_end.changed"), F.lit(today.isoformat())).otherwise(F.col(c)).alias(c) if c == "recorded_on"
+               else F.col(c) for c in reviews.columns]
+    return folded.select(*columns, F.col("_end.rejects").alias("_rejects"))
 
 
 def delete_reviews(reviews: DataFrame, ids: DataFrame) -> DataFrame:

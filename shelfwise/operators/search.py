@@ -220,23 +220,32 @@ def product_detail(tables: Catalogue, ids: DataFrame, columns: tuple[str, ...] =
     return out.join(grapes, key, "left").join(pairs, key, "left").join(carried, key, "left")
 
 
+def _store_order() -> list[Column]:
+    return [F.col("products").desc(), F.col("name").asc(), F.col("site_id").asc()]
+
+
 def list_stores(store: DataFrame, store_product: DataFrame, search: str | None = None,
-                mirrored_only: bool = False, limit: int | None = spec.DEFAULT_PAGE) -> DataFrame:
-    """Stores with their product count; a store is mirrored when it has any."""
+                mirrored_only: bool = False) -> DataFrame:
+    """All stores with their product count, in order; a store is mirrored when it has any. ``stores_page`` gives a page of them."""
     found = store if search is None else store.filter(any_contains(["name", "city", "county"], search))
     counted = joins.count_per_row(found.select("site_id", "name", "city", "county"), store_product, "site_id", "products")
     out = counted.withColumn("mirrored", F.col("products") > 0)
     if mirrored_only:
         out = out.filter("mirrored")
-    ordered = out.orderBy(F.col("products").desc(), F.col("name").asc(), F.col("site_id").asc())
-    return ordered if limit is None else ordered.limit(limit)
+    return out.orderBy(*_store_order())
+
+
+def stores_page(store: DataFrame, store_product: DataFrame, search: str | None = None, mirrored_only: bool = False,
+                limit: int = spec.DEFAULT_PAGE, offset: int = 0) -> Page:
+    """One page of ``list_stores`` with its total."""
+    return page(list_stores(store, store_product, search, mirrored_only), _store_order(), limit, offset)
 
 
 def reading_result(status: Column, stock: Column) -> tuple[Column, Column]:
     """(stock, error) of one reading: not found is zero, any other failure is unknown."""
     ok = (status >= 200) & (status < 300)
     value = F.when(status == 404, F.lit(0)).when(ok, F.coalesce(stock, F.lit(0)))
-    error = F.when(~ok & (status != 404), F.concat(F.lit("stock API returned "), status.cast("string")))
+    error = F.when(~ok & (status != 404), F.concat(F.lit("stock lookup failed with status "), status.cast("string")))
     return value, error
 
 

@@ -362,14 +362,14 @@ WHERE s.name ILIKE '%asia%' OR s.city ILIKE '%asia%' OR s.county ILIKE '%asia%'
 ORDER BY products DESC, name, site_id LIMIT 100
 """)
 def list_stores(t: Source) -> DataFrame:
-    return search.list_stores(t.store, t.store_product, "asia", limit=100)
+    return search.list_stores(t.store, t.store_product, "asia")
 
 
 @add("mirrored_only_stores", """
 SELECT s.site_id, s.name, count(*) AS products FROM {store} s JOIN {store_product} p USING (site_id) GROUP BY s.site_id, s.name
 """)
 def mirrored_only(t: Source) -> DataFrame:
-    return search.list_stores(t.store, t.store_product, mirrored_only=True, limit=None).select("site_id", "name", "products")
+    return search.list_stores(t.store, t.store_product, mirrored_only=True).select("site_id", "name", "products")
 
 
 @add("latest_stock", """
@@ -379,7 +379,7 @@ latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id, pro
   ORDER BY ts DESC, status DESC, stock DESC NULLS LAST) AS n FROM {readings}) r WHERE n = 1)
 SELECT a.site_id, a.product_id, p.full_name, strftime(l.ts, '%Y-%m-%d %H:%M:%S') AS checked_at,
   CASE WHEN l.status = 404 THEN 0 WHEN l.status = 200 THEN coalesce(l.stock, 0) END :: bigint AS stock,
-  CASE WHEN l.status = 503 THEN 'stock API returned 503' END AS error,
+  CASE WHEN l.status = 503 THEN 'stock lookup failed with status 503' END AS error,
   CASE WHEN l.ts IS NULL THEN 0 ELSE 1 END :: bigint AS checked
 FROM asked a LEFT JOIN latest l ON l.site_id = a.site_id AND l.product_id = a.product_id LEFT JOIN {product} p ON p.product_id = a.product_id
 """)

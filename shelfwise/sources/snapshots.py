@@ -4,21 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-DAY_IN_PATH = r"(\d{4}-\d{2}-\d{2})"
+# The day of a file: its folder is called day=..., or its own name has one. Folders further up do not count.
+DAY_OF_FILE = r"(?:/day=(\d{4}-\d{2}-\d{2})/[^/]*|/[^/]*?(\d{4}-\d{2}-\d{2})[^/]*)$"
 
 
 def _with_day(lines: DataFrame) -> DataFrame:
-    day = F.regexp_extract(F.col("_metadata.file_path"), DAY_IN_PATH, 1)
+    path = F.col("_metadata.file_path")
+    day = F.coalesce(*[F.nullif(F.regexp_extract(path, DAY_OF_FILE, i), F.lit("")) for i in (1, 2)])
     return lines.select(F.col("value").alias("raw"), F.try_to_date(day).alias("day"))
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """(raw, day) of every line; the day comes from the file's path.
+    """(raw, day) of every line.
 
-    A day named in the path prunes files only through the path itself, so pass
-    a narrower path (or glob) to read fewer days.
+    Below ``path`` the folders ``day=...`` are partitions: a filter on day opens those
+    only. Where there are none the day comes from each file's name.
     """
-    return _with_day(spark.read.text(path)).filter(F.col("raw") != "")
+    lines = spark.read.text(path)
+    if "day" not in lines.columns:
+        return _with_day(lines).filter(F.col("raw") != "")
+    return lines.select(F.col("value").alias("raw"), F.col("day").cast("date").alias("day")).filter(F.col("raw") != "")
 
 
 def stream_snapshot(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:

@@ -125,25 +125,15 @@ AVAILABILITY = {
 }
 UNKNOWN_AVAILABILITY = ("order_only", 3)
 
-# Catalogue attribute -> flag column it fills.
-ATTRIBUTE_FLAGS = {
-    "Vegansk": "is_vegan",
-    "Naturvin": "is_natural",
-    "Glutenfri": "is_gluten_free",
-    "Koscher": "is_kosher",
-}
-
 # Paging and gates.
 DEFAULT_PAGE = 20
 MAX_PAGE = 100
-SQL_ROW_CAP = 500
 SLICE_CAP = 333 * 30
 MIN_PUBLISH_ROWS = 1000
 MAX_BOTTLES_PER_COMMAND = 1000
 MAX_COUNT = 10000
 
 # Enumerations of the cellar.
-EVENT_KINDS = ("added", "removed", "adjusted")
 REMOVAL_REASONS = ("drunk", "gift", "sold", "broken", "other")
 REVIEW_RELEASES = ("this_release", "other_release", "unknown")
 REVIEW_SEEN = ("at_source", "quoted")

@@ -152,7 +152,8 @@ def test_removals_equal_one_at_a_time(spark, monkeypatch, seed, has_rack):
         elif kind == 1:
             wines.append((w, len(slots), ", ".join(slots)))
         elif kind == 2:
-            wines.append((w, len(slots), " , ".join([*slots[:-1], "fridge"])))
+            loose = ["fridge", "floor", "box"][:rng.randint(1, 3)]
+            wines.append((w, len(slots) - 1 + len(loose), " , ".join([*slots[:-1], *loose])))
         else:
             wines.append((w, rng.randint(1, 9), ", ".join(slots)))  # bottles and places differ
     for _ in range(500):
@@ -276,3 +277,59 @@ def test_reviews_replace_and_are_checked(spark):
     row = after.filter("review_id = 1").first()
     assert (row.score, row.scale, row.summary, after.count()) == (None, None, "dry", 2)
     assert {r.review_id: r.reason for r in refused.collect()} == {2: "critic cannot be cleared", 9: "no such review"}
+
+
+def test_removal_becomes_clear_once_the_slot_is_empty(spark):
+    out = commands.apply_removals(removals_of(spark, [(1, 1, ["A1"]), (1, 1, None)]), wines_of(spark, {"wine_id": 1, "quantity": 3, "location": "A1, floor, shelf"}),
+                                  racks_of(spark, ("A", "E", 1, 30)), TODAY)
+    assert sorted(e.seq for e in out.events.collect()) == [1, 2] and out.rejects.count() == 0
+
+
+def test_mistyped_values_are_refused(spark, mirror):
+    held = wines_of(spark, {"wine_id": 1, "purchase_price": 10.0})
+    patches = spark.createDataFrame([("c", 1, 1, {"purchase_price": "12,50"}), ("c", 1, 2, {"purchase_price": None}), ("c", 1, 3, {"vintage": "abc"})],
+                                    "cellar_id STRING, wine_id BIGINT, seq BIGINT, fields MAP<STRING,STRING>")
+    out = commands.apply_patch(patches.filter("seq <> 2"), held, no_rack(spark), TODAY)
+    assert {r.seq: r.reason for r in out.rejects.collect()} == {1: "not a number", 3: "not a number"} and out.wines.first().purchase_price == 10.0
+    assert commands.apply_patch(patches.filter("seq = 2"), held, no_rack(spark), TODAY).wines.first().purchase_price is None
+    added = commands.apply_adds(adds_of(spark, {"id": "111", "fields": {"abv": "12 %"}}, {"id": "111"}), *mirror, held, no_rack(spark), TODAY)
+    assert [(r.seq, r.reason) for r in added.rejects.collect()] == [(1, "not a number")]
+
+
+def _patched(review, patches):
+    """The rules one patch at a time."""
+    row, refused = dict(review), {}
+    for seq, fields in patches:
+        new = {**row, **{k: float(v) if v is not None and k in ("score", "scale") else v for k, v in fields.items()}}
+        new["scale"] = None if new["score"] is None else (100.0 if new["scale"] is None else new["scale"])
+        if "critic" in fields and not fields["critic"]:
+            refused[seq] = "critic cannot be cleared"
+        elif new["score"] is None and not new["award"] and not new["summary"]:
+            refused[seq] = "needs a score, an award or a summary"
+        elif new["score"] is not None and new["score"] > new["scale"]:
+            refused[seq] = "score above its scale"
+        else:
+            row = new
+    return row, refused
+
+
+@pytest.mark.parametrize("block", [1000, 3])
+def test_review_patches_in_order(spark, monkeypatch, block):
+    monkeypatch.setattr(reviews, "PATCH_BLOCK", block)
+    rng = random.Random(block)
+    fields = ", ".join(f"{f} {k}" for f, k in spec.REVIEW_FIELDS.items())
+    base = {**dict.fromkeys(spec.REVIEW_FIELDS), "critic": "Guide", "score": 91.0, "scale": 100.0, "release": "unknown", "seen": "quoted"}
+    held = spark.createDataFrame([{"cellar_id": "c", "review_id": i, "wine_id": 1, **base, "recorded_on": "old"} for i in range(6)],
+                                 f"cellar_id STRING, review_id BIGINT, wine_id BIGINT, {fields}, recorded_on STRING")
+    choices = [{"award": "Gold"}, {"score": "150"}, {"score": None}, {"score": "17", "scale": "20"}, {"award": None}, {"summary": "dry"}, {"critic": None},
+               {"critic": "B", "summary": None}]
+    asked = [(rng.randrange(5), seq, rng.choice(choices)) for seq in range(60)]
+    patches = spark.createDataFrame([("c", *a) for a in asked], "cellar_id STRING, review_id BIGINT, seq BIGINT, fields MAP<STRING,STRING>")
+    after, refused = reviews.patch_reviews(patches, held, TODAY)
+    want, reasons = {}, {}
+    for i in range(6):
+        want[i], own = _patched(base, [(seq, f) for r, seq, f in asked if r == i])
+        reasons |= own
+    got = {r.review_id: r.asDict() for r in after.collect()}
+    assert {i: {f: row[f] for f in spec.REVIEW_FIELDS} for i, row in got.items()} == want and got[5]["recorded_on"] == "old"
+    assert {r.seq: r.reason for r in refused.collect()} == reasons

@@ -107,3 +107,20 @@ def test_snapshot_day_is_overwritten(spark, tmp_path):
     snapshots.write_snapshot(first.limit(1).withColumn("day", day), path)
     counts = {str(r.day): r.n for r in snapshots.read_snapshot(spark, path).groupBy("day").agg(F.count("*").alias("n")).collect()}
     assert counts == {"2026-09-01": 1, "2026-09-02": 2}
+
+
+def test_snapshot_day_is_that_of_the_file(spark, tmp_path):
+    """Dates further up in the path do not count, and a filter on the day opens its folder only."""
+    folder = tmp_path / "2020-01-01" / "snap"
+    lines = spark.createDataFrame([('{"productId": "1"}', "2026-08-02"), ('{"productId": "2"}', "2026-08-03")], "raw STRING, day STRING")
+    snapshots.write_snapshot(lines.withColumn("day", F.col("day").cast("date")), str(folder))
+    back = snapshots.read_snapshot(spark, str(folder))
+    assert sorted(str(r.day) for r in back.collect()) == ["2026-08-02", "2026-08-03"]
+    one = back.filter(F.col("day") == F.lit("2026-08-03").cast("date"))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert one.count() == 1 and "PartitionFilters: [isnotnull(day" in plan
+    flat = tmp_path / "2019-01-01"
+    flat.mkdir()
+    (flat / "products-2026-08-04.jsonl").write_text('{"productId": "3"}\n')
+    (flat / "other.jsonl").write_text('{"productId": "4"}\n')
+    assert sorted(str(r.day) for r in snapshots.read_snapshot(spark, str(flat)).collect()) == ["2026-08-04", "None"]

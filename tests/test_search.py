@@ -162,7 +162,7 @@ def test_stock_readings(spark):
     asked = spark.createDataFrame([("1001", p) for p in ("7116", "20034", "3", "4")], "site_id STRING, product_id STRING")
     names = spark.createDataFrame([("7116", "A")], "product_id STRING, full_name STRING")
     got = {r.product_id: (r.full_name, r.stock, r.error, r.checked) for r in search.latest_stock(readings, asked, names).collect()}
-    assert got == {"7116": ("A", 0, None, True), "20034": (None, None, "stock API returned 503", True),
+    assert got == {"7116": ("A", 0, None, True), "20034": (None, None, "stock lookup failed with status 503", True),
                    "3": (None, 0, None, True), "4": (None, None, None, False)}
 
 
@@ -207,3 +207,15 @@ def test_plans_push_filters_and_prune_columns(spark, sf_dir):
     for name in ("find_similar", "candidate_counts", "dedupe_run", "coverage_audit", "upsert"):
         text = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
+def test_patterns_and_tokens_agree(spark):
+    """Searching the text and searching its tokens give the same rows, whatever marks and scripts."""
+    rng = random.Random(9)
+    words = ["ek", "Ek", "EK", "xek", "e\u0301k", "x" + "\u0301" * 9 + "ek", "\u0301ek", "ekar", "körsbär", "KÖRSBÄR", "korsbar", "ԲԱՐԵՎ", "բարև", "ﬁek", "ｅｋ", "ＥＫ", "𐐀", "𐐨", "7ek", "ek7"]
+    texts = [rng.choice(["", " ", "-", "."]).join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(400)] + words + [None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING").withColumn("tok", tokenise(F.col("t")))
+    for term in ("ek", "körsbär", "korsbar ek", "ԲԱՐԵՎ", "ｅｋ", "𐐀", "xek"):
+        by_pattern = {r.i for r in text_match(df, Term(term), ("t",)).collect()}
+        assert by_pattern == {r.i for r in text_match_tokens(df, Term(term), {"t": "tok"}).collect()}, term
+        assert by_pattern
