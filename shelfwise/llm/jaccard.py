@@ -3,8 +3,8 @@
 A document's set holds its distinct word n-grams as 64-bit hashes. Two sets that
 link share one of their *prefixes*: the first ``size - ceil(t size) + 1`` members in an
 order common to all. The order puts frequent n-grams last, so that prefixes are rare.
-Which ones are frequent is counted over the prefixes of all documents, again until
-none is new; the counts decide the cost, never the result.
+Which ones are frequent is counted over the prefixes of all documents, and once more
+over what prefixes grow into that held some; the counts decide the cost, never the result.
 
 Equal sets are one *class*; classes of the same size and prefix are one *group*. Groups
 that share a rare prefix member are paired under the size filter, pairs of groups are
@@ -35,11 +35,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfwise.llm.components import connected
 from shelfwise.llm.pretokens import portions
 from shelfwise.llm.words import VISIBLE, hashed_words, mixed
-from shelfwise.llm.workers import ship_code
+from shelfwise.llm.workers import ship_code, slices
 from shelfwise.sources.scratch import staged
 
 #: A prefix member in so many documents is frequent; more if that were over ``MOST_FREQUENT`` of them.
-FREQUENT, MOST_FREQUENT = 100, 1 << 20
+FREQUENT, MOST_FREQUENT = 32, 1 << 20
 #: Classes of a list that one task compares with as many others, and columns of the comparison's matrix.
 BLOCK, COLUMNS = 512, 4096
 _FILTER_BITS = 1 << 23
@@ -90,17 +90,17 @@ class NGramJaccard:
         ship_code(docs.sparkSession)
         docs = docs.select(F.col(key), F.col(text).alias("text"))
         frequent = self._frequent(docs)
-        scanned = staged(self._scan(docs, frequent), "prefixes")
-        classes = (scanned.filter("n > 0").groupBy("class")
-                   .agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("common").alias("common"))
-                   .withColumn("group", F.xxhash64("n", "rare", "common")))
-        classes = staged(classes, "classes")
-        lists = self._long_lists(classes)
+        scanned = staged(self._scan(docs, frequent).withColumn("group", F.xxhash64("n", "rare", "common")), "prefixes")
+        members = staged(scanned.filter("n > 0").select("group", "class", "n").distinct(), "members")
+        groups = (scanned.filter("n > 0").groupBy("group")
+                  .agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("common").alias("common")))
+        groups = staged(groups, "groups")
+        lists = self._long_lists(groups, members)
         pivots = lists.groupBy("list").agg(F.min(F.struct("class", "n")).alias("pivot"))
         with_pivot = (lists.join(pivots, "list").filter(F.col("class") != F.col("pivot.class"))
                       .filter(_can_link("n", "pivot.n", self.share))
                       .select(F.least("class", "pivot.class").alias("a"), F.greatest("class", "pivot.class").alias("b")))
-        pairs = staged(self._short_pairs(classes).unionByName(with_pivot).distinct(), "pairs")
+        pairs = staged(self._short_pairs(groups, members).unionByName(with_pivot).distinct(), "pairs")
         near = staged(self._verified(docs, pairs), "near")
         roots = connected(near)
         roots = connected(near.unionByName(self._across(docs, lists, roots)))
@@ -117,9 +117,9 @@ class NGramJaccard:
         held = docs.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT numbers
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-                for a, b in portions(texts, 2 << 20):
+                for a, b in portions(texts, 1 << 20):
                     rows = [_prefix(own, held.value, share) for own in sets_of(texts[a:b], n)]
                     number, size, rare, common = zip(*rows)
                     as_lists = lambda parts: pa.ListArray.from_arrays(
@@ -131,43 +131,74 @@ class NGramJaccard:
         return docs.mapInArrow(scan, f"`{key}` {kind}, n long, class long, rare array<long>, common array<long>")
 
     def _frequent(self, docs: DataFrame) -> np.ndarray:
-        """High halves of members that are frequent in the prefixes of all documents, sorted."""
+        """High halves of members that are frequent in the prefixes of all documents, sorted.
+
+        The second count also takes in what a prefix that held frequent members will grow into:
+        three places for each of them, or the whole set if they were half of the prefix.
+        """
         found = np.empty(0, np.uint32)
-        limit = None
-        for _ in range(6):  # each round can only add; what a sixth would add costs time, not results
-            halves = (self._scan(docs, found).select(F.explode("rare").alias("m"))
-                      .select(F.shiftright("m", 32).cast("int").alias("half")).groupBy("half").count())
-            counted = staged(halves.filter(F.col("count") >= FREQUENT), "frequent")
-            if limit is None:
-                limit = FREQUENT
-                while counted.filter(F.col("count") >= limit).count() > MOST_FREQUENT // 8:
-                    limit *= 2
-            new = np.array([r[0] for r in counted.filter(F.col("count") >= limit).select("half").limit(MOST_FREQUENT // 8).collect()], np.int32)
-            if not len(new):
-                break
-            found = np.union1d(found, new.view(np.uint32))
+        for _ in range(2):
+            counted = staged(self._halves(docs, found).groupBy("half").count().filter(F.col("count") >= FREQUENT), "frequent")
+            limit = FREQUENT
+            while (new := counted.filter(F.col("count") >= limit)).count() > MOST_FREQUENT // 2:
+                limit *= 2
+            found = np.union1d(found, np.array([r[0] for r in new.select("half").collect()], np.int32).view(np.uint32))
         return found
 
-    def _short_pairs(self, classes: DataFrame) -> DataFrame:
-        """Pairs of classes whose groups share a rare prefix member, and pairs within small groups."""
-        groups = classes.groupBy("group", "n").agg(F.first("rare").alias("rare"))
+    def _halves(self, docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+        """The high half of each member of each prefix, and of more where the prefix held ``frequent`` ones. A task counts equal sets once."""
+        n, share = self.n, self.share
+        held = docs.sparkSession.sparkContext.broadcast(frequent)
+
+        def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for batch in slices(batches):
+                texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
+                for a, b in portions(texts, 1 << 20):
+                    out = [np.empty(0, np.uint32)]
+                    for own in sets_of(texts[a:b], n):
+                        if len(own) and (name := _class(own)) not in seen:
+                            seen.add(name)
+                            half = (own >> np.uint64(32)).astype(np.uint32)
+                            length = _of_share(len(own), share)
+                            common = int(_is_in(half[:length], held.value).sum()) if len(held.value) else 0
+                            out.append(half[:length + 2 * common + 8 if common else length] if 2 * common < length else half)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int32))], names=["half"])
+
+        return docs.select("text").mapInArrow(halves, "half int")
+
+    def _short_pairs(self, groups: DataFrame, members: DataFrame) -> DataFrame:
+        """Pairs of classes whose groups share a rare prefix member, and pairs within small groups.
+
+        What two prefixes share bounds what the sets can share; most pairs of groups end there.
+        """
+        share = self.share
         lists = groups.select("group", "n", F.explode("rare").alias("member"))
         left = lists.select(F.col("group").alias("g1"), F.col("n").alias("n1"), "member")
         right = lists.select(F.col("group").alias("g2"), F.col("n").alias("n2"), "member")
-        pairs = (left.join(right, "member").filter("g1 < g2").filter(_can_link("n1", "n2", self.share))
-                 .select("g1", "g2").distinct())
-        members = classes.select("group", "class")
+        pairs = left.join(right, "member").filter("g1 < g2").filter(_can_link("n1", "n2", share)).select("g1", "g2").distinct()
+        side = lambda i: groups.select(*[F.col(c).alias(c[0] + str(i)) for c in ("group", "n", "rare")], (F.size("common") > 0).alias(f"c{i}"))
+
+        def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, y = ([np.asarray(v.values).view(np.uint64) for v in batch.column(c)] for c in ("r1", "r2"))
+                rest = zip(*(batch.column(c).to_pylist() for c in ("n1", "n2", "c1", "c2")))
+                stays = pa.array([c1 or c2 or _may_share(a, b, n1, n2, share) for a, b, (n1, n2, c1, c2) in zip(x, y, rest)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("g1").filter(stays), batch.column("g2").filter(stays)], names=["g1", "g2"])
+
+        pairs = (pairs.join(side(1), "g1").join(side(2), "g2").select("g1", "g2", "n1", "n2", "r1", "r2", "c1", "c2")
+                 .mapInArrow(likely, "g1 long, g2 long"))
         small = members.groupBy("group").count().filter(F.col("count").between(2, FREQUENT)).select(F.col("group").alias("g1"), F.col("group").alias("g2"))
         return (pairs.unionByName(small)
                 .join(members.select(F.col("group").alias("g1"), F.col("class").alias("x")), "g1")
                 .join(members.select(F.col("group").alias("g2"), F.col("class").alias("y")), "g2")
                 .filter("g1 <> g2 or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
-    def _long_lists(self, classes: DataFrame) -> DataFrame:
+    def _long_lists(self, groups: DataFrame, members: DataFrame) -> DataFrame:
         """(list, class, n): classes that share a frequent prefix member, and large groups."""
-        large = classes.groupBy("group").count().filter(F.col("count") > FREQUENT).select("group")
-        return (classes.select(F.explode("common").alias("list"), "class", "n")
-                .unionByName(classes.join(large, "group").select(F.xxhash64("group", F.lit("group")).alias("list"), "class", "n")))
+        large = members.groupBy("group").count().filter(F.col("count") > FREQUENT).select("group")
+        lists = groups.select(F.explode("common").alias("list"), "group").unionByName(large.select(F.xxhash64("group", F.lit("group")).alias("list"), "group"))
+        return lists.join(members, "group").select("list", "class", "n")
 
     def _texts(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
         """(class, text), one text of each wanted class.
@@ -185,9 +216,9 @@ class NGramJaccard:
 
         def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = np.unpackbits(held.value, bitorder="little")
-            for batch in batches:
+            for batch in slices(batches):
                 texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-                for a, b in portions(texts, 2 << 20):
+                for a, b in portions(texts, 1 << 20):
                     rows = [(_class(own), t) for own, t in zip(sets_of(texts[a:b], n), texts[a:b]) if len(own)]
                     rows = [r for r in rows if known[r[0] % _FILTER_BITS]]
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
@@ -204,12 +235,12 @@ class NGramJaccard:
                 .join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b"))
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 a, b, left, right = (batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
                 own = dict(zip(a, left)) | dict(zip(b, right))
                 sets: dict[int, np.ndarray] = {}
                 names = list(own)
-                for x, y in portions([own[c] for c in names], 2 << 20):
+                for x, y in portions([own[c] for c in names], 1 << 20):
                     sets |= zip(names[x:y], sets_of([own[c] for c in names[x:y]], n))
                 stays = [_links(_shared(sets[x], sets[y]), len(sets[x]), len(sets[y]), share) for x, y in zip(a, b)]
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(stays, pa.bool_())),
@@ -218,7 +249,10 @@ class NGramJaccard:
         return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
     def _across(self, docs: DataFrame, lists: DataFrame, roots: DataFrame) -> DataFrame:
-        """Links (a, b) between the components that meet in a long list."""
+        """Links (a, b) between the components that meet in a long list.
+
+        Everything outside a list's largest component is compared with all of the list.
+        """
         n, share = self.n, self.share
         known = (lists.join(roots.withColumnRenamed("node", "class"), "class", "left")
                  .withColumn("root", F.coalesce("root", "class")))
@@ -243,13 +277,15 @@ class NGramJaccard:
         owns = (members.join(grid, ["list", "bucket"])
                 .withColumn("own_block", salt(F.col("own_blocks"))).withColumn("ask_block", numbers("ask_blocks")).withColumn("asks", F.lit(False)))
         rows = asks.select(*place, "asks", "class", "root").unionByName(owns.select(*place, "asks", "class", "root"))
+        if members.isEmpty():
+            return docs.sparkSession.createDataFrame([], "a long, b long")
         texts = staged(self._texts(docs, members.select("class")), "texts")
 
         def compare(table: pa.Table) -> pa.Table:
             names, asks_, root = (table.column(c).to_pylist() for c in ("class", "asks", "root"))
             own = dict(zip(names, table.column("text").to_pylist()))
             order = list(own)
-            sets = dict(zip(order, (s for x, y in portions([own[c] for c in order], 2 << 20) for s in sets_of([own[c] for c in order[x:y]], n))))
+            sets = dict(zip(order, (s for x, y in portions([own[c] for c in order], 1 << 20) for s in sets_of([own[c] for c in order[x:y]], n))))
             of = dict(zip(names, root))
             left = [c for c, a in zip(names, asks_) if a]
             right = [c for c, a in zip(names, asks_) if not a]
@@ -267,11 +303,23 @@ def _prefix(own: np.ndarray, frequent: np.ndarray, share: int) -> tuple:
     if not len(frequent):
         return _class(own), len(own), own[:length], own[:0]
     half = (own >> np.uint64(32)).astype(np.uint32)
-    common = frequent[np.minimum(np.searchsorted(frequent, half), len(frequent) - 1)] == half
+    common = _is_in(half, frequent)
     rare = own[~common][:length]
     return _class(own), len(own), rare, own[common][:length - len(rare)]
 
 
+def _is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which ``values`` are in ``known``, which is sorted and not empty."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _may_share(x: np.ndarray, y: np.ndarray, n1: int, n2: int, share: int) -> bool:
+    """Whether sets with these prefixes can link: what they share up to the earlier prefix's end is seen, the rest is bounded by size."""
+    end = min(x[-1], y[-1])
+    x, y = x[:np.searchsorted(x, end, side="right")], y[:np.searchsorted(y, end, side="right")]
+    return _links(_shared(x, y) + min(n1 - len(x), n2 - len(y)), n1, n2, share)
+
+
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
     both = np.sort(np.concatenate([x, y]))
     return int((both[1:] == both[:-1]).sum())
