@@ -261,8 +261,9 @@ class NGramJaccard:
                 .filter("roots > 1"))
         # Sizes that can link lie in the same or in neighbouring buckets.
         bucket = F.floor(F.log("n") / float(np.log(100 / share))).cast("int")
+        # Lists with one largest component (those of a group of near copies) are one list from here on.
         members = staged(known.join(main, "list").withColumns({"bucket": bucket, "outside": F.col("root") != F.col("main")})
-                         .select("list", "class", "root", "bucket", "outside"), "members")
+                         .select(F.col("main").alias("list"), "class", "root", "bucket", "outside").distinct(), "members")
         blocks = lambda rows, name: rows.groupBy("list", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
         asked = members.filter("outside").withColumn("ask_bucket", F.col("bucket"))
         near = lambda rows: rows.withColumn("ask_bucket", F.explode(F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])))
