@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from shelfwise.llm.fm_index import FMIndex
 from shelfwise.llm.pretokens import portions
 from shelfwise.llm.words import ALNUM, hashed_words
-from shelfwise.llm.workers import ship_code
+from shelfwise.llm.workers import ship_code, slices
 
-SHARD, SLICE = 4 << 20, 16 << 20
+SHARD, SLICE = 2 << 20, 16 << 20
 
 
 @dataclass
@@ -122,7 +122,7 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share
     slices = _sent(benchmark.select(item, item_text), n)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
             rows = []
             for a, b in portions(texts, SHARD):

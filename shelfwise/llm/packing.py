@@ -27,13 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from shelfwise.llm.pretokens import SPECIAL, Memo, pieces, portions
-from shelfwise.llm.workers import ship_code
+from shelfwise.llm.workers import ship_code, slices
 from shelfwise.sources.scratch import staged
 
 #: Windows a partition keeps open, and partitions whose open windows are merged in one group.
 OPEN, FAN_IN = 64, 32
 #: Pre-tokens whose ids a worker remembers, about 200 bytes each.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 #: Bits of a sequence's number within its partition.
 _SERIAL_BITS = 36
 
@@ -125,7 +125,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", le
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         windows, rows = Windows(length, n_open, part << _SERIAL_BITS), []
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for name, ids in zip(batch.column(0).to_pylist(), encoded(texts, path)):
                 ids += end
@@ -135,7 +135,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", le
                     size = len(piece) // 4
                     item = (name, start, size, zlib.crc32(piece), total, piece if keep_ids else None)
                     rows += _rows(windows.put(size, item), part)
-                if len(rows) >= 5000:
+                if len(rows) >= 500:
                     yield _batch(rows, schema)
                     rows = []
         yield _batch(rows + _rows(windows.rest(True), part), schema)

@@ -37,7 +37,7 @@ from shelfwise.llm.pretokens import portions
 from shelfwise.llm.sorted_buckets import compared
 from shelfwise.llm.windows import Substrings, anchored_runs
 from shelfwise.llm.words import mixed
-from shelfwise.llm.workers import ship_code
+from shelfwise.llm.workers import ship_code, slices
 from shelfwise.sources.scratch import staged
 
 #: Offsets that are looked at together before single ones (an eighth of the length at most).
@@ -73,7 +73,7 @@ def with_spans(docs: DataFrame, length: int = 400, text: str = "text", keep_text
     schema, columns_kept, added = T.StructType([*rest.schema.fields, *new.fields]), rest.columns, new.names
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for data, cut in zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column("cut").to_pylist()):
                 data = data or b""
@@ -126,10 +126,10 @@ def _salts(n: int, before: int) -> np.ndarray:
 def _run_records(length: int, gram: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = 0
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             d, size = (np.asarray(batch.column(c)) for c in _NAME)
-            for a, b in portions(texts, 2 << 20):
+            for a, b in portions(texts, 1 << 20):
                 held = Substrings(texts[a:b])
                 owner, first, last, anchor = anchored_runs(held, length, gram)
                 t2 = _salted(held.hash(first, last + length), anchor - first)
@@ -152,7 +152,7 @@ def _strings(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
     one = texts.filter(F.col("n_bytes") >= length).groupBy(*_NAME).agg(F.first("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(d, n, r["first"], r["span"], r["offset"], text[r["first"]:r["first"] + r["span"] + length])
                     for d, n, text, own in zip(*(batch.column(c).to_pylist() for c in _NAME),
                                                batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist())
@@ -170,10 +170,10 @@ def _part_records(length: int):
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = 0
-        for batch in batches:
+        for batch in slices(batches):
             strings = batch.column("string").to_pylist()
             d, size, first, span, offset = (np.asarray(batch.column(c)).astype(np.int64) for c in (*_NAME, "first", "span", "offset"))
-            for a, b in portions(strings, 2 << 20):
+            for a, b in portions(strings, 1 << 20):
                 held = Substrings(strings[a:b])
                 at, highest, lowest = held.starts + offset[a:b], offset[a:b], offset[a:b] - span[a:b]  # of the anchors, in the joined strings
                 n = highest // size_of - lowest // size_of + 1
@@ -195,10 +195,10 @@ def _part_records(length: int):
 def _window_records(length: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = 0
-        for batch in batches:
+        for batch in slices(batches):
             strings, offsets = batch.column("string").to_pylist(), batch.column("offsets").to_pylist()
             d, size, first, offset = (np.asarray(batch.column(c)).astype(np.int64) for c in (*_NAME, "first", "offset"))
-            for a, b in portions(strings, 2 << 20):
+            for a, b in portions(strings, 1 << 20):
                 held = Substrings(strings[a:b])
                 own = np.array([i for i, parts in enumerate(offsets[a:b]) for p in parts for _ in range(p["low"], p["high"] + 1)], np.int64)
                 o = np.array([o for parts in offsets[a:b] for p in parts for o in range(p["low"], p["high"] + 1)], np.int64)

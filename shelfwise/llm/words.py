@@ -26,7 +26,7 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) >= n:
         return _powers
     made = tuple(np.concatenate(([np.uint64(1)], np.cumprod(np.full(n, b, np.uint64)))) for b in (_BASE, _INVERSE))
-    if n <= 1 << 23:
+    if n <= 1 << 22:
         _powers = made
     return made
 
