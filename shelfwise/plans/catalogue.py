@@ -390,7 +390,7 @@ def latest_stock(t: Source) -> DataFrame:
 
 
 @add("carried_or_unknown", """
-WITH asked AS (SELECT DISTINCT l_suppkey AS site_id, (l_partkey * 7) % 1000 AS product_id FROM {lineitem}),
+WITH asked AS (SELECT DISTINCT l_suppkey AS site_id, l_partkey + l_orderkey % 2 AS product_id FROM {lineitem}),
 sites AS (SELECT DISTINCT site_id FROM {store_product})
 SELECT a.site_id, a.product_id, CASE WHEN s.product_id IS NOT NULL THEN 1 WHEN m.site_id IS NULL THEN NULL
   WHEN substr(p.launch_date, 1, 10) > '2026-08-25' THEN NULL ELSE 0 END :: bigint AS carried
@@ -398,7 +398,7 @@ FROM asked a LEFT JOIN {store_product} s ON s.site_id = a.site_id AND s.product_
 LEFT JOIN sites m ON m.site_id = a.site_id LEFT JOIN {product} p ON p.product_id = a.product_id
 """)
 def carried_or_unknown(t: Source) -> DataFrame:
-    pairs = t.lineitem.select(F.col("l_suppkey").alias("site_id"), ((F.col("l_partkey") * 7) % 1000).alias("product_id")).distinct()
+    pairs = t.lineitem.select(F.col("l_suppkey").alias("site_id"), (F.col("l_partkey") + F.col("l_orderkey") % 2).alias("product_id")).distinct()
     return search.carried_or_unknown(pairs, t.store_product, t.product, SYNC)
 
 
