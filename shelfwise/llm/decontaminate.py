@@ -119,14 +119,14 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share
                                    "spans array<struct<first: int, end: int>>")
     kept = docs.drop(*new.names)
     schema = T.StructType([*kept.schema.fields, *new.fields])
-    slices = _sent(benchmark.select(item, item_text), n)
+    sent = _sent(benchmark.select(item, item_text), n)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
             rows = []
             for a, b in portions(texts, SHARD):
-                for n_words, spans, found in hit_words(texts[a:b], slices):
+                for n_words, spans, found in hit_words(texts[a:b], sent):
                     n_hit = sum(end - begin for begin, end in spans)
                     rows.append((n_words, n_hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(),
                                  n_hit > 0 and share * n_hit >= n_words, [{"first": x, "end": y} for x, y in spans]))
