@@ -35,8 +35,8 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that occur elsewhere are cut out; a document of which nothing stays goes."""
-    cut = suffix_dedup.with_spans(docs, keep_text=True).filter("kept <> '' or n_removed = 0")
+    """Passages of over 50 words, or of 400 bytes or more, that occur elsewhere are cut out; a document of which nothing stays goes."""
+    cut = suffix_dedup.with_spans(docs, keep_text=True, words=51).filter("kept <> '' or n_removed = 0")
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))) \
         .withColumn("text", text).select(docs.columns)

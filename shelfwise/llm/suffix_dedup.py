@@ -18,6 +18,10 @@ multikey sort and compared with its neighbours' edges (``sorted_buckets``):
 
 Texts are read for the runs that need it only. Matches never cross documents.
 
+If asked, a byte also goes if some ``words`` words that cover it occur anywhere else.
+Words are what ASCII white space parts, compared byte by byte; how they are parted does not
+count. The same steps then run over the words' hashes in place of the bytes.
+
 Cases: a null text is empty; a text shorter than ``length`` loses nothing. Rows that
 repeat repeat each other's text, so all that is long enough goes. Ids may repeat or be
 null: results follow the text. Other columns stay; result columns replace their namesakes.
@@ -26,7 +30,8 @@ null: results follow the text. Other columns stay; result columns replace their
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +41,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from shelfwise.llm.pretokens import portions
 from shelfwise.llm.sorted_buckets import compared
 from shelfwise.llm.windows import Substrings, anchored_runs
-from shelfwise.llm.words import mixed
+from shelfwise.llm.words import VISIBLE, mixed, word_hashes, word_places
 from shelfwise.llm.workers import ship_code, slices
 from shelfwise.sources.scratch import staged
 
@@ -56,7 +61,7 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def with_spans(docs: DataFrame, length: int = 400, text: str = "text", keep_text: bool = False) -> DataFrame:
+def with_spans(docs: DataFrame, length: int = 400, text: str = "text", keep_text: bool = False, words: int | None = None) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans, kept_sha256, spans ([first, end) in bytes, merged) and, if asked, kept.
 
     kept is the text that stays; of a character that a cut goes through, nothing stays in it.
@@ -65,19 +70,22 @@ def with_spans(docs: DataFrame, length: int = 400, text: str = "text", keep_text
     ship_code(spark)
     new = T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
                                    "spans array<struct<first: long, end: long>>" + ", kept string" * keep_text)
-    rest = docs.drop(*(set(new.names) - {text}), *_NAME, "cut")
+    rest = docs.drop(*(set(new.names) - {text}), *_NAME, "cut", "word_cut")
     whole = F.coalesce(text, F.lit(""))
     named = rest.withColumns({"d": F.xxhash64(whole), "n_bytes": F.octet_length(whole).cast("long")})
-    cuts = _cuts(named.select(*_NAME, whole.alias("text")), length)
-    joined = named.join(cuts, _NAME, "left")
+    texts = named.select(*_NAME, whole.alias("text"))
+    joined = named.join(_cuts(texts, length), _NAME, "left")
+    if words:
+        joined = joined.join(_cuts(texts, words, _WORDS).withColumnRenamed("cut", "word_cut"), _NAME, "left")
     schema, columns_kept, added = T.StructType([*rest.schema.fields, *new.fields]), rest.columns, new.names
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
-            for data, cut in zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column("cut").to_pylist()):
+            word_cuts = batch.column("word_cut").to_pylist() if words else [None] * batch.num_rows
+            for data, cut, word_cut in zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column("cut").to_pylist(), word_cuts):
                 data = data or b""
-                spans = _merged(cut or [])
+                spans = _merged((cut or []) + _in_bytes(data, word_cut or []))
                 kept = b"".join(data[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(f for f, _ in spans), len(data)]))
                 rows.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(),
                              [{"first": a, "end": b} for a, b in spans], kept.decode(errors="ignore"))[:len(added)])
@@ -99,14 +107,36 @@ def _merged(cut: list[dict]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _cuts(texts: DataFrame, length: int) -> DataFrame:
-    """d, n_bytes, cut: byte ranges to remove of each text that has any."""
+def _in_bytes(data: bytes, cut: list[dict]) -> list[dict]:
+    """Ranges of words as ranges of bytes, from the first word's first byte to the last word's end."""
+    if not cut:
+        return []
+    starts, ends = word_places(np.frombuffer(data, np.uint8), VISIBLE)
+    return [{"first": int(starts[c["first"]]), "end": int(ends[c["end"] - 1])} for c in cut]
+
+
+@dataclass(frozen=True)
+class _Unit:
+    """What a window is made of: each takes ``width`` bytes of a text's units, and ``least`` bytes of the text at least."""
+
+    of: Callable[[bytes], bytes]
+    width: int
+    least: Callable[[int], int]
+
+
+_BYTES = _Unit(lambda text: text, 1, lambda length: length)
+_WORDS = _Unit(lambda text: word_hashes(text, VISIBLE).tobytes(), 8, lambda length: 2 * length - 1)
+
+
+def _cuts(texts: DataFrame, length: int, unit: _Unit = _BYTES) -> DataFrame:
+    """d, n_bytes, cut: ranges of units to remove of each text that has any."""
     gram = length // 2
-    runs = compared(staged(texts.filter(F.col("n_bytes") >= length).mapInArrow(_run_records(length, gram), _RUN), "runs"), "runs")
-    strings = staged(_strings(texts, runs.filter("many and leads"), length), "strings")
-    parts = compared(staged(strings.mapInArrow(_part_records(length), _PART), "parts"), "parts")
+    texts = texts.filter(F.col("n_bytes") >= unit.least(length))
+    runs = compared(staged(texts.mapInArrow(_run_records(length, gram, unit), _RUN), "runs"), "runs")
+    strings = staged(_strings(texts, runs.filter("many and leads"), length, unit), "strings")
+    parts = compared(staged(strings.mapInArrow(_part_records(length, unit), _PART), "parts"), "parts")
     asked = parts.filter("many and leads").groupBy(*_NAME, "first").agg(F.collect_list(F.struct("high", "low")).alias("offsets"))
-    singles = compared(staged(strings.join(asked, [*_NAME, "first"]).mapInArrow(_window_records(length), _WINDOW), "windows"), "windows")
+    singles = compared(staged(strings.join(asked, [*_NAME, "first"]).mapInArrow(_window_records(length, unit), _WINDOW), "windows"), "windows")
     ranges = (runs.filter("same").select(*_NAME, F.struct("first", (F.col("first") + F.col("span") + length).alias("end")).alias("range"))
               .unionByName(parts.filter("same").select(*_NAME, F.struct((F.col("anchor") - F.col("high")).alias("first"),
                                                                         (F.col("anchor") - F.col("low") + length).alias("end")).alias("range")))
@@ -123,14 +153,14 @@ def _salts(n: int, before: int) -> np.ndarray:
     return (TaskContext.get().partitionId() << 40) + before + np.arange(n)
 
 
-def _run_records(length: int, gram: int):
+def _run_records(length: int, gram: int, unit: _Unit):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = 0
         for batch in slices(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             d, size = (np.asarray(batch.column(c)) for c in _NAME)
             for a, b in portions(texts, 1 << 20):
-                held = Substrings(texts[a:b])
+                held = Substrings([unit.of(t) for t in texts[a:b]], unit.width)
                 owner, first, last, anchor = anchored_runs(held, length, gram)
                 t2 = _salted(held.hash(first, last + length), anchor - first)
                 at = first - held.starts[owner]
@@ -143,19 +173,19 @@ def _run_records(length: int, gram: int):
     return make
 
 
-def _strings(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """d, n_bytes, first, span, offset and string (from the run's first byte to its last window's end).
+def _strings(texts: DataFrame, runs: DataFrame, length: int, unit: _Unit) -> DataFrame:
+    """d, n_bytes, first, span, offset and string (from the run's first unit to its last window's end).
 
     Equal texts are one before the shuffle; a text's runs are as many as it has.
     """
     wanted = runs.groupBy(*_NAME).agg(F.collect_set(F.struct("first", "span", "offset")).alias("runs"))
-    one = texts.filter(F.col("n_bytes") >= length).groupBy(*_NAME).agg(F.first("text").alias("text"))
+    one = texts.groupBy(*_NAME).agg(F.first("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = [(d, n, r["first"], r["span"], r["offset"], text[r["first"]:r["first"] + r["span"] + length])
-                    for d, n, text, own in zip(*(batch.column(c).to_pylist() for c in _NAME),
-                                               batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist())
+            rows = [(d, n, r["first"], r["span"], r["offset"], units[r["first"] * unit.width:(r["first"] + r["span"] + length) * unit.width])
+                    for d, n, units, own in zip(*(batch.column(c).to_pylist() for c in _NAME),
+                                                map(unit.of, batch.column("text").cast(pa.binary()).to_pylist()), batch.column("runs").to_pylist())
                     for r in own]
             columns = list(zip(*rows)) or [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
@@ -165,7 +195,7 @@ def _strings(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
     return one.join(wanted, _NAME).mapInArrow(cut, "d long, n_bytes long, first long, span int, offset int, string binary")
 
 
-def _part_records(length: int):
+def _part_records(length: int, unit: _Unit):
     size_of = max(1, min(PART, length // 8))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +204,7 @@ def _part_records(length: int):
             strings = batch.column("string").to_pylist()
             d, size, first, span, offset = (np.asarray(batch.column(c)).astype(np.int64) for c in (*_NAME, "first", "span", "offset"))
             for a, b in portions(strings, 1 << 20):
-                held = Substrings(strings[a:b])
+                held = Substrings(strings[a:b], unit.width)
                 at, highest, lowest = held.starts + offset[a:b], offset[a:b], offset[a:b] - span[a:b]  # of the anchors, in the joined strings
                 n = highest // size_of - lowest // size_of + 1
                 own = np.repeat(np.arange(len(n)), n)
@@ -192,14 +222,14 @@ def _part_records(length: int):
     return make
 
 
-def _window_records(length: int):
+def _window_records(length: int, unit: _Unit):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = 0
         for batch in slices(batches):
             strings, offsets = batch.column("string").to_pylist(), batch.column("offsets").to_pylist()
             d, size, first, offset = (np.asarray(batch.column(c)).astype(np.int64) for c in (*_NAME, "first", "offset"))
             for a, b in portions(strings, 1 << 20):
-                held = Substrings(strings[a:b])
+                held = Substrings(strings[a:b], unit.width)
                 own = np.array([i for i, parts in enumerate(offsets[a:b]) for p in parts for _ in range(p["low"], p["high"] + 1)], np.int64)
                 o = np.array([o for parts in offsets[a:b] for p in parts for o in range(p["low"], p["high"] + 1)], np.int64)
                 start = offset[a:b][own] - o

@@ -8,14 +8,17 @@ from shelfwise.llm.words import _SPREAD, _powers_to, mixed
 
 
 class Substrings:
-    """Texts end to end; ``hash(start, end)`` of substrings in constant time each."""
+    """Texts end to end; ``hash(start, end)`` of substrings in constant time each.
 
-    def __init__(self, texts: list[bytes]):
-        self.data = np.frombuffer(b"".join(texts), np.uint8)
-        self.ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    Places count units of ``width`` bytes: 1 for bytes, 8 for words by their hashes.
+    """
+
+    def __init__(self, texts: list[bytes], width: int = 1):
+        self.data = np.frombuffer(b"".join(texts), np.uint8 if width == 1 else np.uint64)
+        self.ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) // width
         self.starts = np.concatenate(([0], self.ends[:-1]))
         power, self._inverse = _powers_to(len(self.data) + 1)
-        self._sums = np.concatenate(([np.uint64(0)], np.cumsum(_SPREAD[self.data] * power[:len(self.data)])))
+        self._sums = np.concatenate(([np.uint64(0)], np.cumsum((_SPREAD[self.data] if width == 1 else self.data) * power[:len(self.data)])))
 
     def hash(self, start, end) -> np.ndarray:
         return mixed((self._sums[end] - self._sums[start]) * self._inverse[start])

@@ -51,9 +51,23 @@ def hashed_words(texts: list[bytes], inside: np.ndarray) -> Words:
     """Words (runs of bytes ``inside``, A-Z lower-cased) of each text. A word's hash is a polynomial of its bytes."""
     data = _LOWER[np.frombuffer(b"\n".join([*texts, b""]), np.uint8)]
     ends_at = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    starts, ends = word_places(data, inside)
+    return Words(_hashes(data, starts, ends), np.concatenate(([0], np.searchsorted(starts, ends_at))))
+
+
+def word_hashes(text: bytes, inside: np.ndarray) -> np.ndarray:
+    """The hash of each word of one text, as it is written."""
+    data = np.frombuffer(text, np.uint8)
+    return _hashes(data, *word_places(data, inside))
+
+
+def word_places(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of each run of bytes ``inside``."""
     edge = np.diff(np.concatenate(([False], inside[data], [False])).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     power, inverse = _powers_to(len(data) + 1)
     sums = np.concatenate(([np.uint64(0)], np.cumsum(_SPREAD[data] * power[:len(data)])))
-    hashes = mixed((sums[ends] - sums[starts]) * inverse[starts])
-    return Words(hashes, np.concatenate(([0], np.searchsorted(starts, ends_at))))
+    return mixed((sums[ends] - sums[starts]) * inverse[starts])

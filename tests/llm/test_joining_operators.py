@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,6 +12,7 @@ from brute import contaminated, cut, near_copies
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from shelfwise.llm import decontaminate, jaccard, nearest, sorted_buckets, suffix_dedup
 from shelfwise.llm.components import connected
 from shelfwise.llm.fm_index import FMIndex
@@ -129,6 +132,50 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, length, bucket):
     assert suffix_dedup.with_spans(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("words, bucket", [(51, 400_000), (7, 40), (2, 60)])
+def test_suffix_dedup_by_words_equals_brute_force(spark, monkeypatch, words, bucket):
+    """Long and short words, any white space between them; bytes as before beside them."""
+    monkeypatch.setattr(sorted_buckets, "BUCKET", bucket)
+    rng = random.Random(words)
+    word = lambda: "".join(rng.choice("abcdé.") for _ in range(rng.choice([1, 1, 2, 9])))
+    passages = [[word() for _ in range(n)] for n in (words - 1, words, words + 1, 3 * words)]
+    texts = ["", None, "a " * 300, " \n", "x" * 900, "x" * 900 + "y"]
+    for _ in range(50):
+        parts = [word() for _ in range(rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 3)):
+            p = rng.choice(passages)
+            a = rng.randint(0, len(p) // 2)
+            parts += p[a:a + rng.randint(words // 2, len(p))] + [f"only{rng.random()}"]
+        texts.append("".join(w + rng.choice([" ", " ", "\n", " \t"]) for w in parts))
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, word_cut string")
+    out = suffix_dedup.with_spans(docs, keep_text=True, words=words).collect()
+    assert len(out) == len(texts)
+    places = [[(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for t in texts]
+    windows = Counter(tuple(w for *_, w in own[i:i + words]) for own in places for i in range(len(own) - words + 1))
+    long = Counter(t[i:i + 400] for t in ((t or "").encode() for t in texts) for i in range(len(t) - 399))
+    for r in out:
+        data, own = (r["text"] or "").encode(), places[r["doc_id"]]
+        gone = np.zeros(len(data), bool)
+        for i in range(len(own) - words + 1):
+            if windows[tuple(w for *_, w in own[i:i + words])] > 1:
+                gone[own[i][0]:own[i + words - 1][1]] = True
+        for i in range(len(data) - 399):
+            if long[data[i:i + 400]] > 1:
+                gone[i:i + 400] = True
+        assert r["kept"] == bytes(b for b, g in zip(data, gone) if not g).decode(errors="ignore")
+        assert r["n_removed"] == gone.sum() == sum(s["end"] - s["first"] for s in r["spans"])
+
+
+def test_pipeline_cuts_a_passage_of_51_short_words(spark):
+    """Of under 400 bytes, in two documents that are otherwise different."""
+    passage = " ".join(f"w{i}" for i in range(51))
+    texts = ["Here begins one text. " + passage + " and so it ends", "Another one\n" + passage + "\nhas other words", "A third " + passage[:-4]]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.without_repeats(spark, docs, "").collect()}
+    kept = [t.replace(passage, "") for t in texts]
+    assert len(passage) < 400 and out == {i: (t, len(t)) for i, t in enumerate(kept)}
+
+
 def test_nearest_vectors(spark):
     rng = np.random.default_rng(3)
     vectors = rng.standard_normal((900, 16)).astype(np.float32)
