@@ -44,7 +44,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more of the words occur in benchmark items go."""
-    judged = decontaminate.with_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    judged = decontaminate.with_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), unnamed_items=True)
     return judged.filter("not contaminated").select(docs.columns)
 
 

@@ -10,8 +10,10 @@ there. Backward search finds all phrases together; their places are merged to sp
 The phrases go to every executor in slices of ``SLICE`` bytes, each asked in turn, so
 the benchmark may be of any size; documents are read once and never shuffled.
 
-Cases: null and empty texts have no words; an item without words or id holds no phrase;
-rows that repeat an item id are one item. Documents may repeat. A document in which
+Cases: null and empty texts have no words; an item without words holds no phrase; rows
+that repeat an item id are one item. Items without id hold no phrase unless
+``unnamed_items``; then they hit words like others, and have no place in n_items and
+items_sha256. Documents may repeat. A document in which
 nothing occurs has no spans and the digest of the empty string. Other columns stay;
 result columns replace input columns of the same name.
 """
@@ -52,7 +54,7 @@ def phrases_of(items: list[tuple], n: int) -> Phrases | None:
     for (item, _), a, b in zip(items, words.first, words.first[1:]):
         own = numbers[a:b].tolist()
         for i in range(max(len(own) - n + 1, min(len(own), 1))):
-            owners.setdefault(tuple(own[i:i + n]), set()).add(item)
+            owners.setdefault(tuple(own[i:i + n]), set()).update(() if item is None else (item,))
     if not owners:
         return None
     table = np.zeros((len(owners), n), np.int64)
@@ -109,7 +111,7 @@ def hit_words(texts: list[bytes], slices: list) -> Iterator[tuple[int, list[tupl
 
 
 def with_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, text: str = "text",
-                       item: str = "item_id", item_text: str = "text") -> DataFrame:
+                       item: str = "item_id", item_text: str = "text", unnamed_items: bool = False) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items_sha256, contaminated and spans (hit words, [first, end)).
 
     A document is contaminated if a word is hit and at least one word of ``share`` is.
@@ -119,7 +121,7 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share
                                    "spans array<struct<first: int, end: int>>")
     kept = docs.drop(*new.names)
     schema = T.StructType([*kept.schema.fields, *new.fields])
-    sent = _sent(benchmark.select(item, item_text), n)
+    sent = _sent(benchmark.select(item, item_text).dropna(subset=[item_text] if unnamed_items else [item, item_text]), n)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -141,7 +143,7 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share
 def _sent(benchmark: DataFrame, n: int) -> list:
     """The phrases, broadcast in slices; the driver holds one slice at a time."""
     context, slices, held, size = benchmark.sparkSession.sparkContext, [], [], 0
-    for item, text in benchmark.dropna().distinct().toLocalIterator():
+    for item, text in benchmark.distinct().toLocalIterator():
         held.append((item, text.encode()))
         size += len(held[-1][1])
         if size >= SLICE:

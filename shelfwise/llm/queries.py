@@ -91,7 +91,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return (decontaminate.with_contamination(docs, _table(spark, sf_dir, "benchmark"))
+    return (decontaminate.with_contamination(docs, _table(spark, sf_dir, "benchmark"), unnamed_items=True)
             .select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"))
 
 

@@ -18,6 +18,7 @@ from shelfwise.llm.components import connected
 from shelfwise.llm.fm_index import FMIndex
 from shelfwise.llm.jaccard import NGramJaccard
 from shelfwise.llm.nearest import Plan
+from shelfwise.llm.queries import QUERIES
 
 
 @settings(max_examples=60, deadline=None)
@@ -55,6 +56,21 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, slice_bytes):
     assert {r["n_hit"] for r in decontaminate.with_contamination(docs, benchmark.limit(0)).collect()} == {0}
 
 
+def test_items_without_id_contaminate(spark, tmp_path):
+    """In the query and in the pipeline's stage they hit words; ids are counted of the others only."""
+    items = [(None, "one two three four five"), (7, "three four five six"), (None, None), (None, "...")]
+    texts = ["say one two three four five now", "three four five six", "nothing of it", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    named = [(i, t) for i, t in items if i is not None]
+    for r in QUERIES["op1_decontamination"](spark, str(tmp_path)).collect():
+        n_words, n_hit, _, _, bad = contaminated(texts[r["doc_id"]], items, 13)
+        _, _, n_items, digest, _ = contaminated(texts[r["doc_id"]], named, 13)
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (n_words, n_hit, n_items, digest, bad)
+    assert {r["doc_id"] for r in corpus_pipeline.without_benchmark(spark, docs, str(tmp_path)).collect()} == {2, 3}
+
+
 def test_components_of_random_links(spark):
     rng = random.Random(1)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(500, i) for i in range(400, 450)] + [(i, i + 1) for i in range(600, 640)]
