@@ -7,8 +7,10 @@ adverts and the like), and inside an article. A small decision tree, trained on
 labelled table below, tells main text from the rest.
 
 Cases: null and empty pages have an empty text, as have pages whose blocks are all
-rejected. Unclosed comments, scripts and styles reach to the end of the page; unclosed
-or crossed elements end with the element around them. Rows may repeat. Other columns
+rejected. Unclosed comments, scripts, styles and other elements of raw text reach to the
+end of the page; unclosed or crossed elements end with the element around them. An
+element without text of the page (a button, a drawing) that nothing further on closes
+ends at the next block. Rows may repeat. Other columns
 stay; result columns replace input columns of the same name.
 """
 
@@ -25,9 +27,11 @@ from pyspark.sql import DataFrame, types as T
 from shelfwise.llm.pretokens import portions
 from shelfwise.llm.workers import ship_code, slices
 
-#: Fixed values of HTML: elements whose content is never text of the page, those that
-#: do not break a block, and those that are never closed.
-_UNSEEN = frozenset("script style noscript template title textarea select option button iframe object svg math canvas audio video".split())
+#: Fixed values of HTML: elements whose content is never text of the page (raw text, in which there are no tags; others, of
+#: which drawings may close themselves), those that do not break a block, and those that are never closed.
+_RAW = frozenset("script style noscript title textarea iframe".split())
+_UNSEEN = frozenset("template select option button object svg math canvas audio video".split())
+_DRAWN = frozenset(("svg", "math"))
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
                     "strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -156,12 +160,19 @@ class _Page:
 
     def __init__(self):
         self.blocks: list[tuple] = []   # text, words, linked words, furniture, article
-        self.open: list[tuple] = []     # name, furniture, article of elements that are not inline
+        self.open: list[tuple] = []     # name, furniture, article, unseen (2: until the next block) of elements that are not inline
         self.parts: list[tuple] = []    # text, inside a link
         self.link = False
+        self.inner = 0                  # links open inside an unseen element
+
+    def unseen(self) -> int:
+        return self.open[-1][3] if self.open else 0
+
+    def drawn(self) -> bool:
+        return bool(self.unseen()) and any(o[0] in _DRAWN for o in self.open)
 
     def text(self, raw: str) -> None:
-        if raw:
+        if raw and not self.unseen():
             self.parts.append((raw, self.link))
 
     def flush(self) -> None:
@@ -169,13 +180,16 @@ class _Page:
             text = " ".join(entities.unescape("".join(t for t, _ in self.parts)).split())
             if text:
                 count = lambda some: sum(1 for w in " ".join(some).split() if _WORD.search(w))
-                furniture, article = (self.open[-1][1:] if self.open else (False, False))
+                furniture, article = (self.open[-1][1:3] if self.open else (False, False))
                 self.blocks.append((text, count([text]), count(entities.unescape(t) for t, linked in self.parts if linked), furniture, article))
             self.parts = []
 
     def start(self, name: str, attributes: str) -> None:
         if name == "a":
-            self.link = True
+            if self.unseen():
+                self.inner += 1
+            else:
+                self.link = True
         if name in _INLINE:
             if name == "br":
                 self.text(" ")
@@ -183,18 +197,34 @@ class _Page:
         self.flush()
         if name in _VOID:
             return
-        furniture, article = (self.open[-1][1:] if self.open else (False, False))
+        self.end_open_ended()
+        furniture, article = (self.open[-1][1:3] if self.open else (False, False))
         if name in _ARTICLE:
             article = True
         elif name not in ("html", "body"):
             named = {w for m in _NAMED.finditer(attributes) for w in re.findall(r"[a-z]+", (m[1] or m[2] or m[3] or "").lower())}
             furniture = (furniture or name in _FURNITURE or name == "header" and not article or bool(named & _NAMES)
                          or bool(_HIDDEN.search(attributes)))
-        self.open.append((name, furniture, article))
+        self.open.append((name, furniture, article, self.unseen()))
+
+    def start_unseen(self, name: str, is_closed_later: bool) -> None:
+        self.flush()
+        self.end_open_ended()
+        if not self.unseen():
+            self.inner = 0
+        furniture, article = (self.open[-1][1:3] if self.open else (False, False))
+        self.open.append((name, furniture, article, self.unseen() or (1 if is_closed_later else 2)))
+
+    def end_open_ended(self) -> None:
+        while self.unseen() == 2:
+            self.open.pop()
 
     def end(self, name: str) -> None:
         if name == "a":
-            self.link = False
+            if self.unseen() and self.inner:
+                self.inner -= 1
+            else:
+                self.link = False
         if name in _INLINE:
             return
         self.flush()
@@ -204,10 +234,20 @@ class _Page:
                 break
 
 
+def _closing(name: str) -> re.Pattern:
+    """The closing tag of ``name``, which is one of a few; letters of ASCII only count as equal in either case."""
+    return re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I | re.A)
+
+
+def _closes_itself(attributes: str) -> bool:
+    """Whether a tag ends in '/>'; a slash that ends a value without quotes is the value's."""
+    return attributes.endswith("/") and not re.search(r"=[^\s\"'=]+/\Z", attributes)
+
+
 def blocks_of(html: str) -> list[tuple]:
     """(text, words, linked words, inside furniture, inside an article) of each block."""
     page, at, size = _Page(), 0, len(html)
-    lower = None
+    last_close: dict[str, int] = {}
     while at < size:
         found = _PART.search(html, at)
         if not found:
@@ -215,23 +255,30 @@ def blocks_of(html: str) -> list[tuple]:
             break
         page.text(html[at:found.start()])
         at = found.end()
-        name = (found[2] or found[5] or "").lower()
+        name, attributes = (found[2] or found[5] or "").lower(), found[3] or found[6] or ""
         if not name:
             continue
         if found[1] or found[4]:
             page.end(name)
+        elif name in _RAW:
+            page.flush()
+            if page.drawn() and _closes_itself(attributes):
+                continue
+            close = _closing(name).search(html, at)
+            if not close:
+                break
+            at = close.start()
         elif name in _UNSEEN:
-            lower = lower or html.lower()
-            close = lower.find(f"</{name}", at)
-            if name not in _INLINE:
+            if name in _DRAWN and _closes_itself(attributes):
                 page.flush()
-            if close < 0:
-                break
-            at = close
+                continue
+            if name not in last_close:
+                last_close[name] = max((m.start() for m in _closing(name).finditer(html, at)), default=-1)
+            page.start_unseen(name, last_close[name] >= at)
         else:
             if name == "p" and page.open and page.open[-1][0] == "p":
                 page.end("p")
-            page.start(name, found[3] or found[6] or "")
+            page.start(name, attributes)
     page.flush()
     return page.blocks
 

@@ -143,6 +143,23 @@ def test_main_text_without_an_article_element():
     assert html_text.main_texts([long], tree) is not None
 
 
+@pytest.mark.parametrize("between", [
+    "İ" * 40 + "<script>var a;</script>", "İ" * 40 + "<STYLE>p{}</STYLE >", "<svg/>", '<svg class="icon" />', "<math/>", "<svg><path d='M0'/><title/><g/></svg>",
+    "<div><button>Menu</div>", "<button>Menu", "<div><object data=x></div>", "<audio src=x>", "<datalist><option>Ah<option>Oh</datalist>", "<option>Ah",
+    "<select><option>Ah<option>Oh</select>", "<button>Menu<a href=x>Go</button>", "<template><div><p>no</template>", "<video><p>No video here</video>",
+    "<svg href=x/><text>no</text></svg>", "<script>'</scripty>'</script>", "<svg><svg></svg><text>no</text></svg>"])
+def test_main_text_goes_on_behind_elements_without_text(between):
+    page = f"<article><p>First of all.</p>{between}<p>Second, <a href=x>linked</a> and last.</p></article>"
+    blocks = [b for b in html_text.blocks_of(page) if "İ" not in b[0]]
+    assert [b[:3] for b in blocks] == [("First of all.", 3, 0), ("Second, linked and last.", 4, 1)]
+
+
+def test_raw_text_without_end_reaches_to_the_end():
+    for raw in ("script", "style", "title", "textarea", "iframe", "noscript"):
+        assert [b[0] for b in html_text.blocks_of(f"<p>First</p><{raw}><p>Second</p>")] == ["First"]
+    assert html_text.blocks_of("<option>x" * 50_000 + "<p>End")[-1][0] == "End"
+
+
 def _quality_rows(n):
     rng = random.Random(6)
     good = ["the", "house", "stands", "near", "a", "river", "and", "people", "walk", "there", "often"]
