@@ -35,15 +35,20 @@ _DRAWN = frozenset(("svg", "math"))
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
                     "strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements and names (words of class, id and role) of page furniture.
+#: Elements and names (of class, id and role) of page furniture, and words that may stand beside such a name in one.
 _FURNITURE = frozenset("nav footer aside form menu dialog".split())
 _NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright "
                    "disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted "
                    "promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+_AFFIXES = frozenset("area bar block bottom box btn button buttons col container content count desktop dialog fixed form global google group icon icons id "
+                     "inline inner item items js left link links list main message mobile module nested outer overlay page panel post posts primary "
+                     "article articles entry region right row secondary section site slot sticky story stories text thread title top unit wrap wrapper".split())
 _ARTICLE = frozenset(("article", "main"))
+#: Elements of an article whose id is an anchor, made from a title.
+_ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 p section".split())
 
 _PART = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[^\W_]")
 
@@ -92,6 +97,9 @@ EXAMPLES = (
     (900,    0.00,  5,   0.00,  4,   0.00,  0,    1,    1),
     (0,      0.00,  40,  0.00,  40,  0.00,  0,    1,    1),
     (0,      0.00,  2,   0.00,  0,   0.00,  0,    1,    1),
+    (2,      0.00,  95,  0.00,  110, 0.00,  0,    1,    1),   # <h2 id="related-work">
+    (110,    0.00,  2,   0.00,  70,  0.02,  0,    1,    1),   # <section id="social-history">
+    (35,     0.00,  110, 0.00,  2,   0.00,  0,    1,    1),   # <p id="notice-period">
     (3,      1.00,  60,  0.00,  4,   1.00,  0,    1,    0),
     (2,      1.00,  80,  0.00,  70,  0.00,  0,    1,    0),
     (4,      1.00,  3,   1.00,  5,   1.00,  0,    1,    0),
@@ -155,6 +163,16 @@ def judged(tree, features: np.ndarray) -> np.ndarray:
     return out
 
 
+def _names_furniture(name: str, article: bool) -> bool:
+    """Whether a name says furniture as a whole: of its words one at least does, and the others are affixes or single letters.
+
+    An article's header is none, by its name as by its element.
+    """
+    words = re.findall(r"[a-z]+", name.lower())
+    return (any(w in _NAMES and not (article and w == "header") for w in words)
+            and all(w in _NAMES or w in _AFFIXES or len(w) == 1 for w in words))
+
+
 class _Page:
     """Blocks of one page, gathered in a single pass."""
 
@@ -202,8 +220,9 @@ class _Page:
         if name in _ARTICLE:
             article = True
         elif name not in ("html", "body"):
-            named = {w for m in _NAMED.finditer(attributes) for w in re.findall(r"[a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-            furniture = (furniture or name in _FURNITURE or name == "header" and not article or bool(named & _NAMES)
+            named = (n for m in _NAMED.finditer(attributes) if not (article and name in _ANCHORED and m[1].lower() == "id")
+                     for n in (m[2] or m[3] or m[4] or "").split())
+            furniture = (furniture or name in _FURNITURE or name == "header" and not article or any(_names_furniture(n, article) for n in named)
                          or bool(_HIDDEN.search(attributes)))
         self.open.append((name, furniture, article, self.unseen()))
 

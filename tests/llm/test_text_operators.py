@@ -154,6 +154,22 @@ def test_main_text_goes_on_behind_elements_without_text(between):
     assert [b[:3] for b in blocks] == [("First of all.", 3, 0), ("Second, linked and last.", 4, 1)]
 
 
+def test_anchors_of_titles_are_no_furniture():
+    tree = html_text.trained()
+    said = lambda what: f"{what} is told here at some length"
+    kept = {'<section id="social-history">': "section", '<h2 id="related-work">': "h2", '<p id="notice-period">': "p", "<h3 id=comments>": "h3",
+            '<div id="share-price">': "div", '<div class="header-image-story">': "div", "<div class='has-sidebar text'>": "div", '<div class="entry-header">': "div", '<div id="ad-hoc-networks">': "div"}
+    gone = {'<div class="ad">': "div", '<div id="comments">': "div", '<p class="share-buttons">': "p", '<div class="post related-posts">': "div",
+            '<div class="Cookie-notice">': "div", '<div class="site-footer__links">': "div", '<section class="comments">': "section", '<div role="banner">': "div",
+            '<div class="ad-slot-3x2">': "div", "<h2 class=sidebar>": "h2", '<div class="comment-header">': "div"}
+    for tags, stays in ((kept, True), (gone, False)):
+        for tag, name in tags.items():
+            page = f"<article><p>{said('This')}</p>{tag}{said('That')}</{name}><p>{said('More')}</p></article>"
+            assert html_text.main_texts([page], tree) == ["\n".join(map(said, ("This", "That", "More") if stays else ("This", "More")))], tag
+    block = f"<h2 id='social-history'>Social history</h2><div id='notice-period'>{'word ' * 80}</div>"
+    assert html_text.main_texts([f"<body><div>{'text ' * 90}</div>{block}<div>{'last ' * 90}</div>"], tree)[0].count("\n") == 3
+
+
 def test_raw_text_without_end_reaches_to_the_end():
     for raw in ("script", "style", "title", "textarea", "iframe", "noscript"):
         assert [b[0] for b in html_text.blocks_of(f"<p>First</p><{raw}><p>Second</p>")] == ["First"]
