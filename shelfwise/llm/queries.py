@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwise.llm import decontaminate, html_text, jaccard, nearest, packing, quality, sharding, suffix_dedup, token_counts, url_filter
+from shelfwise.llm import decontaminate, html_text, jaccard, nearest, packing, quality, sharding, simhash, suffix_dedup, token_counts, url_filter
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -158,3 +158,8 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.with_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+@registered
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_edited(_table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id") % 20 == 0)
