@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwise.llm import decontaminate, html_text, jaccard, nearest, packing, quality, sharding, simhash, suffix_dedup, token_counts, url_filter
+from shelfwise.llm import decontaminate, html_text, jaccard, nearest, packing, quality, sharding, simhash, source_audit, suffix_dedup, token_counts, url_filter
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -160,6 +160,49 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.with_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+@registered
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergence(_table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+SQL["op12_source_divergence"] = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+terms AS (SELECT r, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term FROM terms GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+counts AS (SELECT lang, source, term, count(*) AS n FROM terms JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT lang, source, coalesce(sum(n), 0) AS total
+           FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+shares AS (
+    SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n,
+           1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (total::HUGEINT + 2 * v) AS p
+    FROM groups g JOIN kept k USING (lang) JOIN sizes USING (lang)
+    LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+whole AS (
+    SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n)::HUGEINT + 2)) // (any_value(total)::HUGEINT + 2 * any_value(v)) AS q
+    FROM counts JOIN (SELECT lang, sum(total) AS total FROM groups GROUP BY lang) USING (lang) JOIN sizes USING (lang)
+    GROUP BY lang, term),
+pairs AS (
+    SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+    FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+all_pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+all_terms AS (
+    SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value
+    FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+      FROM (FROM all_pairs UNION ALL FROM all_terms))
+WHERE part = 'pair' OR rank <= 10
+"""
+
+
 @registered
 def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_edited(_table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id") % 20 == 0)
