@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfwise.llm import decontaminate, html_text, jaccard, nearest, packing, quality, sharding, simhash, source_audit, suffix_dedup, token_counts, url_filter
+from shelfwise.llm import decontaminate, html_text, jaccard, nearest, packing, phrases, quality, sharding, simhash, source_audit, suffix_dedup, token_counts, url_filter
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -160,6 +160,42 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.with_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+@registered
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+SQL["op11_collocations"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+          FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (VALUES (1), (2), (3)) t(k))),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cuts AS (SELECT lang, k, phrase, a, c, array_to_string(w[1:c], ' ') AS x, array_to_string(w[c + 1:k], ' ') AS y
+         FROM (SELECT *, unnest(range(1, k)) AS c FROM candidates)),
+scored AS (
+    SELECT cuts.lang, cuts.k, cuts.phrase, a, c, fx.f AS l, fy.f AS r,
+           CAST((1000000::HUGEINT * a * a) // (fx.f::HUGEINT * fy.f) AS BIGINT) AS score
+    FROM cuts JOIN f fx ON fx.lang = cuts.lang AND fx.phrase = x AND fx.k = c
+    JOIN f fy ON fy.lang = cuts.lang AND fy.phrase = y AND fy.k = cuts.k - c),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, c) = 1),
+inside AS (SELECT lang, part AS phrase, max(a) AS longer
+           FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM candidates WHERE k = 3)
+           GROUP BY ALL),
+ranked AS (
+    SELECT lowest.lang, row_number() OVER (PARTITION BY lowest.lang ORDER BY score DESC, a DESC, lowest.phrase) AS rank, lowest.phrase, a, l, r, score
+    FROM lowest LEFT JOIN inside ON inside.lang = lowest.lang AND inside.phrase = lowest.phrase AND k = 2
+    WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 @registered
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.divergence(_table(spark, sf_dir, "documents").select("lang", "source", "text"))
