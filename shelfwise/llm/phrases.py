@@ -24,10 +24,12 @@ candidates gives no rows; equal scores and counts are ordered by the phrase's by
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfwise.llm.pretokens import portions
@@ -36,9 +38,11 @@ from shelfwise.sources.scratch import staged
 
 #: Rows sampled for words and pairs that are so frequent that one task should not get all of them,
 #: the share from which they are, and into how many parts they go. At most 1 / share of each are found.
-SAMPLE_ROWS, HOT_SHARE, PARTS = 20_000, 1 / 5_000, 64
+SAMPLE_ROWS, HOT_SHARE, PARTS = 2_000, 1 / 5_000, 64
 #: Occurrences and distinct words a task holds before it counts them and puts the counts out.
-HELD, HELD_WORDS = 6_000_000, 1 << 20
+HELD, HELD_WORDS = 4_000_000, 1 << 20
+#: Triples put out at once.
+PUT_OUT = 1 << 18
 #: Tokens numbered at once; with HELD_WORDS, numbers stay below 2^21, so that three fit in one long.
 AT_ONCE = 1 << 20
 _BREAK = b"\xff"  # in no UTF-8 text
@@ -65,27 +69,25 @@ class _Words(dict):
 
 
 def _grams(batches: Iterator[pa.RecordBatch], hot_words: frozenset, hot_pairs: frozenset) -> Iterator[pa.RecordBatch]:
-    """(lang, first, second, third, part, n), one row per distinct triple of what a task holds at once."""
-    names, langs, words, found, held = [None], [None], {}, [], 0
+    """(lang, first, part, edges): each distinct triple of what a task holds at once, as "second third n" in a line of its first word."""
+    names, langs, words, found, held = [b""], [b""], {}, [], 0
 
     def counted() -> Iterator[pa.RecordBatch]:
         keys, n = np.unique(np.concatenate(found or [np.empty(0, np.uint64)]), return_counts=True)
-        ids = [(keys >> np.uint64(s) & np.uint64((1 << 21) - 1)).astype(np.int64) for s in (42, 21, 0)]
-        part = np.zeros(len(keys), np.int32)
-        if hot_words:
-            hot = np.fromiter(((lang, w) in hot_words for lang, w in zip(langs, names)), bool, len(names))
-            at = np.flatnonzero(hot[ids[0]])
-            pairs = {}
-            for i, a, b in zip(at.tolist(), ids[0][at].tolist(), ids[1][at].tolist()):
-                if (a, b) not in pairs:
-                    pairs[a, b] = (langs[a], names[a], names[b] if b else b"") in hot_pairs, 1 + _spread(names[b] if b else b"")
-                is_hot, own = pairs[a, b]
-                third = names[ids[2][i]] if ids[2][i] else b""
-                part[i] = own if not is_hot else PARTS + 1 + (own + _spread(third)) % PARTS
         text = pa.array(names, pa.binary()).cast(pa.string())
-        lang = pa.array(langs, pa.binary()).cast(pa.string()).take(pa.array(ids[0]))
-        yield pa.RecordBatch.from_arrays([lang, *(text.take(pa.array(i)) for i in ids), pa.array(part), pa.array(n)],
-                                         names=["lang", "first", "second", "third", "part", "n"])
+        lang = pa.array(langs, pa.binary()).cast(pa.string())
+        hot = np.fromiter(((x, w) in hot_words for x, w in zip(langs, names)), bool, len(names))
+        for at in range(0, len(keys), PUT_OUT):
+            ids = [(keys[at:at + PUT_OUT] >> np.uint64(s) & np.uint64((1 << 21) - 1)).astype(np.int64) for s in (42, 21, 0)]
+            part, counts = _parts(ids, hot, names, langs, hot_pairs), n[at:at + PUT_OUT]
+            if part.any():
+                order = np.lexsort((part, ids[0]))
+                ids, part, counts = [i[order] for i in ids], part[order], counts[order]
+            line = pc.binary_join_element_wise(text.take(pa.array(ids[1])), text.take(pa.array(ids[2])), pa.array(counts).cast(pa.string()), " ")
+            starts = np.flatnonzero(np.concatenate(([True], (ids[0][1:] != ids[0][:-1]) | (part[1:] != part[:-1]))))
+            lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(starts, len(part)), pa.int32()), line), "\n")
+            own = pa.array(ids[0][starts])
+            yield pa.RecordBatch.from_arrays([lang.take(own), text.take(own), pa.array(part[starts]), lines], names=["lang", "first", "part", "edges"])
 
     for batch in slices(batches):
         own, texts = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("lang", "text"))
@@ -95,7 +97,7 @@ def _grams(batches: Iterator[pa.RecordBatch], hot_words: frozenset, hot_pairs: f
                 for at in range(0, len(tokens), AT_ONCE):
                     if held > HELD or len(names) > HELD_WORDS:
                         yield from counted()
-                        names, langs, words, found, held = [None], [None], {}, [], 0
+                        names, langs, words, found, held = [b""], [b""], {}, [], 0
                     if lang not in words:
                         words[lang] = _Words(names)
                     some = tokens[at:at + AT_ONCE + 2]
@@ -110,28 +112,101 @@ def _grams(batches: Iterator[pa.RecordBatch], hot_words: frozenset, hot_pairs: f
     yield from counted()
 
 
+def _parts(ids: list[np.ndarray], hot: np.ndarray, names: list[bytes], langs: list[bytes], hot_pairs: frozenset) -> np.ndarray:
+    """0, or for a frequent word a part by its second word, up to PARTS, or for a frequent pair one by the third, above PARTS."""
+    part, pairs = np.zeros(len(ids[0]), np.int32), {}
+    for i in np.flatnonzero(hot[ids[0]]).tolist():
+        first, second = ids[0][i], ids[1][i]
+        if (first, second) not in pairs:
+            pairs[first, second] = (langs[first], names[first], names[second]) in hot_pairs, 1 + _spread(names[second])
+        is_hot, own = pairs[first, second]
+        part[i] = PARTS + 1 + (own + _spread(names[ids[2][i]])) % PARTS if is_hot else own
+    return part
+
+
 def _spread(word: bytes) -> int:
     """A part for a word, alike in all tasks."""
     return int.from_bytes(word[-4:], "little") * 0x9E3779B1 % (1 << 32) * PARTS >> 32
 
 
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in order of (lang, first, part), cut between keys."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
+        same = functools.reduce(pc.and_, [pc.equal(rows.column(c), rows.column(c)[-1]) for c in ("lang", "first", "part")])
+        start = rows.num_rows - pc.sum(same).as_py()
+        if start:
+            yield rows.slice(0, start)
+        held = rows.slice(start)
+    if held is not None:
+        yield held
+
+
+def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(lang, first, second, third, f, whole): what reaches the threshold, parts of split words and pairs, and the words of each lang."""
+    totals: dict[str, int] = {}
+
+    def out(keys: pa.Table, at, second, third, f, whole) -> list[pa.RecordBatch]:
+        rows, none = keys.take(at), pa.nulls(len(at), pa.string())
+        columns = [rows["lang"], rows["first"], none if second is None else second, none if third is None else third, f, whole]
+        return pa.table(columns, names=["lang", "first", "second", "third", "f", "whole"]).combine_chunks().to_batches()
+
+    for rows in _whole_keys(batches):
+        changed = np.ones(rows.num_rows, bool)
+        if rows.num_rows > 1:
+            changed[1:] = ~functools.reduce(pc.and_, [pc.equal(rows.column(c)[1:], rows.column(c)[:-1]) for c in ("lang", "first", "part")]).to_numpy()
+        keys = rows.select(["lang", "first", "part"]).filter(pa.array(changed))
+        lines = pc.split_pattern(rows.column("edges").combine_chunks(), "\n")
+        key = np.repeat(np.cumsum(changed) - 1, pc.list_value_length(lines).to_numpy())
+        words = pc.split_pattern(lines.flatten(), " ").flatten()
+        column = lambda i: words.take(pa.array(np.arange(i, len(words), 3)))
+        edges = pa.table({"key": key, "second": column(0), "third": column(1), "f": column(2).cast(pa.int64())})
+        edges = edges.group_by(["key", "second", "third"], use_threads=False).aggregate([("f", "sum")]).rename_columns({"f_sum": "f"})
+        nodes = edges.group_by(["key", "second"], use_threads=False).aggregate([("f", "sum")]).rename_columns({"f_sum": "f"})
+        flows = nodes.group_by(["key"], use_threads=False).aggregate([("f", "sum")]).rename_columns({"f_sum": "f"})
+        part = keys.column("part").to_numpy()
+        edges = edges.filter(pc.and_(pc.greater_equal(edges["f"], least), pc.not_equal(edges["third"], "")))
+        yield from out(keys, edges["key"], edges["second"], edges["third"], edges["f"], pa.array(np.ones(edges.num_rows, bool)))
+        stays = pa.array((part[nodes["key"].to_numpy()] > PARTS) | (nodes["f"].to_numpy() >= least))
+        nodes = nodes.filter(pc.and_(stays, pc.not_equal(nodes["second"], "")))
+        yield from out(keys, nodes["key"], nodes["second"], None, nodes["f"], pa.array(part[nodes["key"].to_numpy()] <= PARTS))
+        of_lang = pa.table({"lang": keys["lang"].take(flows["key"]), "f": flows["f"]}).group_by("lang", use_threads=False).aggregate([("f", "sum")])
+        for lang, n in zip(of_lang["lang"].to_pylist(), of_lang["f_sum"].to_pylist()):
+            totals[lang] = totals.get(lang, 0) + n
+        own = part[flows["key"].to_numpy()]
+        flows = flows.filter(pa.array((own > 0) | (flows["f"].to_numpy() >= least)))
+        yield from out(keys, flows["key"], None, None, flows["f"], pa.array(part[flows["key"].to_numpy()] == 0))
+    none = pa.nulls(len(totals), pa.string())
+    yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), none, none, none, pa.array(totals.values(), pa.int64()), pa.array([False] * len(totals), pa.bool_())],
+                                     names=["lang", "first", "second", "third", "f", "whole"])
+
+
 def _read(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-_GRAM = "lang string, first string, second string, third string, part int, n long"
+def _counted(docs: DataFrame, hot: tuple[frozenset, frozenset], least: int) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(hot)
+    key = ("lang", "first", "part")
+    dealt = docs.mapInArrow(lambda batches: _grams(batches, *held.value), "lang string, first string, part int, edges string")
+    found = staged(dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(
+        lambda batches: _summed(batches, least), "lang string, first string, second string, third string, f long, whole boolean"), "grams")
+    again = found.filter("not whole").groupBy("lang", "first", "second", "third").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    return found.filter("whole").drop("whole").unionByName(again)
 
 
 def _hot(docs: DataFrame) -> tuple[frozenset, frozenset]:
     """Words, and pairs that begin with them, with a large share of a bounded sample; at most 2 / HOT_SHARE."""
-    rows = docs.count()
-    sample = staged(docs.sample(min(1.0, SAMPLE_ROWS / max(rows, 1)), seed=11).mapInArrow(
-        lambda batches: _grams(batches, frozenset(), frozenset()), _GRAM).groupBy("lang", "first", "second").agg(F.sum("n").alias("n")), "sample")
-    least = (sample.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE
-    words = sample.groupBy("lang", "first").agg(F.sum("n").alias("n")).filter(F.col("n") > least).collect()
-    pairs = sample.filter(F.col("n") > least).collect()
-    code = lambda t: (t or "").encode()
-    return frozenset((code(r["lang"]), code(r["first"])) for r in words), frozenset((code(r["lang"]), code(r["first"]), code(r["second"])) for r in pairs)
+    sample = docs.sample(min(1.0, SAMPLE_ROWS / max(docs.count(), 1)), seed=11)
+    found = staged(_counted(sample, (frozenset(), frozenset()), 1).filter("third is null"), "sample")
+    share = (found.filter("first is null").agg(F.sum("f")).first()[0] or 0) * HOT_SHARE
+    hot = found.filter((F.col("f") > share) & F.col("first").isNotNull()).collect()
+    coded = [tuple(x.encode() for x in (r["lang"], r["first"], r["second"]) if x is not None) for r in hot]
+    return frozenset(x for x in coded if len(x) == 2), frozenset(x for x in coded if len(x) == 3)
 
 
 def graph(docs: DataFrame, least: int) -> DataFrame:
@@ -141,24 +216,7 @@ def graph(docs: DataFrame, least: int) -> DataFrame:
     """
     ship_code(docs.sparkSession)
     docs = _read(docs)
-    words, pairs = _hot(docs)
-    held = docs.sparkSession.sparkContext.broadcast((words, pairs))
-    dealt = docs.mapInArrow(lambda batches: _grams(batches, *held.value), _GRAM).repartition("lang", "first", "part")
-    edges = dealt.groupBy("lang", "first", "part", "second", "third").agg(F.sum("n").alias("f"))
-    nodes = edges.groupBy("lang", "first", "part", "second").agg(F.sum("f").alias("f"))
-    flows = nodes.groupBy("lang", "first", "part").agg(F.sum("f").alias("f"))
-    none = F.lit(None).cast("string")
-    # Parts above PARTS hold some triples of a frequent pair, other parts above 0 some pairs of a frequent word.
-    once = (edges.filter((F.col("f") >= least) & F.col("third").isNotNull()).select("lang", "first", "second", "third", "f", F.lit(True).alias("whole"))
-            .unionByName(nodes.filter(F.col("second").isNotNull() & ((F.col("part") > PARTS) | (F.col("f") >= least)))
-                         .select("lang", "first", "second", none.alias("third"), "f", (F.col("part") <= PARTS).alias("whole")))
-            .unionByName(flows.select("lang", "first", none.alias("second"), none.alias("third"), "f", (F.col("part") == 0).alias("whole"))
-                         .filter(~F.col("whole") | (F.col("f") >= least)))
-            .unionByName(flows.groupBy("lang").agg(F.sum("f").alias("f"))
-                         .select("lang", none.alias("first"), none.alias("second"), none.alias("third"), "f", F.lit(True).alias("whole"))))
-    found = staged(once, "grams")
-    again = found.filter("not whole").groupBy("lang", "first", "second", "third").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
-    return found.filter("whole").drop("whole").unionByName(again)
+    return _counted(docs, _hot(docs), least)
 
 
 def paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
