@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfwise import spec
 from shelfwise.functions import cellar as rules
 from shelfwise.functions.strings import strip
+from shelfwise.operators import placement
 from shelfwise.operators.running import numbered, previous_value, running_sum
 from shelfwise.sources.scratch import staged
 
@@ -168,7 +169,45 @@ def _event(df: DataFrame, kind: str, quantity: Column, reason: Column | None = N
         (note if note is not None else F.lit(None)).cast("string").alias("note"))
 
 
-def top_up(resolved: DataFrame, wines: DataFrame, racked: DataFrame, today: date) -> Applied:
+def _judged_places(commands: DataFrame, judged: DataFrame) -> DataFrame:
+    """``commands`` with the refusals of ``judged`` and, where a wine was moved, its place as it is stored."""
+    joined = commands.join(judged.select(F.col("cellar_id").alias("_c"), F.col("seq").alias("_s"), F.col("reason").alias("_refused"), "moved", "place"),
+                           (F.col("cellar_id") == F.col("_c")) & (F.col("seq") == F.col("_s")), "left")
+    others = F.map_filter(F.coalesce("fields", F.create_map().cast("map<string,string>")), lambda k, _: k != "location")
+    fields = F.when(F.coalesce("moved", F.lit(False)), F.map_concat(others, F.create_map(F.lit("location"), F.col("place")))).otherwise(F.col("fields"))
+    changed = {"fields": fields, "reason": F.coalesce("reason", "_refused")}
+    if "location" in commands.columns:
+        changed["location"] = F.when(F.coalesce("moved", F.lit(False)), F.col("place")).otherwise(F.col("location"))
+    return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in commands.columns])
+
+
+def place_adds(resolved: DataFrame, wines: DataFrame, racks: DataFrame) -> DataFrame:
+    """Resolved adds whose places are judged in order, those refused with their reason.
+
+    Adds of one catalogue wine and vintage are one wine, held or new; an add by name is a
+    wine of its own. Wines that neither are in slots nor are given slots are not walked.
+    """
+    held = (wines.filter(F.col("product_id").isNotNull())
+            .groupBy(F.col("cellar_id").alias("h_cellar"), F.col("product_id").alias("h_product"), F.col("vintage").alias("h_vintage"))
+            .agg(F.min(F.struct("wine_id", "location")).alias("_held")))
+    good = resolved.filter(F.col("reason").isNull()).join(racks.select("cellar_id").distinct(), "cellar_id", "left_semi")
+    own = F.col("product_id").isNotNull()
+    listed = good.filter(own).join(held, (F.col("cellar_id") == F.col("h_cellar")) & (F.col("product_id") == F.col("h_product"))
+                                   & F.col("vintage").eqNullSafe(F.col("h_vintage")), "left")
+    new_wine = F.concat_ws("/", F.lit("product"), F.col("product_id").cast("string"), F.col("vintage").cast("string"))
+    of_wine = F.when(F.col("_held").isNull(), new_wine).otherwise(F.concat(F.lit("wine/"), F.col("_held.wine_id").cast("string")))
+    columns = ["cellar_id", "seq", F.lit(True).alias("adds"), "quantity", given("location").alias("moves"), value_of("location", "string").alias("location")]
+    asked = (listed.select(*columns, of_wine.alias("wine"), F.col("_held.location").alias("_at"))
+             .unionByName(good.filter(~own).select(*columns, F.concat(F.lit("add/"), F.col("seq").cast("string")).alias("wine"), F.lit(None).cast("string").alias("_at"))))
+    in_slots = lambda c: F.size(rules.slots_in(F.col(c))) > 0
+    asked = staged(asked.withColumn("_slots", in_slots("location") | in_slots("_at")), "adds-asked")
+    walked = asked.groupBy("cellar_id", "wine").agg(F.max("_slots").alias("_slots")).filter("_slots").drop("_slots")
+    state = wines.select("cellar_id", F.concat(F.lit("wine/"), F.col("wine_id").cast("string")).alias("wine"), "quantity", "location")
+    judged = placement.judge(asked.drop("_slots", "_at").join(walked, ["cellar_id", "wine"], "left_semi"), state, racks)
+    return _judged_places(resolved, judged)
+
+
+def top_up(resolved: DataFrame, wines: DataFrame, racked: DataFrame, today: date, racks: DataFrame | None = None) -> Applied:
     """Apply resolved adds to the cellars.
 
     A catalogue wine already held in the same vintage (an unknown vintage equals
@@ -176,9 +215,12 @@ def top_up(resolved: DataFrame, wines: DataFrame, racked: DataFrame, today: date
     gave are changed; later commands win. Adds by name always make a new wine.
     Adds of one new wine make one row. A wine kept in rack slots is refused
     unless the command says where the new bottles went. ``racked`` has the
-    cellar_ids with a rack.
+    cellar_ids with a rack. With the rack table ``racks`` every command's places are
+    judged as well, in ``seq`` order (``place_adds``).
     """
     resolved = staged(resolved, "adds-resolved")
+    if racks is not None:
+        resolved = staged(place_adds(resolved, wines, racks), "adds-placed")
     good = resolved.filter(F.col("reason").isNull())
     has_rack = racked.select(F.col("cellar_id").alias("_racked")).distinct()
     held = (wines.filter(F.col("product_id").isNotNull())
@@ -190,7 +232,7 @@ def top_up(resolved: DataFrame, wines: DataFrame, racked: DataFrame, today: date
         & F.col("vintage").eqNullSafe(F.col("h_vintage")), "left").join(
         has_rack, F.col("cellar_id") == F.col("_racked"), "left")
     homeless = (F.col("_held").isNotNull() & F.col("_racked").isNotNull() & ~given("location")
-                & (F.size(rules.slots_in(F.col("_held.location"))) > 0))
+                & (F.size(rules.slots_in(F.col("_held.location"))) > 0)) if racks is None else F.lit(False)
     # Looked up once; the new state, the events and the rejects all read this.
     listed = staged(listed.withColumn("reason", F.when(homeless, F.lit("needs a slot for each bottle")))
                     .select(*resolved.columns, F.col("_held.wine_id").alias("_old")), "adds-listed")
@@ -279,20 +321,31 @@ def top_up(resolved: DataFrame, wines: DataFrame, racked: DataFrame, today: date
 
 
 def apply_adds(adds: DataFrame, products: DataFrame, grapes: DataFrame, wines: DataFrame, racked: DataFrame,
-               today: date) -> Applied:
+               today: date, racks: DataFrame | None = None) -> Applied:
     """``resolve_adds`` then ``top_up``."""
-    return top_up(resolve_adds(adds, products, grapes), wines, racked, today)
+    return top_up(resolve_adds(adds, products, grapes), wines, racked, today, racks)
 
 
 # --- patching ---------------------------------------------------------------
 
-def apply_patch(patches: DataFrame, wines: DataFrame, racked: DataFrame, today: date) -> Applied:
+def place_patches(judged: DataFrame, wines: DataFrame, racks: DataFrame) -> DataFrame:
+    """Patches that are not refused yet, with their places judged in order."""
+    asked = (judged.filter(F.col("reason").isNull() & (given("location") | given("quantity")))
+             .join(racks.select("cellar_id").distinct(), "cellar_id", "left_semi")
+             .select("cellar_id", "seq", F.col("wine_id").cast("string").alias("wine"), F.lit(False).alias("adds"),
+                     value_of("quantity", "int").alias("quantity"), given("location").alias("moves"), value_of("location", "string").alias("location")))
+    state = wines.select("cellar_id", F.col("wine_id").cast("string").alias("wine"), "quantity", "location")
+    return _judged_places(judged, placement.judge(asked, state, racks))
+
+
+def apply_patch(patches: DataFrame, wines: DataFrame, racked: DataFrame, today: date, racks: DataFrame | None = None) -> Applied:
     """Edit wines. ``patches``: cellar_id, wine_id, seq, fields (``quantity`` too).
 
     Several patches of one wine merge field by field, the later winning. A change
     of vintage clears the copied note and clocks. Each change of the count is a
     signed ``adjusted`` event. A recount of a wine in rack slots must say where
-    the bottles are.
+    the bottles are. With the rack table ``racks`` the patches of a cellar are judged
+    in ``seq`` order, each against the counts and places the accepted ones before it left.
     """
     has_rack = racked.select(F.col("cellar_id").alias("_racked")).distinct()
     # Every column of the old row at its renamed place, so patches and wines never clash.
@@ -308,11 +361,13 @@ def apply_patch(patches: DataFrame, wines: DataFrame, racked: DataFrame, today:
         ("name cannot be cleared", given("name") & ~_filled(value_of("name", "string"))),
         ("quantity out of range", given("quantity") & ~F.coalesce(quantity.between(0, spec.MAX_COUNT), F.lit(False))),
         ("needs a slot for each bottle",
-         F.col("_racked").isNotNull() & given("quantity") & ~given("location") & (quantity > 0)
+         F.lit(racks is None) & F.col("_racked").isNotNull() & given("quantity") & ~given("location") & (quantity > 0)
          & (quantity != F.col("_was")) & (F.size(rules.slots_in(F.col("_location"))) > 0)),
         *field_problems(),
     ])
     judged = staged(before.withColumn("reason", reason).select(*patches.columns, "_was", "_vintage", "reason"), "patches-judged")
+    if racks is not None:
+        judged = staged(place_patches(judged, wines, racks), "patches-placed")
     rejects = judged.filter(F.col("reason").isNotNull()).select(*KEYS, "seq", "reason")
     good = judged.filter(F.col("reason").isNull())
 

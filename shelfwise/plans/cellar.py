@@ -383,6 +383,106 @@ def patch_rejects(t: Source) -> DataFrame:
     return _patched(t).rejects
 
 
+# Commands one after the other: each step of the recursion judges one command of each cellar
+# against the list of its wines (k, count q, location, slots s) that the step before left.
+WALKED = f"""
+{GRID},
+grids AS (SELECT cellar_id, list(slot) AS grid FROM grid GROUP BY cellar_id),
+split AS (SELECT *, list_filter(list_transform(split(coalesce(location, ''), ','), lambda p: trim(p)), lambda p: p <> '') AS parts FROM cmd),
+step AS MATERIALIZED (SELECT s.*, g.grid, list_filter(parts, lambda p: regexp_matches(p, '^[A-Z]\\d{{1,3}}$')) AS slots,
+    row_number() OVER (PARTITION BY s.cellar_id ORDER BY seq) AS n FROM split s LEFT JOIN grids g ON g.cellar_id = s.cellar_id),
+start AS (SELECT cellar_id, list({{k: k, q: q, location: location, s: s}}) AS st FROM (
+    SELECT w.cellar_id, 'wine/' || cast(wine_id AS string) AS k, w.quantity :: bigint AS q, location,
+      coalesce((SELECT list(part) FROM parts p WHERE p.cellar_id = w.cellar_id AND p.wine_id = w.wine_id AND regexp_matches(part, '^[A-Z]\\d{{1,3}}$')), []) AS s
+    FROM {{wine}} w) x GROUP BY cellar_id),
+walk AS (
+  SELECT cellar_id, 0 :: bigint AS n, st, NULL :: bigint AS seq, NULL :: string AS k, NULL :: string AS reason FROM start
+  UNION ALL
+  SELECT cellar_id, n, CASE WHEN reason IS NULL THEN list_append(list_filter(st, lambda x: x.k <> k), {{k: k, q: total, location: place,
+      s: CASE WHEN NOT shifted THEN before.s WHEN place IS NULL THEN [] ELSE slots END}}) ELSE st END, seq, k, reason
+  FROM (
+    SELECT *, CASE WHEN moves THEN true ELSE recount AND NOT adds AND total = 0 AND len(before.s) > 0 AND grid IS NOT NULL END AS shifted,
+      CASE WHEN moves AND grid IS NOT NULL AND total = 0 AND len(slots) > 0 THEN NULL WHEN moves THEN location
+        WHEN recount AND NOT adds AND total = 0 AND len(before.s) > 0 AND grid IS NOT NULL THEN NULL ELSE before.location END AS place,
+      CASE WHEN grid IS NULL THEN NULL
+        WHEN NOT moves AND recount AND total > 0 AND len(before.s) > 0 THEN 'needs a slot for each bottle'
+        WHEN NOT moves OR len(slots) = 0 OR total = 0 THEN NULL
+        WHEN len(list_filter(slots, lambda p: NOT list_contains(grid, p))) > 0 THEN 'outside the rack'
+        WHEN len(list_distinct(slots)) < len(slots) THEN 'listed twice'
+        WHEN len(parts) <> total THEN 'places differ from bottles'
+        WHEN len(list_intersect(slots, flatten(list_transform(list_filter(st, lambda x: x.q > 0 AND x.k <> k), lambda x: x.s)))) > 0
+          THEN 'held by another wine' END AS reason
+    FROM (SELECT *, CASE WHEN adds THEN coalesce(before.q, 0) + quantity ELSE coalesce(quantity, before.q) END AS total,
+        before IS NOT NULL AND CASE WHEN adds THEN true ELSE coalesce(quantity <> before.q, false) END AS recount
+      FROM (SELECT w.st, s.*, list_filter(w.st, lambda x: x.k = s.k)[1] AS before FROM walk w JOIN step s ON s.cellar_id = w.cellar_id AND s.n = w.n + 1) a) b) c),
+last AS (SELECT cellar_id, unnest(arg_max(st, n)) AS wine FROM walk GROUP BY cellar_id)
+"""
+
+PLACED_ADDS = """
+WITH RECURSIVE cmd AS (SELECT a.cellar_id, a.seq, true AS adds, a.quantity :: bigint AS quantity, a.moves, a.location,
+    CASE WHEN a.named THEN 'add/' || cast(a.seq AS string) WHEN w.wine_id IS NULL THEN 'product/' || cast(a.key AS string)
+      ELSE 'wine/' || cast(w.wine_id AS string) END AS k
+  FROM {placed_add} a LEFT JOIN {wine} w ON NOT a.named AND w.cellar_id = a.cellar_id AND w.product_id = a.key),
+""" + WALKED
+
+
+def _placed_adds(t: Source) -> commands.Applied:
+    key = F.col("key")
+    fields = F.map_filter(F.create_map(
+        F.lit("name"), F.when(F.col("named"), F.concat(F.lit("Own "), key.cast("string"))),
+        F.lit("vintage"), F.when(key % 5 != 0, (F.lit(1990) + key % 30).cast("string")), F.lit("location"), F.col("location")),
+        lambda k, v: v.isNotNull() | ((k == "location") & F.col("moves")) | (k == "vintage"))
+    adds = t.placed_add.select("cellar_id", "seq", F.when(~F.col("named"), key).alias("product_id"), F.lit(None).cast("string").alias("product_number"),
+                               "quantity", fields.alias("fields"))
+    noted = t.product.withColumn("taste", F.lit("note"))
+    return commands.apply_adds(adds, noted, t.grape, t.wine, _racks(t), TODAY, racks=_racks(t))
+
+
+@add("top_up_placement", PLACED_ADDS + """,
+fresh AS (SELECT f.cellar_id, f.k, m.top + row_number() OVER (PARTITION BY f.cellar_id ORDER BY f.seq) AS wine_id
+  FROM (SELECT cellar_id, k, min(seq) AS seq FROM walk WHERE reason IS NULL AND seq IS NOT NULL AND NOT starts_with(k, 'wine/') GROUP BY 1, 2) f
+  JOIN (SELECT cellar_id, max(wine_id) AS top FROM {wine} GROUP BY 1) m ON m.cellar_id = f.cellar_id)
+SELECT l.cellar_id, coalesce(f.wine_id, try_cast(substr(wine.k, 6) AS bigint)) AS wine_id, wine.q AS quantity, wine.location AS location
+FROM last l LEFT JOIN fresh f ON f.cellar_id = l.cellar_id AND f.k = wine.k
+""")
+def top_up_placement(t: Source) -> DataFrame:
+    return _placed_adds(t).wines.select("cellar_id", "wine_id", "quantity", "location")
+
+
+@add("top_up_placement_rejects", PLACED_ADDS + "SELECT cellar_id, seq, reason FROM walk WHERE reason IS NOT NULL")
+def top_up_placement_rejects(t: Source) -> DataFrame:
+    return _placed_adds(t).rejects
+
+
+PLACED_PATCHES = """
+WITH RECURSIVE cmd AS (SELECT p.cellar_id, p.seq, false AS adds, p.quantity :: bigint AS quantity, p.moves, p.location, 'wine/' || cast(p.wine_id AS string) AS k
+  FROM {placed_patch} p WHERE EXISTS (SELECT 1 FROM {wine} w WHERE w.cellar_id = p.cellar_id AND w.wine_id = p.wine_id)),
+""" + WALKED
+
+
+def _placed_patches(t: Source) -> commands.Applied:
+    fields = F.map_filter(F.create_map(F.lit("quantity"), F.col("quantity").cast("string"), F.lit("location"), F.col("location")),
+                          lambda k, v: v.isNotNull() | ((k == "location") & F.col("moves")))
+    patches = t.placed_patch.select("cellar_id", "wine_id", "seq", fields.alias("fields"))
+    return commands.apply_patch(patches, t.wine, _racks(t), TODAY, racks=_racks(t))
+
+
+@add("patch_placement", PLACED_PATCHES + """
+SELECT cellar_id, cast(substr(wine.k, 6) AS bigint) AS wine_id, wine.q AS quantity, wine.location AS location FROM last
+""")
+def patch_placement(t: Source) -> DataFrame:
+    return _placed_patches(t).wines.select("cellar_id", "wine_id", "quantity", "location")
+
+
+@add("patch_placement_rejects", PLACED_PATCHES + """
+SELECT cellar_id, cast(substr(k, 6) AS bigint) AS wine_id, seq, reason FROM walk WHERE reason IS NOT NULL
+UNION ALL SELECT cellar_id, wine_id, seq, 'no such wine' FROM {placed_patch} p
+WHERE NOT EXISTS (SELECT 1 FROM {wine} w WHERE w.cellar_id = p.cellar_id AND w.wine_id = p.wine_id)
+""")
+def patch_placement_rejects(t: Source) -> DataFrame:
+    return _placed_patches(t).rejects
+
+
 def _removed(t: Source) -> commands.Applied:
     """Commands that name no slot, on wines given enough bottles to have a history."""
     wines = t.wine.withColumn("quantity", (F.lit(20) + F.col("wine_id") % 60).cast("int"))

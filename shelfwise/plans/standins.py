@@ -54,6 +54,13 @@ FROM (
 ) b
 """
 
+def _slot_list(seq: str, count: str) -> str:
+    """SQL for up to seven neighbouring slots as one location; every 31st names one slot again and again."""
+    slot = lambda i: (f"chr(cast(65 + ({seq} + CASE WHEN {seq} % 31 = 0 THEN 0 ELSE {i} END) % 13 AS int)) "
+                      f"|| cast(1 + cast(floor({seq} / 13) AS bigint) % 13 AS string)")
+    return slot(0) + "".join(f" || CASE WHEN {count} > {i} THEN ', ' || {slot(i)} ELSE '' END" for i in range(1, 7))
+
+
 VIEWS = {
     "product": PRODUCT,
     # The catalogue with its tasting notes; about half the products have one.
@@ -184,6 +191,21 @@ SELECT DISTINCT 'C' || cast(c_custkey % 25 AS string) AS cellar_id, cast(r AS in
   CASE WHEN r = 1 THEN 'D12,D13' ELSE '' END AS gaps
 FROM {customer} JOIN (SELECT 1 AS r UNION ALL SELECT 2 AS r) n ON r > 0
 WHERE c_custkey % 25 < 20
+""",
+    # Adds and patches that claim slots of the racks: free and held ones, outside, twice, too few.
+    "placed_add": f"""
+SELECT 'C' || cast(o_custkey % 25 AS string) AS cellar_id, o_orderkey AS seq, o_custkey AS key,
+  o_orderkey % 3 = 0 AS named, cast(1 + o_orderkey % 2 AS int) AS quantity, o_orderkey % 5 <> 0 AS moves,
+  CASE WHEN o_orderkey % 5 < 2 THEN CASE WHEN o_orderkey % 5 = 1 THEN 'shelf' END ELSE {_slot_list(
+    "o_orderkey", "1 + o_orderkey % 2 + CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 7 = 0 OR o_custkey % 4 = 0 THEN 0 ELSE o_custkey % 6 END")} END AS location
+FROM {{orders}}
+""",
+    "placed_patch": f"""
+SELECT 'C' || cast(user_id % 25 AS string) AS cellar_id, user_id AS wine_id, event_id AS seq,
+  cast(CASE WHEN event_id % 5 = 0 THEN event_id % 6 END AS int) AS quantity, event_id % 3 <> 1 AS moves,
+  CASE WHEN event_id % 3 = 1 OR event_id % 14 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 'cupboard' ELSE {_slot_list(
+    "event_id", "CASE WHEN event_id % 5 = 0 THEN event_id % 6 ELSE user_id % 6 END + CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END")} END AS location
+FROM {{events}}
 """,
     # Bottles taken out, as commands in the order of their events.
     "removal": """

@@ -79,6 +79,38 @@ def test_top_up_keeps_identity_and_needs_slots(spark, mirror):
     assert [(r.seq, r.reason) for r in out.rejects.collect()] == [(1, "needs a slot for each bottle")]
 
 
+def test_adds_are_placed_in_order(spark, mirror):
+    held = wines_of(spark, {"wine_id": 1, "product_id": "9", "quantity": 1, "name": "Held", "location": "b1"})
+    own = lambda name, location, q=1: {"q": q, "fields": {"name": name, **({} if location is ... else {"location": location})}}
+    batch = adds_of(spark, own("a", "Z99"), own("b", "b1"), own("c", "c1 ,c1", 2), own("d", "c1, c2"), own("e", " c2"), own("f", "c2"), own("g", "fridge"),
+                    {"id": "56305", "fields": {"location": "A1"}}, {"id": "56305"}, {"id": "56305", "q": 2, "fields": {"location": "A1,a2, A3"}},
+                    {"id": "111"}, {"id": "111"}, own("h", None), {"id": "56305", "fields": {"location": "cupboard"}}, own("i", "a3"))
+    racks = racks_of(spark, ("A", "L", 1, 14))
+    out = commands.apply_adds(batch, *mirror, held, racks, TODAY, racks=racks)
+    assert {r.seq: r.reason for r in out.rejects.collect()} == {
+        1: "outside the rack", 2: "held by another wine", 3: "listed twice", 4: "places differ from bottles", 6: "held by another wine",
+        9: "needs a slot for each bottle"}
+    assert {r.name: (r.quantity, r.location) for r in out.wines.collect()} == {
+        "Held": (1, "b1"), "e": (1, "C2"), "g": (1, "fridge"), "Château Montus": (4, "cupboard"), "Wine 111": (2, None), "h": (1, None), "i": (1, "A3")}
+    assert sorted(e.seq for e in out.events.collect()) == [5, 7, 8, 10, 11, 12, 13, 14, 15]
+    without = commands.apply_adds(batch.filter("seq < 3"), *mirror, held, no_rack(spark), TODAY, racks=racks.filter("false"))
+    assert without.rejects.count() == 0 and {r.location for r in without.wines.collect()} == {"b1", "Z99"}
+
+
+def test_patches_are_placed_in_order(spark):
+    held = wines_of(spark, {"wine_id": 1, "quantity": 2, "location": "A1, A2"}, {"wine_id": 2, "quantity": 1, "location": "fridge"},
+                    {"wine_id": 3, "quantity": 0}, {"wine_id": 4, "quantity": 1, "location": "B1"})
+    racks = racks_of(spark, ("A", "L", 1, 14))
+    patches = patch_of(spark, (1, {"quantity": "3", "location": "A1, A2, A3"}), (1, {"quantity": "2"}), (1, {"location": "Z9"}), (2, {"location": "A1"}),
+                       (1, {"quantity": "2", "location": "A2,A3"}), (2, {"location": "a1"}), (1, {"quantity": "2"}), (4, {"quantity": "0"}),
+                       (3, {"quantity": "1", "location": "b1"}), (2, {"quantity": "4"}), (7, {"location": "A1"}), (3, {"notes": "n"}), (1, {"location": None}))
+    out = commands.apply_patch(patches, held, racks, TODAY, racks=racks)
+    assert {r.seq: r.reason for r in out.rejects.collect()} == {
+        2: "needs a slot for each bottle", 3: "outside the rack", 4: "held by another wine", 10: "needs a slot for each bottle", 11: "no such wine"}
+    assert {r.wine_id: (r.quantity, r.location) for r in out.wines.collect()} == {1: (2, None), 2: (1, "A1"), 3: (1, "B1"), 4: (0, None)}
+    assert sorted((e.seq, e.quantity) for e in out.events.collect()) == [(1, 1), (5, -1), (8, -1), (9, 1)]
+
+
 def patch_of(spark, *rows):
     return spark.createDataFrame([("c", r[0], i + 1, r[1]) for i, r in enumerate(rows)], "cellar_id STRING, wine_id BIGINT, seq BIGINT, fields MAP<STRING,STRING>")
 
