@@ -101,6 +101,27 @@ def replace_children(child: DataFrame, updates: DataFrame, ids: DataFrame, key:
     return child.join(touched, key, "left_anti").unionByName(updates.select(*child.columns))
 
 
+def replace_children_table(path: str, updates: DataFrame, ids: DataFrame, buckets: int, key: str = "product_id") -> None:
+    """``replace_children`` on a bucketed table, reading and rewriting the buckets of ``ids`` only.
+
+    An id that is left without children keeps one row whose other columns are NULL, so that
+    its bucket is rewritten even if nothing else is in it; ``read_children`` leaves those out.
+    """
+    spark = ids.sparkSession
+    touched = staged(ids.select(key).distinct(), "touched")
+    fresh = staged(touched.join(updates, key, "left").select(*updates.columns), "children")
+    if tables.table_exists(spark, path):
+        numbers = [r[0] for r in touched.select(tables.bucket_of([key], buckets).alias(tables.BUCKET)).distinct().collect()]
+        current = tables.read_table(spark, path).filter(F.col(tables.BUCKET).isin(numbers)).drop(tables.BUCKET)
+        fresh = staged(replace_children(current, fresh, touched, key), "merged")
+    tables.write_table(fresh, path, [key], buckets)
+
+
+def read_children(spark, path: str, value: str) -> DataFrame:
+    """A child table without the rows of ids that have no children."""
+    return tables.read_table(spark, path).drop(tables.BUCKET).filter(F.col(value).isNotNull())
+
+
 def set_flag(products: DataFrame, column: str, ids: DataFrame, key: str = "product_id") -> DataFrame:
     """True for the ids given, false for every other product."""
     if column not in spec.FLAG_COLUMNS:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfwise import spec
 from shelfwise.functions.strings import any_contains
 from shelfwise.functions.text import Expr, text_match
 from shelfwise.operators import filters, joins
+from shelfwise.sources.scratch import staged
 
 NOTE_COLUMNS = ("full_name", "producer", "taste", "color", "usage")
 
@@ -33,6 +34,23 @@ def sort_by(df: DataFrame, mode: str = "price_asc", key: str = "product_id") ->
     return df.orderBy(*sort_order(mode, key))
 
 
+def with_rank(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
+    """All rows with their place, 1, 2, 3 ..., in a total order.
+
+    The order is cut into ranges, each sorted by a task of its own. A row's place is its
+    place in its range and the rows of all ranges before, from one summary row per range:
+    no task sees the whole order. The sorted rows are staged, since a range's number and
+    its rows' places must not be computed twice.
+    """
+    place = F.monotonically_increasing_id()  # the range's number above 33 bits of the place in it
+    ordered = staged(df.orderBy(*order).withColumn("_place", place), "ranked").withColumn("_range", F.shiftright("_place", 33))
+    sizes = ordered.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return ordered.join(offsets, "_range").select(*df.columns, (F.col("_before") + within).alias(out))
+
+
 @dataclass(frozen=True)
 class Page:
     """One page of a result: ``items`` and a one-row ``meta``."""

@@ -359,7 +359,6 @@ def product_detail(t: Source) -> DataFrame:
 SELECT s.site_id, s.name, s.city, s.county, coalesce(n.n, 0) AS products, CASE WHEN n.n > 0 THEN 1 ELSE 0 END :: bigint AS mirrored
 FROM {store} s LEFT JOIN (SELECT site_id, count(*) AS n FROM {store_product} GROUP BY site_id) n USING (site_id)
 WHERE s.name ILIKE '%asia%' OR s.city ILIKE '%asia%' OR s.county ILIKE '%asia%'
-ORDER BY products DESC, name, site_id LIMIT 100
 """)
 def list_stores(t: Source) -> DataFrame:
     return search.list_stores(t.store, t.store_product, "asia")
@@ -512,9 +511,12 @@ def codes_by_label(t: Source) -> DataFrame:
 # --- order and paging ---------------------------------------------------------
 
 def _sorted(name: str, mode: str, order: str) -> None:
-    @add(name, f"SELECT product_id, full_name, price, sek_per_litre, clock_body :: bigint AS clock_body FROM {{product}} ORDER BY {order}, product_id LIMIT 100")
+    @add(name, f"""
+SELECT product_id, full_name, price, sek_per_litre, clock_body :: bigint AS clock_body, row_number() OVER (ORDER BY {order}, product_id) AS rank FROM {{product}}
+""")
     def plan(t: Source) -> DataFrame:
-        return search.sort_by(t.product, mode).limit(100).select("product_id", "full_name", "price", "sek_per_litre", "clock_body")
+        ranked = search.with_rank(t.product, search.sort_order(mode))
+        return ranked.select("product_id", "full_name", "price", "sek_per_litre", "clock_body", "rank")
 
 
 _sorted("sort_price_asc", "price_asc", "price NULLS FIRST")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from shelfwise import spec
 from shelfwise.functions import cellar as rules
 from shelfwise.operators import commands, ledger, rack, reviews
+from shelfwise.operators.search import with_rank
 from shelfwise.plans.catalogue import LISTING
 from shelfwise.plans.registry import Registry, Source
 
@@ -89,17 +90,17 @@ def cellar_queues(t: Source) -> DataFrame:
         unseen.select(F.lit("reviews").alias("queue"), "cellar_id", "wine_id"))
 
 
-@add("cellar_sorts", """
-SELECT * FROM (SELECT 'drink_until' AS sort, cellar_id, wine_id FROM {wine} ORDER BY drink_until NULLS LAST, drink_from NULLS LAST, name, cellar_id, wine_id LIMIT 60) a
-UNION ALL SELECT * FROM (SELECT 'name', cellar_id, wine_id FROM {wine} ORDER BY lower(name), vintage NULLS FIRST, cellar_id, wine_id LIMIT 60) b
-UNION ALL SELECT * FROM (SELECT 'vintage', cellar_id, wine_id FROM {wine} ORDER BY vintage NULLS LAST, name, cellar_id, wine_id LIMIT 60) c
-UNION ALL SELECT * FROM (SELECT 'added', cellar_id, wine_id FROM {wine} ORDER BY added_at DESC, cellar_id, wine_id LIMIT 60) d
-""")
+SORTS = {"drink_until": "drink_until NULLS LAST, drink_from NULLS LAST, name", "name": "lower(name), vintage NULLS FIRST",
+         "vintage": "vintage NULLS LAST, name", "added": "added_at DESC"}
+
+
+@add("cellar_sorts", " UNION ALL ".join(
+    f"SELECT '{mode}' AS sort, cellar_id, wine_id, row_number() OVER (ORDER BY {order}, cellar_id, wine_id) AS rank FROM {{wine}}" for mode, order in SORTS.items()))
 def cellar_sorts(t: Source) -> DataFrame:
     out = None
-    for mode in ("drink_until", "name", "vintage", "added"):
-        listed = ledger.sort_cellar(ledger.list_cellar(t.wine, t.event, include_empty=True), mode).limit(60)
-        rows = listed.select(F.lit(mode).alias("sort"), "cellar_id", "wine_id")
+    for mode in SORTS:
+        listed = with_rank(ledger.list_cellar(t.wine, t.event, include_empty=True), ledger.cellar_order(mode))
+        rows = listed.select(F.lit(mode).alias("sort"), "cellar_id", "wine_id", "rank")
         out = rows if out is None else out.unionByName(rows)
     return out
 

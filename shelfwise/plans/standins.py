@@ -215,6 +215,17 @@ SELECT 'C' || cast(user_id % 25 AS string) AS cellar_id, user_id AS wine_id, eve
   cast(ts AS date) AS on_date,
   cast(CASE WHEN event_id % 3 = 0 THEN 1 + event_id % 5 END AS int) AS rating
 FROM {events} WHERE event_type <> 'error'
+""",
+    # Two days of raw records whose lists change: a product of the second day may list less, or nothing.
+    "raw_lists": """
+SELECT p_partkey AS product_key, d AS day_no,
+  replace(replace('<"productId": "' || cast(p_partkey AS string) || '", "grapes": ['
+    || CASE WHEN d = 1 THEN '"G' || cast(p_partkey % 7 AS string) || '", " g' || cast(p_partkey % 5 AS string) || '  ", " ", 7'
+        WHEN p_partkey % 4 = 0 THEN '' ELSE '"G' || cast(p_partkey % 3 AS string) || '"' END
+    || '], "tasteSymbols": ['
+    || CASE WHEN d = 1 THEN '"P' || cast(p_partkey % 3 AS string) || '", "P' || cast(p_partkey % 4 AS string) || '"'
+        WHEN p_partkey % 5 = 0 THEN '' ELSE '"P' || cast(p_partkey % 2 AS string) || '"' END || ']>', '<', chr(123)), '>', chr(125)) AS raw
+FROM {part} JOIN (SELECT 1 AS d UNION ALL SELECT 2 AS d) n ON d = 1 OR p_partkey % 3 <> 1
 """,
     # Raw product records with fields that are sometimes mistyped or missing.
     "raw_product": """

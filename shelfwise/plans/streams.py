@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shelfwise.operators import merge
 from shelfwise.plans import standins
 from shelfwise.plans.cellar import SUMMARY
 from shelfwise.plans.registry import Registry, Source
@@ -48,6 +51,30 @@ def stream_mirror(t: Source) -> DataFrame:
     return out.select("product_id", "synced_at", "availability")
 
 
+@add("stream_mirror_children", """
+WITH latest AS (SELECT p_partkey AS k, p_partkey % 3 <> 1 AS again FROM {part}),
+grapes AS (SELECT k, 'G' || cast(k % 7 AS string) AS name, 0 AS pos FROM latest WHERE NOT again
+  UNION ALL SELECT k, 'g' || cast(k % 5 AS string), 1 FROM latest WHERE NOT again
+  UNION ALL SELECT k, 'G' || cast(k % 3 AS string), 0 FROM latest WHERE again AND k % 4 <> 0),
+named AS (SELECT k, CASE lower(name) WHEN 'g1' THEN 'One' WHEN 'g2' THEN 'Two' ELSE name END AS grape, name, pos FROM grapes)
+SELECT cast(k AS string) AS product_id, 'grape' AS kind, grape AS value, max_by(name, pos) AS raw_name FROM named GROUP BY 1, 2, 3
+UNION ALL SELECT cast(k AS string), 'pairing', value, NULL FROM (
+  SELECT k, 'P' || cast(k % 3 AS string) AS value FROM latest WHERE NOT again UNION SELECT k, 'P' || cast(k % 4 AS string) FROM latest WHERE NOT again
+  UNION SELECT k, 'P' || cast(k % 2 AS string) FROM latest WHERE again AND k % 5 <> 0) p
+""")
+def stream_mirror_children(t: Source) -> DataFrame:
+    """Two snapshot days; the second lacks some products and shortens lists of others."""
+    source, folder = scratch.new_path(t.spark, "stream-lists"), scratch.new_path(t.spark, "stream-children")
+    rows = t.raw_lists.select("raw", F.date_add(F.lit(date(2026, 8, 1)), F.col("day_no").cast("int")).alias("day"))
+    for day_no in (2, 3):
+        snapshots.write_snapshot(rows.filter(F.dayofmonth("day") == day_no), source)
+    synonyms = t.spark.createDataFrame([("g1", "One"), ("g2", "Two")], "name STRING, canonical STRING")
+    lines = snapshots.stream_snapshot(t.spark, f"{source}/*", max_files=2)
+    streams.mirror_with_children(lines, folder, synonyms, scratch.new_path(t.spark, "stream-state"), BUCKETS).awaitTermination()
+    children = [merge.read_children(t.spark, f"{folder}/{kind}", kind).withColumn("kind", F.lit(kind)).withColumnRenamed(kind, "value") for kind in ("grape", "pairing")]
+    return children[0].unionByName(children[1], allowMissingColumns=True).select("product_id", "kind", "value", "raw_name")
+
+
 @add("stream_ledger", SUMMARY.replace("SELECT cellar_id, wine_id,", "SELECT cellar_id, wine_id, sum(quantity) :: bigint AS quantity,"))
 def stream_ledger(t: Source) -> DataFrame:
     events = _stream_view(t, "event", "events")

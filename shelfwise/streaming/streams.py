@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shelfwise import spec
 from shelfwise.operators import ledger, merge, normalise
+from shelfwise.sources import tables
+from shelfwise.sources.scratch import staged
 
 DEFAULT_BUCKETS = 64
 
@@ -41,6 +43,37 @@ def mirror_snapshots(lines: DataFrame, path: str, checkpoint: str, buckets: int
     return _start(lines, apply, checkpoint, "append", once)
 
 
+def mirror_with_children(lines: DataFrame, folder: str, synonyms: DataFrame, checkpoint: str, buckets: int = DEFAULT_BUCKETS,
+                         once: bool = True) -> StreamingQuery:
+    """Snapshot lines (raw, day) -> the tables product, grape, pairing and commit below ``folder``.
+
+    A micro-batch decides once which of its products are not older than the stored ones and
+    writes these, and their whole child lists, to all three tables; its number goes to
+    ``commit`` last, so readers can tell the batches that are complete. If it fails between
+    two tables it is replayed: the stored rows are then as new as the batch's own, the same
+    products are chosen, and each table ends as if written once. A list may shrink to nothing.
+    """
+    written = [c for c in spec.WRITTEN_COLUMNS if c != "product_id"]
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark, product = batch.sparkSession, f"{folder}/product"
+        dated = batch.withColumn("synced_at", F.col("day").cast("timestamp"))
+        newest = merge.first_by(normalise.normalise(dated), ["product_id"], [-F.unix_timestamp("synced_at"), F.col("raw")])
+        if tables.table_exists(spark, product):
+            stored = tables.read_table(spark, product).select("product_id", F.col("synced_at").alias("_stored"))
+            newest = newest.join(stored, "product_id", "left").filter(
+                F.col("_stored").isNull() | (F.col("_stored") <= F.col("synced_at"))).drop("_stored")
+        newest = staged(newest, "batch")
+        ids = newest.select("product_id")
+        merge.upsert_table(product, newest.drop("grapes", "pairings"), ["product_id"], buckets, written, sort=("availability_rank", "price"))
+        merge.replace_children_table(f"{folder}/grape", normalise.grape_children(newest, synonyms), ids, buckets)
+        merge.replace_children_table(f"{folder}/pairing", normalise.pairing_children(newest), ids, buckets)
+        done = ids.agg(F.count(F.lit(1)).alias("products")).withColumn("batch", F.lit(number).cast("bigint"))
+        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{folder}/commit")
+
+    return _start(lines, apply, checkpoint, "append", once)
+
+
 def running_ledger(events: DataFrame, path: str, checkpoint: str, buckets: int = DEFAULT_BUCKETS,
                    once: bool = True) -> StreamingQuery:
     """Cellar events -> balance, average rating, bottles drunk and last note per wine."""
