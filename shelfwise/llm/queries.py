@@ -151,8 +151,8 @@ FROM sets s JOIN reached ON s.r = reached.r JOIN sets o ON o.r = reached.root GR
 
 @registered
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (suffix_dedup.with_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-            .select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+    return (suffix_dedup.with_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=True)
+            .select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"))
 
 
 @registered

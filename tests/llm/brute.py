@@ -59,6 +59,29 @@ def cut(texts, length):
     return out
 
 
+def cut_both(texts, length, words):
+    """What stays of each text when repeated windows of ``length`` bytes and of ``words`` words go."""
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    seen = {}
+    for t, own in zip(texts, places):
+        for i in range(len(t) - length + 1):
+            seen[t[i:i + length]] = seen.get(t[i:i + length], 0) + 1
+        for i in range(len(own) - words + 1):
+            key = tuple(t[a:b] for a, b in own[i:i + words])
+            seen[key] = seen.get(key, 0) + 1
+    out = []
+    for t, own in zip(texts, places):
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - length + 1):
+            if seen[t[i:i + length]] > 1:
+                gone[i:i + length] = True
+        for i in range(len(own) - words + 1):
+            if seen[tuple(t[a:b] for a, b in own[i:i + words])] > 1:
+                gone[own[i][0]:own[i + words - 1][1]] = True
+        out.append((int(gone.sum()), bytes(b for b, g in zip(t, gone) if not g).decode(errors="ignore")))
+    return out
+
+
 def checked_packs(rows, library, texts_by_id, length):
     """Every sequence is gapless and no longer than allowed; every id of every document lies in one piece."""
     by_sequence, by_doc = {}, {}
