@@ -27,13 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from shelfwise.llm.pretokens import SPECIAL, Memo, pieces, portions
-from shelfwise.llm.workers import ship_code, slices
+from shelfwise.llm.workers import CACHES, ship_code, slices
 from shelfwise.sources.scratch import staged
 
 #: Windows a partition keeps open, and partitions whose open windows are merged in one group.
 OPEN, FAN_IN = 64, 32
 #: Pre-tokens whose ids a worker remembers, about 200 bytes each.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 #: Bits of a sequence's number within its partition.
 _SERIAL_BITS = 36
 
@@ -100,12 +100,15 @@ def _memo(path: str) -> tuple[Memo, bytes]:
     return Memo(compute, REMEMBERED), special.to_bytes(4, "little")
 
 
+CACHES["packing"] = _memo.cache_clear
+
+
 def encoded(texts: list[bytes], path: str) -> Iterator[bytes]:
     """Ids of each text, four little-endian bytes each."""
     memo, special = _memo(path)
     for a, b in portions(texts):
         cut = [[pieces(part) for part in data.split(SPECIAL)] for data in texts[a:b]]
-        known = memo.ready({p for parts in cut for own in parts for p in own})
+        known = memo.ready(set(chain.from_iterable(chain.from_iterable(cut))))
         for parts in cut:
             yield special.join(b"".join(map(known.__getitem__, own)) for own in parts)
 
@@ -125,7 +128,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", le
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         windows, rows = Windows(length, n_open, part << _SERIAL_BITS), []
-        for batch in slices(batches):
+        for batch in slices(batches, keeps="packing"):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for name, ids in zip(batch.column(0).to_pylist(), encoded(texts, path)):
                 ids += end

@@ -50,7 +50,7 @@ class Memo:
     def ready(self, wanted: set[bytes]) -> dict:
         if len(self.known) > self.size:
             self.known = {}
-        new = [p for p in wanted if p not in self.known]
+        new = list(wanted.difference(self.known))
         if new:
             self.known.update(zip(new, self.compute(new)))
         return self.known

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -29,8 +29,18 @@ def ship_code(spark: SparkSession) -> None:
     context.addPyFile(str(archive))
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` a few hundred at a time, so that few texts are Python objects at once."""
+#: What operators remember between the tasks of one worker, by name: how to forget it.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512, keeps: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` a few hundred at a time, so that few texts are Python objects at once.
+
+    Workers serve one stage after another: what others remember is dropped first, all but ``keeps``.
+    """
+    for name, forget in CACHES.items():
+        if name != keeps:
+            forget()
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
