@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfwise.llm import decontaminate, html_text, jaccard, nearest, packing, phrases, quality, sharding, simhash, source_audit, suffix_dedup, token_counts, url_filter
+from shelfwise.sources.scratch import new_path, staged
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -53,10 +54,13 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parted LE
 @registered
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    slim = (sharding.in_slots(docs).withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-            .select("doc_id", "virtual_slot", "size", "text_crc32"))
-    slot_map = sharding.first_map(sharding.slot_loads(slim), n_shards=16)
-    return (sharding.placed(slim, slot_map, ["doc_id", "size", "text_crc32"])
+    slim = staged(sharding.in_slots(docs).withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+                  .select("doc_id", "virtual_slot", "size", "text_crc32", sharding.row_number_of().alias("number")), "in-slots")
+    heavy = sharding.heavy_slots(sharding.slot_loads(slim))
+    slotted = sharding.dealt_out(slim, heavy, "number")
+    path = new_path(spark, "slot-map")
+    sharding.write_map(sharding.first_map(sharding.slot_loads(slotted), 16, heavy), path)
+    return (sharding.placed(slotted, sharding.read_map(spark, path), ["doc_id", "size", "text_crc32"])
             .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                     F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"))
 

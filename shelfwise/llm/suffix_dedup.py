@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from shelfwise.llm.names import unused
 from shelfwise.llm.pretokens import portions
 from shelfwise.llm.sorted_buckets import compared
 from shelfwise.llm.windows import Substrings, anchored_runs
@@ -70,20 +71,22 @@ def with_spans(docs: DataFrame, length: int = 400, text: str = "text", keep_text
     ship_code(spark)
     new = T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
                                    "spans array<struct<first: long, end: long>>" + ", kept string" * keep_text)
-    rest = docs.drop(*(set(new.names) - {text}), *_NAME, "cut", "word_cut")
+    rest = docs.drop(*(set(new.names) - {text}))
+    digest, size, cut_at, word_cut_at = unused(rest, "d", "n_bytes_", "cut", "word_cut")
     whole = F.coalesce(text, F.lit(""))
-    named = rest.withColumns({"d": F.xxhash64(whole), "n_bytes": F.octet_length(whole).cast("long")})
-    texts = named.select(*_NAME, whole.alias("text"))
-    joined = named.join(_cuts(texts, length), _NAME, "left")
-    if words:
-        joined = joined.join(_cuts(texts, words, _WORDS).withColumnRenamed("cut", "word_cut"), _NAME, "left")
-    schema, columns_kept, added = T.StructType([*rest.schema.fields, *new.fields]), rest.columns, new.names
+    joined = rest.withColumns({digest: F.xxhash64(whole), size: F.octet_length(whole).cast("long")})
+    texts = joined.select(F.col(digest).alias("d"), F.col(size).alias("n_bytes"), whole.alias("text"))
+    for name, made in [(cut_at, _cuts(texts, length))] + ([(word_cut_at, _cuts(texts, words, _WORDS))] if words else []):
+        joined = joined.join(made.toDF(digest, size, name), [digest, size], "left")
+    # The text is in the result only under a name of the caller's; a namesake of a result column is only read.
+    schema = T.StructType([*(f for f in rest.schema.fields if f.name not in new.names), *new.fields])
+    columns_kept, added = [c for c in rest.columns if c not in new.names], new.names
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
-            word_cuts = batch.column("word_cut").to_pylist() if words else [None] * batch.num_rows
-            for data, cut, word_cut in zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column("cut").to_pylist(), word_cuts):
+            word_cuts = batch.column(word_cut_at).to_pylist() if words else [None] * batch.num_rows
+            for data, cut, word_cut in zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column(cut_at).to_pylist(), word_cuts):
                 data = data or b""
                 spans = _merged((cut or []) + _in_bytes(data, word_cut or []))
                 kept = b"".join(data[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(f for f, _ in spans), len(data)]))

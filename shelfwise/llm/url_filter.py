@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfwise.llm.ascii import lower_ascii
+from shelfwise.llm.names import unused
 
 #: Rules beyond this many are joined by a shuffle instead of being sent to every executor.
 MAX_SENT_RULES = 100_000
@@ -93,12 +94,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     """
     out = {"host": host_of(F.col(url)), "path": path_of(F.col(url))}
     parted = pages.withColumns(out).drop("rule", "verdict")
+    fitting, = unused(parted, "fitting")
     places = parted.select("host", "path").distinct()
     index = _sent(index_rules(rules, places), rules)
     looked_up = places.withColumn("token", F.explode(_tokens(F.col("host"), F.col("path"))))
     fits = looked_up.join(index, "token").filter(F.expr("concat(host, path) rlike pattern"))
     best = (fits.groupBy("host", "path")
             .agg(F.min(F.struct((-F.col("size")).alias("size"), "rule", "verdict")).alias("best"))
-            .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("fitting")))
+            .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias(fitting)))
     return (parted.join(best, ["host", "path"], "left")
-            .withColumn("verdict", F.coalesce("fitting", F.lit(default))).drop("fitting"))
+            .withColumn("verdict", F.coalesce(fitting, F.lit(default))).drop(fitting))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,6 +13,9 @@ _SPREAD = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * n
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+#: Words of more bytes are digested whole: a polynomial modulo 2^64 has known collisions from some hundred bytes on.
+LONG = 32
+
 #: Bytes of a word: letters and digits of ASCII (lower case) and everything beyond ASCII ...
 ALNUM = np.isin(np.arange(256), [*range(48, 58), *range(97, 123), *range(128, 256)])
 #: ... or everything but ASCII white space.
@@ -48,7 +52,7 @@ class Words:
 
 
 def hashed_words(texts: list[bytes], inside: np.ndarray) -> Words:
-    """Words (runs of bytes ``inside``, A-Z lower-cased) of each text. A word's hash is a polynomial of its bytes."""
+    """Words (runs of bytes ``inside``, A-Z lower-cased) of each text. A word's hash depends on its bytes alone."""
     data = _LOWER[np.frombuffer(b"\n".join([*texts, b""]), np.uint8)]
     ends_at = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     starts, ends = word_places(data, inside)
@@ -70,4 +74,8 @@ def word_places(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.nd
 def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     power, inverse = _powers_to(len(data) + 1)
     sums = np.concatenate(([np.uint64(0)], np.cumsum(_SPREAD[data] * power[:len(data)])))
-    return mixed((sums[ends] - sums[starts]) * inverse[starts])
+    out = mixed((sums[ends] - sums[starts]) * inverse[starts])
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        digest = hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest()
+        out[i] = np.uint64(int.from_bytes(digest, "little"))
+    return out
