@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, functions as F
 
 from shelfwise.functions import typed
-from shelfwise.operators import audit, diff, export, merge, normalise
+from shelfwise.operators import audit, diff, export, merge, normalise, publish
 from shelfwise.plans.registry import Registry, Source
 from shelfwise.sources import results, scratch, snapshots, synonyms, tables
 
@@ -408,6 +408,35 @@ def publish_gate(t: Source) -> DataFrame:
     return audit.publish_gate(t.snapshot_b, t.pairing)
 
 
+def _gate_sql(step: int, count: str, before: str) -> str:
+    """One step of ``publish_version``: the count, what was live, the verdict, and what is live afterwards."""
+    live = f"(SELECT served FROM {before})" if before else "0"
+    number = f"(SELECT number FROM {before})" if before else "NULL"
+    return f"""s{step} AS (SELECT *, CASE WHEN publish = 1 THEN products ELSE live END AS served,
+    CASE WHEN publish = 1 THEN coalesce(old, 0) + 1 ELSE old END :: bigint AS number
+  FROM (SELECT *, CASE WHEN reason IS NULL THEN 1 ELSE 0 END :: bigint AS publish
+    FROM (SELECT {step} :: bigint AS step, products, live, old, CASE WHEN products < 1000 THEN 'too few products'
+        WHEN live > 0 AND products < live // 2 THEN 'fewer than half of the live products' END AS reason
+      FROM (SELECT ({count}) :: bigint AS products, {live} :: bigint AS live, {number} :: bigint AS old))))"""
+
+
+@add("publish_version", "WITH " + ", ".join([
+    _gate_sql(1, "SELECT count(*) FROM {product}", ""), _gate_sql(2, "SELECT count(*) FROM {product} WHERE price < 1000", "s1"),
+    _gate_sql(3, "SELECT count(*) FROM {snapshot_b}", "s2")]) + "".join(f"""
+{"UNION ALL " * (i > 1)}SELECT step, products, live, publish, reason, number, served, (SELECT served FROM s1) AS held FROM s{i}""" for i in (1, 2, 3)))
+def publish_version(t: Source) -> DataFrame:
+    """A whole table, a crawl that found the cheapest only, and the next day's table; held is what the first day's reader still reads."""
+    root, rows, held = scratch.new_path(t.spark, "published"), [], None
+    steps = (t.product, t.product.filter("price < 1000"), t.snapshot_b)
+    for step, products in enumerate(steps, 1):
+        verdict = publish.publish(root, {"product": products}).first()
+        now = publish.live(t.spark, root)
+        held = held if step > 1 else now
+        count = lambda version: version.table("product").count() if version else 0
+        rows.append((step, *verdict, count(now), count(held)))
+    return t.spark.createDataFrame(rows, "step long, products long, live long, publish boolean, reason string, number long, served long, held long")
+
+
 @add("snapshot_diff", """
 WITH j AS (SELECT coalesce(a.product_id, b.product_id) AS product_id, a.product_id AS old_id, b.product_id AS new_id,
     a.price AS old_price, b.price AS new_price, a.vintage :: bigint AS old_vintage, b.vintage :: bigint AS new_vintage

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.operators import audit, export, merge, search
+from shelfwise.operators import audit, export, merge, publish, search
 from shelfwise.operators.running import numbered, previous_value, running_sum
 from shelfwise.sources import tables
 
@@ -131,3 +131,26 @@ def test_slim_export_keeps_mirrored_stores_only(spark):
     meta = {r.key: r.value for r in export.export_meta(slim, 2, NOW, "2026-08-25T00:00:00Z").collect()}
     assert meta == {"exported_at": "2026-09-01T12:00:00Z", "source_sync": "2026-08-25T00:00:00Z", "products": "1",
                     "max_avail_rank": "2", "stores_covered": "1001 A"}
+
+
+def test_versions_are_published_whole_or_not_at_all(spark, tmp_path):
+    root = str(tmp_path / "p")
+    assert publish.live(spark, root) is None
+    refused = publish.publish(root, {"product": spark.range(5)}, minimum=10).first()
+    assert (refused.publish, refused.reason, refused.number, publish.live(spark, root)) == (False, "too few products", None, None)
+    first = publish.publish(root, {"product": spark.range(30), "grape": spark.range(3)}, minimum=10).first()
+    reader = publish.live(spark, root)
+    assert (first.publish, first.number, reader.number) == (True, 1, 1) and reader.table("grape").count() == 3
+    collapsed = publish.publish(root, {"product": spark.range(14), "grape": spark.range(1)}, minimum=10).first()
+    assert (collapsed.publish, collapsed.live, collapsed.number) == (False, 30, 1) and publish.live(spark, root) == reader
+    # Half of the live table is enough; whoever opened the old version goes on reading it.
+    assert publish.publish(root, {"product": spark.range(15), "grape": spark.range(9)}, minimum=10).first().number == 2
+    assert publish.live(spark, root).table("grape").count() == 9
+    assert (reader.table("product").count(), reader.table("grape").count()) == (30, 3)
+    # Tables that were written without a log entry, as by a publisher that was lost, are not seen.
+    spark.range(99).write.parquet(f"{root}/versions/lost/product")
+    assert publish.live(spark, root).number == 2
+    assert publish.roll_back(spark, root, 1) == 3
+    assert publish.live(spark, root).table("product").count() == 30 and publish.published(spark, root).count() == 3
+    with pytest.raises(ValueError):
+        publish.roll_back(spark, root, 7)
