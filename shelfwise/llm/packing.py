@@ -33,7 +33,7 @@ from shelfwise.sources.scratch import staged
 #: Windows a partition keeps open, and partitions whose open windows are merged in one group.
 OPEN, FAN_IN = 64, 32
 #: Pre-tokens whose ids a worker remembers, about 200 bytes each.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Bits of a sequence's number within its partition.
 _SERIAL_BITS = 36
 

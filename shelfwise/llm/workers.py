@@ -36,7 +36,8 @@ CACHES: dict[str, Callable[[], None]] = {}
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512, keeps: str | None = None) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` a few hundred at a time, so that few texts are Python objects at once.
 
-    Workers serve one stage after another: what others remember is dropped first, all but ``keeps``.
+    Workers serve one stage after another: what others remember is dropped first, all but ``keeps``, and what
+    Arrow holds in reserve goes back to the system at the end of a task.
     """
     for name, forget in CACHES.items():
         if name != keeps:
@@ -44,3 +45,4 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 512, keeps: str | None
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()
