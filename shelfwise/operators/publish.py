@@ -17,6 +17,7 @@ from shelfwise import spec
 from shelfwise.operators.audit import publish_gate
 
 _LOG = "number long, folder string, products long"
+VERDICT = "products long, live long, publish boolean, reason string, number long"
 
 
 @dataclass(frozen=True)
@@ -52,18 +53,26 @@ def publish(root: str, tables: dict[str, DataFrame], judged: str = "product", mi
     publisher that is lost before its log entry has changed nothing and may run again.
     """
     spark = tables[judged].sparkSession
-    before = live(spark, root)
     folder = f"{root}/versions/{uuid.uuid4().hex}"
     for name, table in tables.items():
         table.write.parquet(f"{folder}/{name}")
-    new = spark.read.schema(tables[judged].schema).parquet(f"{folder}/{judged}")
-    verdict = publish_gate(new, before and before.table(judged), minimum).first()
+    return release(spark, root, folder, judged, minimum)
+
+
+def release(spark: SparkSession, root: str, folder: str, judged: str = "product", minimum: int = spec.MIN_PUBLISH_ROWS) -> DataFrame:
+    """The second half of ``publish``, for tables already written to ``folder``; a folder that the log names is not named again."""
+    named = published(spark, root).filter(F.col("folder") == folder).orderBy("number").first()
+    if named:
+        last = published(spark, root).filter(F.col("number") < named.number).orderBy(F.desc("number")).first()
+        return spark.createDataFrame([(named.products, last.products if last else 0, True, None, named.number)], VERDICT)
+    before = live(spark, root)
+    verdict = publish_gate(spark.read.parquet(f"{folder}/{judged}"), before and before.table(judged), minimum).first()
     number = before.number if before else None
     if verdict.publish:
         number = (number or 0) + 1
         entry = spark.createDataFrame([(number, folder, verdict.products)], _LOG).coalesce(1)
         entry.write.mode("append").parquet(f"{root}/log")
-    return spark.createDataFrame([(*verdict, number)], "products long, live long, publish boolean, reason string, number long")
+    return spark.createDataFrame([(*verdict, number)], VERDICT)
 
 
 def roll_back(spark: SparkSession, root: str, number: int) -> int:

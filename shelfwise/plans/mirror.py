@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, functions as F
 
 from shelfwise.functions import typed
-from shelfwise.operators import audit, diff, export, merge, normalise, publish
+from shelfwise.operators import audit, diff, export, merge, normalise, publish, sync
 from shelfwise.plans.registry import Registry, Source
 from shelfwise.sources import results, scratch, snapshots, synonyms, tables
 
@@ -450,3 +450,76 @@ UNION ALL SELECT product_id, 'vintage', old_price, new_price, old_vintage, new_v
 """)
 def snapshot_diff(t: Source) -> DataFrame:
     return diff.snapshot_diff(t.product, t.snapshot_b)
+
+
+SYNC_RUNS = """
+WITH w AS (SELECT DISTINCT slice, product_id FROM {walks}),
+half AS (SELECT slice, product_id, min(pos % 2) AS odd FROM {walks} GROUP BY slice, product_id),
+names AS (SELECT DISTINCT product_id, grape, pos FROM (
+  SELECT product_id, pos, CASE raw_name WHEN 'bolt' THEN 'rod' WHEN 'hot' THEN 'gear' ELSE raw_name END AS grape FROM {raw_grape}) g),
+p1 AS (SELECT DISTINCT product_id FROM w),
+p2 AS (SELECT DISTINCT product_id FROM half WHERE slice % 9 <> 0 OR odd = 0),
+p3 AS (SELECT DISTINCT product_id FROM w WHERE product_id % 17 <> 0),
+g1 AS (SELECT DISTINCT product_id, grape FROM names WHERE product_id IN (SELECT product_id FROM p1)),
+g3 AS (SELECT DISTINCT product_id, grape FROM names WHERE product_id IN (SELECT product_id FROM p3) AND (pos = 0 OR product_id % 6 <> 0)),
+s1 AS (SELECT * FROM w),
+s3 AS (SELECT * FROM w WHERE product_id % 17 <> 0 AND (slice % 4 <> 0 OR product_id % 2 = 0)),
+size AS (SELECT (SELECT count(*) FROM p1) AS n1, (SELECT count(*) FROM p3) AS n3, (SELECT count(DISTINCT slice) FROM w) AS slices,
+  (SELECT count(DISTINCT slice) FROM w WHERE slice % 9 = 0) AS broken)
+SELECT 1 :: bigint AS run_id, n1 AS products, slices, 0 :: bigint AS errors, NULL :: string AS note, 0 :: bigint AS pruned,
+  1 :: bigint AS publish, NULL :: string AS reason, 1 :: bigint AS number, n1 AS served, (SELECT count(*) FROM g1) AS grapes,
+  (SELECT count(*) FROM s1) AS carried, (SELECT count(*) FROM p1 WHERE product_id % 5 = 0) AS kosher FROM size
+UNION ALL SELECT 2, (SELECT count(*) FROM p2), slices, broken, NULL, 0, 0, cast(broken AS string) || ' failures', 1, n1,
+  (SELECT count(*) FROM g1), (SELECT count(*) FROM s1), (SELECT count(*) FROM p1 WHERE product_id % 5 = 0) FROM size
+UNION ALL SELECT 3, n3, slices, 0, NULL, n1 - n3, 1, NULL, 2, n3,
+  (SELECT count(*) FROM g3), (SELECT count(*) FROM s3), (SELECT count(*) FROM p3 WHERE product_id % 10 = 0) FROM size
+"""
+
+
+@add("sync_runs", SYNC_RUNS)
+def sync_runs(t: Source) -> DataFrame:
+    """Three days: a whole walk; one with broken slices, of which some break again; a whole one in which products,
+    grapes and listings are gone. Each run's row, and what readers are served after it."""
+    root = scratch.new_path(t.spark, "sync")
+    lookup = t.spark.createDataFrame([("bolt", "rod"), ("hot", "gear")], synonyms.SCHEMA)
+    product, slice_ = F.col("product_id"), F.col("slice")
+    names = t.part.select(F.col("p_partkey").alias("product_id"), F.split("p_name", " ").alias("names"))
+    raw = t.raw_product.select(F.col("product_key").alias("product_id"), "raw").join(names, "product_id")
+
+    def records(names_read: F.Column) -> DataFrame:
+        """The day's records, each with the names given as its grapes, wherever a walk comes by them."""
+        named = F.concat(F.expr("substring(raw, 1, length(raw) - 1)"), F.lit(', "grapes": '), F.to_json(names_read), F.lit("}"))
+        return t.walks.select("slice", F.lit(1).alias("pass"), "pos", "product_id").join(raw.select("product_id", named.alias("raw")), "product_id")
+
+    def expected(found: DataFrame) -> DataFrame:
+        return found.groupBy("slice").agg(F.count_distinct("product_id").alias("expected"))
+
+    def ids(found: DataFrame) -> DataFrame:
+        return found.select(product.cast("string").alias("product_id")).distinct()
+
+    def listed(found: DataFrame) -> DataFrame:
+        return found.select(slice_.cast("bigint").alias("site_id"), product.cast("string").alias("product_id"))
+
+    first, last = records(F.slice("names", 1, 2)), records(F.when(product % 6 == 0, F.slice("names", 1, 1)).otherwise(F.slice("names", 1, 2)))
+    third = last.filter(product % 17 != 0)
+    slices = t.walks.select("slice").distinct()
+    again, twice = slices.filter(slice_ % 3 == 0), slices.filter(slice_ % 9 == 0)
+    fourth = slices.filter(slice_ % 4 == 0).select(slice_.cast("bigint").alias("site_id"))
+    walks = [
+        sync.Walk(first, expected(first), flags={"is_kosher": ids(first.filter(product % 5 == 0))},
+                  sites=slices.select(slice_.cast("bigint").alias("site_id")), assortment=listed(first)),
+        sync.Walk(first.filter((slice_ % 3 != 0) | (F.col("pos") % 2 == 0)), expected(first), failed=again, failed_again=twice,
+                  retried=first.filter((slice_ % 3 == 0) & (slice_ % 9 != 0))),
+        sync.Walk(third, expected(third), flags={"is_kosher": ids(third.filter(product % 10 == 0))}, sites=fourth,
+                  assortment=listed(third.filter((slice_ % 4 == 0) & (product % 2 == 0)))),
+    ]
+    out = None
+    for day, walk in enumerate(walks):
+        run = sync.sync(root, day + 1, SYNC + timedelta(days=day), walk, lookup, minimum=100)
+        now = publish.live(t.spark, root)
+        size = now.table("product").agg(F.count(F.lit(1)).alias("served"), F.count_if(F.col("is_kosher")).alias("kosher")).first()
+        row = run.drop("started_at", "finished_at").withColumns({
+            "served": F.lit(size.served), "grapes": F.lit(now.table("grape").count()),
+            "carried": F.lit(now.table("store_product").count()), "kosher": F.lit(size.kosher)})
+        out = row if out is None else out.unionByName(row)
+    return out
