@@ -2,9 +2,9 @@
 
 A page is cut at block-level tags into a flat list of text blocks. Each has a word
 count and a link density (share of its words inside links), its neighbours' ones, and
-two marks of its place: inside page furniture (menus, footers, forms, elements named as
-adverts and the like), and inside an article. A small decision tree, trained on the
-labelled table below, tells main text from the rest.
+marks of its place: inside an element of page furniture (menus, footers, forms) or reader comments,
+under another name of furniture (adverts and the like), and inside an article, beside one, or on a page
+without. A small decision tree, trained on the labelled table below, tells main text from the rest.
 
 Cases: null and empty pages have an empty text, as have pages whose blocks are all
 rejected. Unclosed comments, scripts, styles and other elements of raw text reach to the
@@ -43,6 +43,10 @@ _NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner b
 _AFFIXES = frozenset("area bar block bottom box btn button buttons col container content count desktop dialog fixed form global google group icon icons id "
                      "inline inner item items js left link links list main message mobile module nested outer overlay page panel post posts primary "
                      "article articles entry region right row secondary section site slot sticky story stories text thread title top unit wrap wrapper".split())
+#: Names of what readers write: the first say so alone, the second beside one of the third.
+_READ = frozenset("comment comments disqus replies respond".split())
+_SAID = frozenset("comment comments discussion discussions feedback letters opinion opinions posts remarks responses review reviews voices".split())
+_READERS = frozenset("customer customers guest guests member members reader readers user users visitor visitors".split())
 _ARTICLE = frozenset(("article", "main"))
 #: Elements of an article whose id is an anchor, made from a title.
 _ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 p section".split())
@@ -52,80 +56,188 @@ _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[^\W_]")
 
-#: Of each example block: words, link density, words and link density of the block before, the same of the block
-#: behind, inside furniture, inside an article; and whether it is main text.
+#: Of each example block: words, link density, words and link density of the block before, the same of the block behind (0 where there
+#: is none), inside an element of furniture or reader comments, under another name of furniture, place (1 in an article, 0 beside one, 0.5 on a
+#: page without); and whether it is main text.
 EXAMPLES = (
-    # words  link   before      behind      furn. art.  main
-    (1,      1.00,  0,   0.00,  1,   1.00,  1,    0,    0),
-    (2,      1.00,  1,   1.00,  7,   0.00,  1,    0,    0),
-    (7,      0.00,  1,   1.00,  10,  0.00,  1,    0,    0),
-    (12,     0.10,  40,  0.00,  0,   0.00,  1,    0,    0),
-    (60,     0.00,  80,  0.00,  0,   0.00,  1,    0,    0),
-    (35,     0.00,  5,   0.00,  70,  0.00,  1,    1,    0),
-    (4,      1.00,  60,  0.00,  55,  0.00,  1,    1,    0),
-    (150,    0.02,  90,  0.00,  12,  0.50,  1,    1,    0),
-    (3,      0.00,  60,  0.00,  9,   0.00,  1,    1,    0),
-    (1,      0.00,  2,   0.00,  1,   0.00,  1,    1,    0),
-    (25,     0.00,  30,  0.00,  25,  0.00,  1,    0,    0),
-    (90,     0.00,  90,  0.00,  90,  0.00,  1,    0,    0),
-    (9,      0.00,  9,   0.00,  0,   0.00,  1,    0,    0),
-    (400,    0.00,  60,  0.00,  80,  0.00,  1,    0,    0),
-    (20,     0.30,  3,   1.00,  3,   1.00,  1,    0,    0),
-    (10,     0.00,  7,   0.00,  90,  0.00,  0,    1,    1),
-    (90,     0.00,  10,  0.00,  2,   0.00,  0,    1,    1),
-    (2,      0.00,  90,  0.00,  40,  0.03,  0,    1,    1),
-    (1,      0.00,  2,   0.00,  12,  0.00,  0,    1,    1),
-    (1,      0.00,  0,   0.00,  0,   0.00,  0,    1,    1),
-    (40,     0.03,  2,   0.00,  300, 0.00,  0,    1,    1),
-    (300,    0.00,  40,  0.03,  9,   0.00,  0,    1,    1),
-    (9,      0.00,  300, 0.00,  11,  0.10,  0,    1,    1),
-    (25,     0.20,  60,  0.00,  30,  0.10,  0,    1,    1),
-    (30,     0.40,  60,  0.00,  30,  0.00,  0,    1,    1),
-    (9,      0.00,  0,   0.00,  9,   0.00,  0,    1,    1),
-    (3,      0.00,  5,   0.00,  0,   0.00,  0,    1,    1),
-    (6,      0.00,  2,   0.00,  7,   0.00,  0,    1,    1),
-    (1,      0.00,  1,   0.00,  1,   0.00,  0,    1,    1),
-    (4,      0.00,  1,   0.00,  3,   0.00,  0,    1,    1),
-    (8,      0.00,  8,   0.00,  2,   0.00,  0,    1,    1),
-    (14,     0.00,  1,   1.00,  6,   0.00,  0,    1,    1),
-    (2,      0.00,  3,   1.00,  1,   0.00,  0,    1,    1),
-    (22,     0.00,  4,   0.00,  3,   1.00,  0,    1,    1),
-    (5,      0.00,  30,  0.00,  6,   1.00,  0,    1,    1),
-    (80,     0.00,  2,   0.00,  4,   1.00,  0,    1,    1),
-    (1,      0.00,  9,   0.00,  2,   1.00,  0,    1,    1),
-    (200,    0.00,  0,   0.00,  0,   0.00,  0,    1,    1),
-    (900,    0.00,  5,   0.00,  4,   0.00,  0,    1,    1),
-    (0,      0.00,  40,  0.00,  40,  0.00,  0,    1,    1),
-    (0,      0.00,  2,   0.00,  0,   0.00,  0,    1,    1),
-    (2,      0.00,  95,  0.00,  110, 0.00,  0,    1,    1),   # <h2 id="related-work">
-    (110,    0.00,  2,   0.00,  70,  0.02,  0,    1,    1),   # <section id="social-history">
-    (35,     0.00,  110, 0.00,  2,   0.00,  0,    1,    1),   # <p id="notice-period">
-    (3,      1.00,  60,  0.00,  4,   1.00,  0,    1,    0),
-    (2,      1.00,  80,  0.00,  70,  0.00,  0,    1,    0),
-    (4,      1.00,  3,   1.00,  5,   1.00,  0,    1,    0),
-    (8,      0.90,  30,  0.00,  6,   1.00,  0,    1,    0),
-    (45,     0.05,  60,  0.00,  50,  0.00,  0,    0,    1),
-    (120,    0.00,  3,   0.00,  2,   0.00,  0,    0,    1),
-    (65,     0.00,  90,  0.00,  3,   1.00,  0,    0,    1),
-    (50,     0.00,  2,   1.00,  60,  0.00,  0,    0,    1),
-    (70,     0.10,  1,   1.00,  1,   1.00,  0,    0,    1),
-    (18,     0.00,  70,  0.00,  60,  0.00,  0,    0,    1),
-    (6,      0.00,  90,  0.00,  120, 0.00,  0,    0,    1),
-    (5,      0.00,  2,   1.00,  90,  0.00,  0,    0,    1),
-    (16,     0.00,  45,  0.00,  12,  0.00,  0,    0,    1),
-    (6,      0.00,  1,   1.00,  2,   1.00,  0,    0,    0),
-    (3,      0.00,  4,   0.00,  2,   1.00,  0,    0,    0),
-    (8,      0.00,  2,   0.00,  5,   0.00,  0,    0,    0),
-    (12,     0.00,  4,   1.00,  3,   0.50,  0,    0,    0),
-    (2,      1.00,  1,   1.00,  80,  0.00,  0,    0,    0),
-    (1,      1.00,  1,   1.00,  1,   1.00,  0,    0,    0),
-    (15,     0.80,  90,  0.00,  4,   1.00,  0,    0,    0),
-    (40,     0.70,  60,  0.00,  10,  1.00,  0,    0,    0),
-    (60,     0.90,  3,   1.00,  2,   1.00,  0,    0,    0),
+    # words  link   before      behind      elem. name  place  main
+    # Menus, link lists and teasers, with names and without.
+    (90,      0.90,  3,   1.00,  2,   1.00,  0,    0,    0,     0),
+    (120,     0.80,  60,  0.00,  9,   1.00,  0,    0,    0,     0),
+    (200,     0.95,  40,  0.70,  70,  0.00,  0,    0,    0,     0),
+    (1,       1.00,  0,   0.00,  1,   1.00,  1,    0,    0,     0),
+    (2,       1.00,  1,   1.00,  7,   0.00,  1,    0,    0,     0),
+    (1,       1.00,  1,   1.00,  1,   1.00,  0,    0,    0,     0),
+    (2,       1.00,  1,   1.00,  80,  0.00,  0,    0,    0,     0),
+    (1,       1.00,  2,   1.00,  1,   1.00,  0,    0,    0.5,   0),
+    (3,       1.00,  2,   1.00,  2,   1.00,  0,    0,    0.5,   0),
+    (2,       1.00,  1,   1.00,  60,  0.00,  0,    0,    0.5,   0),
+    (5,       1.00,  90,  0.00,  4,   1.00,  0,    0,    0.5,   0),
+    (4,       1.00,  60,  0.00,  55,  0.00,  0,    1,    1,     0),
+    (3,       1.00,  60,  0.00,  4,   1.00,  0,    0,    1,     0),
+    (2,       1.00,  80,  0.00,  70,  0.00,  0,    0,    1,     0),
+    (4,       1.00,  3,   1.00,  5,   1.00,  0,    0,    1,     0),
+    (8,       0.90,  30,  0.00,  6,   1.00,  0,    0,    1,     0),
+    (15,      0.80,  90,  0.00,  4,   1.00,  0,    0,    0,     0),
+    (40,      0.70,  60,  0.00,  10,  1.00,  0,    0,    0.5,   0),
+    (60,      0.90,  3,   1.00,  2,   1.00,  0,    0,    0,     0),
+    (12,      0.85,  12,  0.90,  11,  0.80,  0,    1,    0.5,   0),
+    (2,       1.00,  9,   0.00,  0,   0.00,  0,    0,    0.5,   0),
+    (1,       1.00,  1,   1.00,  0,   0.00,  0,    0,    0.5,   0),
+    (6,       1.00,  14,  0.00,  3,   1.00,  0,    0,    0.5,   0),
+    # Beside an article: notices, adverts, copyright lines.
+    (12,      0.00,  40,  0.00,  14,  0.00,  0,    0,    0,     0),
+    (9,       0.00,  90,  0.00,  8,   0.00,  0,    0,    0,     0),
+    (16,      0.00,  0,   0.00,  6,   0.00,  0,    0,    0,     0),
+    (7,       0.00,  12,  0.00,  30,  0.00,  0,    0,    0,     0),
+    (15,      0.00,  3,   0.00,  3,   0.00,  0,    0,    0,     0),
+    (2,       0.00,  20,  0.00,  1,   0.00,  0,    0,    0,     0),
+    (12,      0.00,  14,  0.00,  90,  0.00,  0,    0,    0,     0),
+    (18,      0.00,  60,  0.00,  80,  0.00,  0,    0,    0,     0),
+    (7,       0.00,  1,   1.00,  10,  0.00,  0,    0,    0,     0),
+    (9,       0.00,  1,   1.00,  12,  0.00,  0,    1,    0,     0),
+    (12,      0.10,  40,  0.00,  0,   0.00,  0,    0,    0,     0),
+    (11,      0.00,  90,  0.00,  0,   0.00,  0,    1,    0,     0),
+    (3,       0.00,  4,   0.00,  2,   1.00,  0,    0,    0,     0),
+    (14,      0.00,  6,   1.00,  5,   0.00,  0,    0,    0,     0),
+    (20,      0.30,  3,   1.00,  3,   1.00,  0,    0,    0,     0),
+    (8,       0.00,  0,   0.00,  1,   1.00,  0,    1,    0,     0),
+    (10,      0.00,  30,  0.00,  0,   0.00,  1,    0,    0,     0),
+    (2,       0.00,  1,   1.00,  3,   0.00,  0,    0,    0,     0),
+    (18,      0.00,  8,   0.00,  0,   0.00,  0,    0,    0,     0),
+    # In elements and under names of furniture, however long.
+    (66,      0.00,  60,  0.00,  50,  0.00,  1,    0,    0,     0),
+    (66,      0.00,  60,  0.00,  50,  0.00,  0,    1,    0,     0),
+    (75,      0.00,  4,   0.00,  90,  0.00,  1,    0,    0,     0),
+    (75,      0.00,  4,   0.00,  90,  0.00,  0,    1,    0,     0),
+    (130,     0.00,  90,  0.00,  0,   0.00,  1,    0,    0,     0),
+    (130,     0.00,  90,  0.00,  0,   0.00,  0,    1,    0,     0),
+    (220,     0.00,  60,  0.00,  3,   0.00,  1,    0,    0,     0),
+    (220,     0.00,  60,  0.00,  3,   0.00,  0,    1,    0,     0),
+    (60,      0.00,  80,  0.00,  0,   0.00,  1,    0,    0,     0),
+    (400,     0.00,  60,  0.00,  80,  0.00,  1,    0,    0,     0),
+    (90,      0.00,  90,  0.00,  90,  0.00,  1,    0,    1,     0),
+    (35,      0.00,  5,   0.00,  70,  0.00,  1,    0,    1,     0),
+    (9,       0.00,  9,   0.00,  0,   0.00,  1,    0,    0.5,   0),
+    (25,      0.00,  30,  0.00,  25,  0.00,  1,    0,    0.5,   0),
+    (60,      0.00,  80,  0.00,  70,  0.00,  0,    1,    0,     0),
+    (150,     0.02,  90,  0.00,  12,  0.50,  0,    1,    1,     0),
+    (3,       0.00,  60,  0.00,  9,   0.00,  0,    1,    1,     0),
+    (35,      0.00,  5,   0.00,  70,  0.00,  0,    1,    1,     0),
+    (90,      0.00,  90,  0.00,  90,  0.00,  0,    1,    1,     0),
+    (1,       0.00,  2,   0.00,  1,   0.00,  0,    1,    1,     0),
+    (12,      0.00,  40,  0.00,  30,  0.00,  0,    1,    0.5,   0),
+    (80,      0.00,  60,  0.00,  50,  0.00,  0,    1,    0.5,   0),
+    (9,       0.00,  0,   0.00,  0,   0.00,  0,    1,    0.5,   0),
+    (400,     0.00,  60,  0.00,  80,  0.00,  0,    1,    0.5,   0),
+    # In an article: any text, with some links, of any length.
+    (3,       0.00,  11,  1.00,  0,   0.00,  0,    0,    1,     1),
+    (0,       0.00,  4,   1.00,  0,   0.00,  0,    0,    1,     1),
+    (8,       0.00,  2,   1.00,  0,   0.00,  0,    0,    1,     1),
+    (1,       0.00,  1,   1.00,  0,   0.00,  0,    0,    1,     1),
+    (6,       0.00,  30,  1.00,  0,   0.00,  0,    0,    1,     1),
+    (12,      0.00,  0,   0.00,  2,   0.00,  0,    0,    1,     1),
+    (5,       0.00,  0,   0.00,  2,   1.00,  0,    0,    1,     1),
+    (4,       0.00,  1,   1.00,  2,   1.00,  0,    0,    1,     1),
+    (2,       0.00,  0,   0.00,  1,   1.00,  0,    0,    1,     1),
+    (3,       0.00,  5,   1.00,  0,   0.00,  0,    0,    1,     1),
+    (9,       0.00,  2,   1.00,  0,   0.00,  0,    0,    1,     1),
+    (9,       0.00,  0,   0.00,  2,   0.00,  0,    0,    1,     1),
+    (15,      0.50,  0,   0.00,  2,   0.00,  0,    0,    1,     1),
+    (10,      0.00,  7,   0.00,  90,  0.00,  0,    0,    1,     1),
+    (90,      0.00,  10,  0.00,  2,   0.00,  0,    0,    1,     1),
+    (2,       0.00,  90,  0.00,  40,  0.03,  0,    0,    1,     1),
+    (1,       0.00,  2,   0.00,  12,  0.00,  0,    0,    1,     1),
+    (1,       0.00,  0,   0.00,  0,   0.00,  0,    0,    1,     1),
+    (40,      0.03,  2,   0.00,  300, 0.00,  0,    0,    1,     1),
+    (300,     0.00,  40,  0.03,  9,   0.00,  0,    0,    1,     1),
+    (9,       0.00,  300, 0.00,  11,  0.10,  0,    0,    1,     1),
+    (25,      0.20,  60,  0.00,  30,  0.10,  0,    0,    1,     1),
+    (30,      0.40,  60,  0.00,  30,  0.00,  0,    0,    1,     1),
+    (6,       0.00,  2,   0.00,  7,   0.00,  0,    0,    1,     1),
+    (1,       0.00,  1,   0.00,  1,   0.00,  0,    0,    1,     1),
+    (14,      0.00,  1,   1.00,  6,   0.00,  0,    0,    1,     1),
+    (2,       0.00,  3,   1.00,  1,   0.00,  0,    0,    1,     1),
+    (5,       0.00,  30,  0.00,  6,   1.00,  0,    0,    1,     1),
+    (1,       0.00,  9,   0.00,  2,   1.00,  0,    0,    1,     1),
+    (4,       0.00,  2,   1.00,  3,   1.00,  0,    0,    1,     1),
+    (900,     0.00,  5,   0.00,  4,   0.00,  0,    0,    1,     1),
+    (0,       0.00,  40,  0.00,  40,  0.00,  0,    0,    1,     1),
+    (0,       0.00,  2,   0.00,  0,   0.00,  0,    0,    1,     1),
+    (110,     0.00,  2,   0.00,  70,  0.02,  0,    0,    1,     1),
+    # Long text beside an article, in the run of the text.
+    (66,      0.00,  60,  0.00,  50,  0.00,  0,    0,    0,     1),
+    (75,      0.00,  4,   0.00,  90,  0.00,  0,    0,    0,     1),
+    (130,     0.00,  90,  0.00,  0,   0.00,  0,    0,    0,     1),
+    (220,     0.00,  60,  0.00,  3,   0.00,  0,    0,    0,     1),
+    (90,      0.10,  3,   0.00,  2,   0.00,  0,    0,    0,     1),
+    (400,     0.00,  60,  0.00,  80,  0.00,  0,    0,    0,     1),
+    (300,     0.20,  200, 0.00,  70,  0.00,  0,    0,    0,     1),
+    (110,     0.00,  0,   0.00,  40,  0.00,  0,    0,    0,     1),
+    (150,     0.00,  20,  0.00,  20,  0.00,  0,    0,    0,     1),
+    (120,     0.00,  90,  0.00,  80,  0.00,  0,    0,    0,     1),
+    (65,      0.00,  90,  0.00,  60,  0.00,  0,    0,    0,     1),
+    (90,      0.00,  3,   0.00,  120, 0.00,  0,    0,    0,     1),
+    (70,      0.05,  50,  0.00,  5,   0.00,  0,    0,    0,     1),
+    (200,     0.00,  0,   0.00,  60,  0.00,  0,    0,    0,     1),
+    # Pages without an article: short ones, headings, paragraphs of any length.
+    (4,       0.00,  12,  0.00,  0,   0.00,  0,    0,    0.5,   1),
+    (6,       0.00,  30,  0.00,  0,   0.00,  0,    0,    0.5,   1),
+    (2,       0.00,  8,   0.00,  0,   0.00,  0,    0,    0.5,   1),
+    (8,       0.00,  3,   0.00,  0,   0.00,  0,    0,    0.5,   1),
+    (0,       0.00,  5,   0.00,  0,   0.00,  0,    0,    0.5,   1),
+    (1,       0.00,  0,   0.00,  0,   0.00,  0,    0,    0.5,   1),
+    (200,     0.00,  3,   1.00,  0,   0.00,  0,    0,    0.5,   1),
+    (30,      0.00,  2,   1.00,  0,   0.00,  0,    0,    0.5,   1),
+    (14,      0.00,  1,   1.00,  0,   0.00,  0,    0,    0.5,   1),
+    (60,      0.00,  1,   1.00,  0,   0.00,  0,    0,    0.5,   1),
+    (4,       0.00,  12,  0.00,  1,   1.00,  0,    0,    0.5,   1),
+    (2,       0.00,  30,  0.00,  2,   1.00,  0,    0,    0.5,   1),
+    (5,       0.00,  9,   0.00,  2,   1.00,  0,    0,    0.5,   1),
+    (12,      0.00,  0,   0.00,  2,   0.00,  0,    0,    0.5,   1),
+    (5,       0.00,  0,   0.00,  1,   0.00,  0,    0,    0.5,   1),
+    (3,       0.00,  1,   1.00,  9,   0.00,  0,    0,    0.5,   1),
+    (4,       0.00,  2,   1.00,  11,  0.00,  0,    0,    0.5,   1),
+    (2,       0.00,  1,   1.00,  6,   0.00,  0,    0,    0.5,   1),
+    (3,       0.00,  1,   1.00,  2,   0.00,  0,    0,    0.5,   1),
+    (2,       0.00,  2,   0.00,  1,   0.00,  0,    0,    0.5,   1),
+    (4,       0.00,  0,   0.00,  0,   0.00,  0,    0,    0.5,   1),
+    (4,       0.00,  0,   0.00,  13,  0.00,  0,    0,    0.5,   1),
+    (13,      0.00,  0,   0.00,  20,  0.00,  0,    0,    0.5,   1),
+    (20,      0.00,  13,  0.00,  10,  0.00,  0,    0,    0.5,   1),
+    (10,      0.00,  20,  0.00,  0,   0.00,  0,    0,    0.5,   1),
+    (6,       0.00,  90,  0.00,  120, 0.00,  0,    0,    0.5,   1),
+    (18,      0.00,  70,  0.00,  60,  0.00,  0,    0,    0.5,   1),
+    (45,      0.05,  60,  0.00,  50,  0.00,  0,    0,    0.5,   1),
+    (120,     0.00,  3,   0.00,  2,   0.00,  0,    0,    0.5,   1),
+    (65,      0.00,  90,  0.00,  3,   1.00,  0,    0,    0.5,   1),
+    (50,      0.00,  2,   1.00,  60,  0.00,  0,    0,    0.5,   1),
+    (70,      0.10,  1,   1.00,  1,   1.00,  0,    0,    0.5,   1),
+    (8,       0.00,  2,   0.00,  5,   0.00,  0,    0,    0.5,   1),
+    (3,       0.00,  4,   0.00,  9,   0.00,  0,    0,    0.5,   1),
+    (5,       0.00,  2,   1.00,  90,  0.00,  0,    0,    0.5,   1),
+    (16,      0.00,  45,  0.00,  1,   1.00,  0,    0,    0.5,   1),
+    (12,      0.00,  40,  0.00,  0,   0.00,  0,    0,    0.5,   1),
+    (7,       0.00,  3,   1.00,  15,  0.00,  0,    0,    0.5,   1),
+    (30,      0.40,  60,  0.00,  30,  0.00,  0,    0,    0.5,   1),
+    (24,      0.00,  2,   1.00,  2,   1.00,  0,    0,    0.5,   1),
+    (0,       0.00,  20,  0.00,  20,  0.00,  0,    0,    0.5,   1),
+    (9,       0.00,  12,  0.00,  3,   1.00,  0,    0,    0.5,   1),
+    # Pages without an article: labels between the links of menus and lists.
+    (2,       0.00,  1,   1.00,  2,   1.00,  0,    0,    0.5,   0),
+    (6,       0.00,  1,   1.00,  2,   1.00,  0,    0,    0.5,   0),
+    (1,       0.00,  3,   1.00,  4,   1.00,  0,    0,    0.5,   0),
+    (4,       0.00,  2,   1.00,  1,   1.00,  0,    0,    0.5,   0),
+    (8,       0.00,  4,   1.00,  3,   1.00,  0,    0,    0.5,   0),
+    (5,       0.00,  5,   1.00,  0,   0.00,  0,    0,    0.5,   0),
+    (3,       0.00,  1,   1.00,  0,   0.00,  0,    0,    0.5,   0),
+    (9,       0.00,  2,   1.00,  0,   0.00,  0,    0,    0.5,   0),
+    (4,       0.00,  0,   0.00,  2,   1.00,  0,    0,    0.5,   0),
+    (2,       0.00,  0,   0.00,  1,   1.00,  0,    0,    0.5,   0),
 )
 
 
-def trained(examples: tuple = EXAMPLES, depth: int = 6):
+def trained(examples: tuple = EXAMPLES, depth: int = 8):
     """A decision tree: a label, or (feature, threshold, tree up to it, tree beyond it). Splits lower Gini impurity most."""
     table = np.array(examples, float)
 
@@ -173,11 +285,18 @@ def _names_furniture(name: str, article: bool) -> bool:
             and all(w in _NAMES or w in _AFFIXES or len(w) == 1 for w in words))
 
 
+def _names_readers(name: str) -> bool:
+    """Whether a name as a whole says that readers wrote what is below it."""
+    words = re.findall(r"[a-z]+", name.lower())
+    said = any(w in _READ for w in words) or any(w in _SAID for w in words) and any(w in _READERS for w in words)
+    return said and all(w in _READ or w in _SAID or w in _READERS or w in _NAMES or w in _AFFIXES or len(w) == 1 for w in words)
+
+
 class _Page:
     """Blocks of one page, gathered in a single pass."""
 
     def __init__(self):
-        self.blocks: list[tuple] = []   # text, words, linked words, furniture, article
+        self.blocks: list[tuple] = []   # text, words, linked words, furniture (2: by element, 1: by name), article
         self.open: list[tuple] = []     # name, furniture, article, unseen (2: until the next block) of elements that are not inline
         self.parts: list[tuple] = []    # text, inside a link
         self.link = False
@@ -198,7 +317,7 @@ class _Page:
             text = " ".join(entities.unescape("".join(t for t, _ in self.parts)).split())
             if text:
                 count = lambda some: sum(1 for w in " ".join(some).split() if _WORD.search(w))
-                furniture, article = (self.open[-1][1:3] if self.open else (False, False))
+                furniture, article = (self.open[-1][1:3] if self.open else (0, False))
                 self.blocks.append((text, count([text]), count(entities.unescape(t) for t, linked in self.parts if linked), furniture, article))
             self.parts = []
 
@@ -216,14 +335,21 @@ class _Page:
         if name in _VOID:
             return
         self.end_open_ended()
-        furniture, article = (self.open[-1][1:3] if self.open else (False, False))
+        furniture, article = (self.open[-1][1:3] if self.open else (0, False))
+        named = [n for m in _NAMED.finditer(attributes) if not (article and name in _ANCHORED and m[1].lower() == "id")
+                 for n in (m[2] or m[3] or m[4] or "").split()]
         if name in _ARTICLE:
+            # A page's main part is main whatever its frame is called; comments are often articles of their own.
             article = True
+            if name == "main" and furniture == 1:
+                furniture = 0
+            if name == "article" and any(map(_names_readers, named)):
+                furniture = 2
         elif name not in ("html", "body"):
-            named = (n for m in _NAMED.finditer(attributes) if not (article and name in _ANCHORED and m[1].lower() == "id")
-                     for n in (m[2] or m[3] or m[4] or "").split())
-            furniture = (furniture or name in _FURNITURE or name == "header" and not article or any(_names_furniture(n, article) for n in named)
-                         or bool(_HIDDEN.search(attributes)))
+            if (name in _FURNITURE or name == "header" and not article or any(map(_names_readers, named)) or _HIDDEN.search(attributes)):
+                furniture = 2
+            elif any(_names_furniture(n, article) for n in named):
+                furniture = max(furniture, 1)
         self.open.append((name, furniture, article, self.unseen()))
 
     def start_unseen(self, name: str, is_closed_later: bool) -> None:
@@ -231,7 +357,7 @@ class _Page:
         self.end_open_ended()
         if not self.unseen():
             self.inner = 0
-        furniture, article = (self.open[-1][1:3] if self.open else (False, False))
+        furniture, article = (self.open[-1][1:3] if self.open else (0, False))
         self.open.append((name, furniture, article, self.unseen() or (1 if is_closed_later else 2)))
 
     def end_open_ended(self) -> None:
@@ -264,7 +390,7 @@ def _closes_itself(attributes: str) -> bool:
 
 
 def blocks_of(html: str) -> list[tuple]:
-    """(text, words, linked words, inside furniture, inside an article) of each block."""
+    """(text, words, linked words, furniture around it (2: by element or as reader comments, 1: by name), inside an article) of each block."""
     page, at, size = _Page(), 0, len(html)
     last_close: dict[str, int] = {}
     while at < size:
@@ -308,10 +434,12 @@ def main_texts(pages: list[str], tree) -> list[str]:
         own = blocks_of(html)
         numbers = [(b[1], b[2] / max(b[1], 1)) for b in own]
         around = [(0, 0.0), *numbers, (0, 0.0)]
-        rows += [(*here, *before, *behind, b[3], b[4]) for b, before, here, behind in zip(own, around, around[1:], around[2:])]
+        without = 0.0 if any(b[4] and b[3] < 2 for b in own) else 0.5
+        rows += [(*here, *before, *behind, b[3] == 2, b[3] == 1, 1.0 if b[4] else without)
+                 for b, before, here, behind in zip(own, around, around[1:], around[2:])]
         texts += [b[0] for b in own]
         first.append(len(texts))
-    stays = judged(tree, np.array(rows, float).reshape(-1, 8))
+    stays = judged(tree, np.array(rows, float).reshape(-1, 9))
     return ["\n".join(texts[i] for i in range(a, b) if stays[i]) for a, b in zip(first, first[1:])]
 
 

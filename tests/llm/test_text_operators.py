@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from brute import checked_packs
@@ -210,3 +211,39 @@ def test_quality_with_few_or_no_labels(spark):
         scores = [r["score"] for r in quality.with_scores(docs, quality.fit(docs, labels)).collect()]
         assert scores == pytest.approx([score, score], abs=1e-6)
     assert quality.with_scores(docs.limit(0), quality.fit(docs, none)).count() == 0
+
+
+def test_main_text_by_neighbours_and_places():
+    tree = html_text.trained()
+    words = lambda n, word="w": " ".join([word] * n)
+    main = lambda page: html_text.main_texts([page], tree)[0]
+    assert main("<html><body><div><p>Just a short page.</p></div></body></html>") == "Just a short page."
+    assert main(f"<p>{words(13)}</p><p>{words(20)}</p><p>{words(10)}</p>") == "\n".join(map(words, (13, 20, 10)))
+    # Without any telling name: links and labels between them go, headings and short paragraphs beside a menu stay.
+    menu = "".join(f"<p><a href=x>m{i}</a></p>" for i in range(3)) + "<p>More</p><p><a href=y>last</a></p>"
+    assert main(f"{menu}<h1>Head line here</h1><p>{words(9)}</p><p>{words(4)}</p>{menu}") == f"Head line here\n{words(9)}\n{words(4)}"
+    article = f"<article><p>{words(60)}</p></article>"
+    assert main(f"<p>Ten days left of our sale</p>{article}<p>Written by nobody</p>") == words(60)
+    for name in ("user-reviews", "reader-opinions", "comments", "comment-list"):
+        bad = f'<div class="{name}"><p>{words(70, "bad")}</p></div>'
+        for page in (article + bad, f"<div><p>{words(60)}</p></div>{bad}", article.replace("</article>", bad + "</article>"),
+                     f'<main><p>{words(60)}</p><article class="comment" id="comment-3"><p>{words(70, "bad")}</p></article></main>'):
+            assert main(page) == words(60), page
+    # Reviews that are no readers', and a frame named after what stands beside the main part.
+    assert main(f'<article class="reviews"><p>{words(40)}</p></article>') == words(40)
+    assert main(f'<div class="content-sidebar-wrap"><main><p>{words(60)}</p></main></div>') == words(60)
+
+
+def test_every_linkless_block_of_an_article_stays():
+    tree, rng = html_text.trained(), np.random.default_rng(5)
+    size = 20_000
+    count = lambda: np.where(rng.random(size) < 0.2, 0, np.exp(7 * rng.random(size)).astype(int))
+    link = lambda most: most * rng.random(size)
+    zero = np.zeros(size)
+
+    def judged(own, before, behind, place):
+        return html_text.judged(tree, np.stack([count(), own, count(), before, count(), behind, zero, zero, zero + place], 1))
+
+    assert judged(link(0.4), link(1), link(1), 1).all()
+    assert judged(link(0.4), link(0.4), link(0.4), 0.5).all()
+    assert not judged(0.6 + link(0.4), link(1), link(1), 0.5).any()
