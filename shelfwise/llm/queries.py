@@ -103,7 +103,7 @@ SQL["op1_decontamination"] = r"""
 WITH item_words AS (
     SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-    FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+    FROM benchmark WHERE text IS NOT NULL),
 phrases AS (
     SELECT DISTINCT item_id, unnest(CASE WHEN len(w) < 13 THEN [array_to_string(w, ' ')]
         ELSE list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' ')) END) AS phrase,
@@ -120,7 +120,7 @@ hits AS (SELECT DISTINCT r, i, s.n, item_id
          JOIN phrases p ON s.phrase = p.phrase AND s.n = p.n),
 words_hit AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM hits) GROUP BY r),
 items AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
-          FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY r)
+          FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
 FROM doc_words LEFT JOIN words_hit USING (r) LEFT JOIN items USING (r)

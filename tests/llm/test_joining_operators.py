@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from brute import contaminated, cut, near_copies
@@ -18,7 +19,7 @@ from shelfwise.llm.components import connected
 from shelfwise.llm.fm_index import FMIndex
 from shelfwise.llm.jaccard import NGramJaccard
 from shelfwise.llm.nearest import Plan
-from shelfwise.llm.queries import QUERIES
+from shelfwise.llm.queries import QUERIES, SQL
 
 
 @settings(max_examples=60, deadline=None)
@@ -64,7 +65,12 @@ def test_items_without_id_contaminate(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     named = [(i, t) for i, t in items if i is not None]
-    for r in QUERIES["op1_decontamination"](spark, str(tmp_path)).collect():
+    rows = QUERIES["op1_decontamination"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(map(tuple, rows)) == sorted(con.execute(SQL["op1_decontamination"]).fetchall())
+    for r in rows:
         n_words, n_hit, _, _, bad = contaminated(texts[r["doc_id"]], items, 13)
         _, _, n_items, digest, _ = contaminated(texts[r["doc_id"]], named, 13)
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (n_words, n_hit, n_items, digest, bad)
