@@ -229,6 +229,14 @@ def grape_children(t: Source) -> DataFrame:
     return normalise.grape_children(split, lookup)
 
 
+@add("pairing_children", "SELECT DISTINCT product_id, raw_name AS pairing FROM {raw_grape}")
+def pairing_children(t: Source) -> DataFrame:
+    """Lists that name one thing twice, with blanks around it and between."""
+    names = F.split("p_name", " ")
+    listed = F.concat(names, F.array(F.lit("  ")), F.transform(names, lambda n: F.concat(F.lit(" "), n, F.lit(" "))))
+    return normalise.pairing_children(t.part.select(F.col("p_partkey").alias("product_id"), listed.alias("pairings")))
+
+
 @add("derived_prices", """
 SELECT product_id, sek_per_litre,
   CASE WHEN volume_ml > 0 AND abv > 0 THEN price / (volume_ml * abv / 100.0e0 / 10.0e0) END AS sek_per_cl_alcohol
