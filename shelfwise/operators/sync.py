@@ -61,7 +61,7 @@ class Steps:
         path = f"{self.folder}/{step}"
         if step not in self.done:
             make().write.mode("overwrite").parquet(path)
-            self.spark.createDataFrame([(step,)], "step string").coalesce(1).write.mode("append").parquet(self._log)
+            self.spark.range(0, 1, 1, 1).select(F.lit(step).alias("step")).write.mode("append").parquet(self._log)
             self.done.add(step)
         return self.spark.read.parquet(path)
 
