@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
+
+@contextmanager
+def compiled_in_pieces(spark: SparkSession) -> Iterator[None]:
+    """Wide projections as several methods: the JVM does not compile one beyond 8000 bytes and interprets it for every row."""
+    before = spark.conf.get(_LIMIT)
+    spark.conf.set(_LIMIT, str(min(int(before), 8000)))
+    try:
+        yield
+    finally:
+        spark.conf.set(_LIMIT, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
@@ -33,5 +49,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     instead of the whole lineage.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with compiled_in_pieces(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -365,3 +365,18 @@ def test_review_patches_in_order(spark, monkeypatch, block):
     got = {r.review_id: r.asDict() for r in after.collect()}
     assert {i: {f: row[f] for f in spec.REVIEW_FIELDS} for i, row in got.items()} == want and got[5]["recorded_on"] == "old"
     assert {r.seq: r.reason for r in refused.collect()} == reasons
+
+
+def test_staged_rows_are_compiled_in_pieces(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+    from shelfwise.sources.scratch import staged
+
+    limit, seen, write = "spark.sql.codegen.hugeMethodLimit", [], DataFrameWriter.parquet
+    kept = spark.conf.get(limit)
+    spark.conf.set(limit, "65535")
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: (seen.append(spark.conf.get(limit)), write(self, path)))
+    try:
+        assert staged(spark.range(3), "pieces").count() == 3
+        assert (seen, spark.conf.get(limit)) == (["8000"], "65535")
+    finally:
+        spark.conf.set(limit, kept)
