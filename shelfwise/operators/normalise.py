@@ -18,11 +18,16 @@ READERS = {
 }
 
 
+def parsed_once(raw: DataFrame, raw_col: str) -> DataFrame:
+    """``raw`` plus its text parsed as ``_v``; a generated column, since a filter above a plain one would parse every text again."""
+    return raw.withColumn("_v", F.explode(F.array(F.try_parse_json(raw_col))))
+
+
 def extract_typed(raw: DataFrame, raw_col: str = "raw", columns: tuple[spec.Column, ...] = spec.PRODUCT_COLUMNS,
                   keep: tuple[str, ...] = ()) -> DataFrame:
     """One typed column per specified JSON field, plus ``keep`` and the raw text."""
     v = F.col("_v")
-    parsed = raw.withColumn("_v", F.try_parse_json(F.col(raw_col)))
+    parsed = parsed_once(raw, raw_col)
     fields = [READERS[c.kind](v, c.source).alias(c.name) for c in columns if c.source]
     return parsed.select(*keep, F.col(raw_col), *fields)
 
@@ -131,7 +136,7 @@ def normalise(raw: DataFrame, raw_col: str = "raw", synced_at: str = "synced_at"
     columns to pass on (slice, pass, position) for deduplication.
     """
     v = F.col("_v")
-    parsed = raw.withColumn("_v", F.try_parse_json(F.col(raw_col)))
+    parsed = parsed_once(raw, raw_col)
     fields = [READERS[c.kind](v, c.source).alias(c.name) for c in spec.PRODUCT_COLUMNS if c.source]
     out_of_stock = typed.flag(v, "isCompletelyOutOfStock") | typed.flag(v, "isTemporaryOutOfStock")
     base = parsed.select(

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfwise import spec
 from shelfwise.operators import audit, merge, normalise, publish
+from shelfwise.sources.scratch import compiled_in_pieces
 
 CHILDREN = ("grape", "pairing", "store_product")
 ORDER = ("slice", "pass", "pos")
@@ -60,7 +61,8 @@ class Steps:
     def table(self, step: str, make: Callable[[], DataFrame]) -> DataFrame:
         path = f"{self.folder}/{step}"
         if step not in self.done:
-            make().write.mode("overwrite").parquet(path)
+            with compiled_in_pieces(self.spark):
+                make().write.mode("overwrite").parquet(path)
             self.spark.range(0, 1, 1, 1).select(F.lit(step).alias("step")).write.mode("append").parquet(self._log)
             self.done.add(step)
         return self.spark.read.parquet(path)
@@ -81,10 +83,10 @@ def _rows(records: DataFrame, started_at: datetime) -> DataFrame:
     return normalise.normalise(once.select("raw", F.lit(started_at).alias("synced_at")))
 
 
-def _audit(records: DataFrame, walk: Walk) -> DataFrame:
+def _audit(records: DataFrame, expected: DataFrame, walk: Walk) -> DataFrame:
     """Coverage of every slice that was walked to its end; one that brought nothing is not covered."""
     ended = [(0, walk.failed), (1, walk.failed_again)]
-    walked, planned = records.select(*ORDER, "sweep", "product_id"), walk.expected
+    walked, planned = records.select(*ORDER, "sweep", "product_id"), expected
     for sweep, broken in ended:
         if broken is not None:
             marked = broken.select("slice", F.lit(sweep).alias("sweep")).distinct()
@@ -134,7 +136,8 @@ def sync(root: str, run_id: int, started_at: datetime, walk: Walk, synonyms: Dat
 
     records = steps.table("records", lambda: _records(walk))
     rows = steps.table("rows", lambda: _rows(records, started_at))
-    covered = steps.table("audit", lambda: _audit(records, walk))
+    expected = steps.table("expected", lambda: walk.expected.select("slice", "expected"))  # read three times below
+    covered = steps.table("audit", lambda: _audit(records, expected, walk))
     failures = steps.table("failures", lambda: _failures(walk))
     gate = steps.table("gate", lambda: audit.prune_gate(covered, failures, keep_stale, subset)).first()
 
@@ -165,7 +168,7 @@ def sync(root: str, run_id: int, started_at: datetime, walk: Walk, synonyms: Dat
         row = merge.run_row(run_id, started_at, started_at, rows, covered, failures).drop("snapshot_path")
         last = verdict.first()
         return row.withColumns({
-            "finished_at": F.current_timestamp(), "slices": F.lit(walk.expected.count()), "pruned": F.lit(pruned.first().pruned),
+            "finished_at": F.current_timestamp(), "slices": F.lit(expected.count()), "pruned": F.lit(pruned.first().pruned),
             "publish": F.lit(last.publish), "reason": F.lit(last.reason).cast("string"), "number": F.lit(last.number).cast("bigint")})
 
     return steps.table("run", ended)

@@ -497,7 +497,8 @@ def sync_runs(t: Source) -> DataFrame:
     def records(names_read: F.Column) -> DataFrame:
         """The day's records, each with the names given as its grapes, wherever a walk comes by them."""
         named = F.concat(F.expr("substring(raw, 1, length(raw) - 1)"), F.lit(', "grapes": '), F.to_json(names_read), F.lit("}"))
-        return t.walks.select("slice", F.lit(1).alias("pass"), "pos", "product_id").join(raw.select("product_id", named.alias("raw")), "product_id")
+        found = t.walks.select("slice", F.lit(1).alias("pass"), "pos", "product_id").join(raw.select("product_id", named.alias("raw")), "product_id")
+        return scratch.staged(found, "walk")  # as an extraction leaves it: records, ids, listings and expectations are read from it
 
     def expected(found: DataFrame) -> DataFrame:
         return found.groupBy("slice").agg(F.count_distinct("product_id").alias("expected"))

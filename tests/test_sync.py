@@ -126,3 +126,16 @@ def test_lost_between_the_version_and_the_run_log(spark, tmp_path, lookup):
     again = publish.release(spark, root, folder, minimum=1).first()
     assert (again.publish, again.number, again.products, again.live) == (True, 1, 4, 0)
     assert publish.published(spark, root).count() == 1
+
+
+def test_records_are_parsed_once_and_expectations_worked_out_once(spark, tmp_path, lookup):
+    root = str(tmp_path)
+    plan = sync._records(whole(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
+    breaks = spark.range(1).select(F.lit(1001).cast("long").alias("site_id"), F.raise_error(F.lit("lost")).cast("string").alias("product_id"))
+    with pytest.raises(Exception, match="lost"):
+        sync.sync(root, 1, DAY, whole(spark, assortment=breaks), lookup, minimum=1)
+    gone = spark.createDataFrame([("Vin", 3)], "slice string, expected long").filter(F.raise_error(F.concat(F.lit("read again "), "slice")).isNull())
+    walk = sync.Walk(records(spark, ("Vin", 0, "1", [])), gone)
+    run = sync.sync(root, 1, DAY, walk, lookup, minimum=1).first()
+    assert (run.products, run.slices, run.publish) == (4, 2, True)
