@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from shelfwise.llm.pretokens import SPECIAL, Memo, pieces, portions
+from shelfwise.llm.token_counts import _byte_letters
 from shelfwise.llm.workers import CACHES, ship_code, slices
 from shelfwise.sources.scratch import staged
 
@@ -82,15 +83,19 @@ class Windows:
 
 @lru_cache(maxsize=2)
 def _memo(path: str) -> tuple[Memo, bytes]:
-    """Ids of pre-tokens as little-endian bytes, and those of the special token, by the library."""
+    """Ids of pre-tokens as little-endian bytes, and those of the special token, by the library.
+
+    Its model merges a pre-token at once; a whole tokenizer would cut each again and build an encoding around its ids.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    model, letters = tokenizer.model, {b: letter for letter, b in _byte_letters().items()}
 
     def compute(new: list[bytes]) -> list[bytes]:
         out = []
         for a, b in portions(new):
-            ids = [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in new[a:b]], add_special_tokens=False)]
+            ids = [[t.id for t in model.tokenize(p.decode("latin-1").translate(letters))] for p in new[a:b]]
             flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
             ends = (4 * np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))).tolist()
             out += [flat[x:y] for x, y in zip([0, *ends], ends)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -247,3 +248,22 @@ def test_every_linkless_block_of_an_article_stays():
     assert judged(link(0.4), link(1), link(1), 1).all()
     assert judged(link(0.4), link(0.4), link(0.4), 0.5).all()
     assert not judged(0.6 + link(0.4), link(1), link(1), 0.5).any()
+
+
+def test_new_pre_tokens_cost_less_than_a_whole_tokenizer():
+    """Each word is met for the first time: the model alone gives the library's ids, in well under its time."""
+    tokenizer = Tokenizer.from_file(BPE)
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdeéß½☃\x00\xa0", k=draw.randint(4, 14))) for _ in range(20_000)]
+    texts = [" ".join(words[i:i + 50]) for i in range(0, len(words), 50)]
+    memo, _ = packing._memo(BPE)
+    new = sorted({piece for text in texts for piece in packing.pieces(text.encode())})
+    start = time.process_time()
+    ids = memo.compute(new)
+    middle = time.process_time()
+    whole = tokenizer.encode_batch_fast([piece.decode() for piece in new], add_special_tokens=False)
+    end = time.process_time()
+    assert ids == [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in whole]
+    assert middle - start < 0.75 * (end - middle)
+    assert list(packing.encoded([t.encode() for t in texts], BPE)) == [
+        b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
