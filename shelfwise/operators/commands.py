@@ -468,7 +468,7 @@ def _decide_plain(commands: DataFrame) -> DataFrame:
     spent = total.groupBy(*KEYS).agg(
         F.max(F.when(F.col("_upto") <= F.col("balance"), F.col("_upto"))).alias("_spent"),
         F.min(F.when(F.col("_upto") > F.col("balance"), F.col("seq"))).alias("_refused"))
-    later = total.join(spent.filter(F.col("_refused").isNotNull()), KEYS)
+    later = total.join(spent.filter(F.col("_refused").isNotNull()).hint("merge"), KEYS)
     left = F.col("balance") - F.coalesce("_spent", F.lit(0))
     tail = later.filter((F.col("seq") > F.col("_refused")) & (F.col("quantity") <= left)).withColumn("balance", left)
     from pyspark.sql import Window
@@ -508,14 +508,12 @@ def _decide_racked(commands: DataFrame) -> DataFrame:
     return kept.unionByName(last.select(*KEYS, F.col("_last").alias("seq")))
 
 
-def apply_removals(commands: DataFrame, wines: DataFrame, racked: DataFrame, today: date) -> Applied:
-    """Take bottles out, in ``seq`` order per wine; a refused command changes nothing.
+def _judged_removals(commands: DataFrame, wines: DataFrame, racked: DataFrame) -> DataFrame:
+    """``commands`` with their wine's balance, places and rack, and what is wrong with them before any order counts.
 
-    ``commands``: cellar_id, wine_id, seq, quantity, reason, on_date, rating, note,
-    slots. Refused when more is asked than held, when a named slot does not hold
-    the wine or the slots do not number the bottles, and -- in a cellar with a
-    rack -- when a wine spread over several places is taken from without saying
-    which, unless it is all of it.
+    Spark guesses the wines' size from their files; places split into lists take some forty times that, so a
+    broadcast would hold hundreds of megabytes in every executor before the guess forbids it. Hence the merge joins
+    here and wherever a side has a row per wine or command and comes from files.
     """
     has_rack = racked.select(F.col("cellar_id").alias("_racked")).distinct()
     held = wines.select(*KEYS, F.col("quantity").alias("balance"), "location",
@@ -523,7 +521,7 @@ def apply_removals(commands: DataFrame, wines: DataFrame, racked: DataFrame, tod
         "_in_slots", F.size(F.filter("parts", rules.is_slot)) > 0)
     tidy = F.transform(F.coalesce("slots", F.array().cast("array<string>")), lambda s: F.upper(strip(s)))
     asked = (commands.withColumn("slots", tidy)
-             .join(held.withColumn("_found", F.lit(True)), KEYS, "left")
+             .join(held.withColumn("_found", F.lit(True)).hint("merge"), KEYS, "left")
              .join(has_rack, F.col("cellar_id") == F.col("_racked"), "left"))
     in_range = F.coalesce(F.col("quantity").between(1, spec.MAX_BOTTLES_PER_COMMAND), F.lit(False))
     valid_reason = F.coalesce(F.col("reason").isin(*spec.REMOVAL_REASONS), F.lit(False))
@@ -535,7 +533,19 @@ def apply_removals(commands: DataFrame, wines: DataFrame, racked: DataFrame, tod
         ("rating out of range", ~valid_rating),
         ("more than held", F.col("quantity") > F.col("balance")),
     ])
-    judged = staged(asked.withColumn("_problem", problem), "removals-judged")
+    return asked.withColumn("_problem", problem)
+
+
+def apply_removals(commands: DataFrame, wines: DataFrame, racked: DataFrame, today: date) -> Applied:
+    """Take bottles out, in ``seq`` order per wine; a refused command changes nothing.
+
+    ``commands``: cellar_id, wine_id, seq, quantity, reason, on_date, rating, note,
+    slots. Refused when more is asked than held, when a named slot does not hold
+    the wine or the slots do not number the bottles, and -- in a cellar with a
+    rack -- when a wine spread over several places is taken from without saying
+    which, unless it is all of it.
+    """
+    judged = staged(_judged_removals(commands, wines, racked), "removals-judged")
     valid = judged.filter(F.col("_problem").isNull())
 
     # One bottle per place is what every write to a racked cellar guarantees. Where two places or more
@@ -555,7 +565,7 @@ def apply_removals(commands: DataFrame, wines: DataFrame, racked: DataFrame, tod
 
     took = accepted.select(F.col("cellar_id").alias("a_cellar"), F.col("wine_id").alias("a_wine"),
                            F.col("seq").alias("a_seq"))
-    decided = judged.join(took, (F.col("cellar_id") == F.col("a_cellar")) & (F.col("wine_id") == F.col("a_wine"))
+    decided = judged.join(took.hint("merge"), (F.col("cellar_id") == F.col("a_cellar")) & (F.col("wine_id") == F.col("a_wine"))
                           & (F.col("seq") == F.col("a_seq")), "left")
     done = decided.filter(F.col("a_seq").isNotNull())
     refused = decided.filter(F.col("a_seq").isNull()).select(
@@ -568,7 +578,7 @@ def apply_removals(commands: DataFrame, wines: DataFrame, racked: DataFrame, tod
         F.sum("quantity").cast("int").alias("_out"),
         F.flatten(F.collect_list(F.when(F.size("slots") > 0, F.col("slots")))).alias("_slots"),
         (F.max_by(F.size("slots"), "seq") > 0).alias("_last_named"))
-    joined = wines.join(taken, (F.col("cellar_id") == F.col("t_cellar")) & (F.col("wine_id") == F.col("t_wine")), "left")
+    joined = wines.join(taken.hint("merge"), (F.col("cellar_id") == F.col("t_cellar")) & (F.col("wine_id") == F.col("t_wine")), "left")
     parts = rules.location_parts(F.col("location"))
     remaining = _drop_slots(parts, F.coalesce("_slots", F.array().cast("array<string>")))
     # The last bottle leaves its slots; a command that named its slots has said what is left.

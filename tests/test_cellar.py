@@ -380,3 +380,14 @@ def test_staged_rows_are_compiled_in_pieces(spark, monkeypatch):
         assert (seen, spark.conf.get(limit)) == (["8000"], "65535")
     finally:
         spark.conf.set(limit, kept)
+
+
+def test_removals_broadcast_neither_wines_nor_accepted_commands(spark):
+    """Their size on disk says little of what a broadcast of them takes in memory."""
+    wines, asked = wines_of(spark, {"wine_id": 1, "quantity": 3, "location": "A1, floor, shelf"}), removals_of(spark, [(1, 1, ["A1"]), (1, 9, None)])
+    out = commands.apply_removals(asked, wines, no_rack(spark), TODAY)
+    plan = out.rejects._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert [r.seq for r in out.rejects.collect()] == [2]
+    judged = commands._judged_removals(asked, wines, no_rack(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in judged
