@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from shelfwise.llm.workers import forget_others, give_back
 from shelfwise.sources.scratch import staged
 
 #: Records of a bucket, all of which one task sorts.
@@ -28,25 +29,38 @@ def multikey_order(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bucket in order, without records that nothing here or beyond the boundaries can equal."""
-    parts = list(batches)
+    """The bucket in order, without records that nothing here or beyond the boundaries can equal.
+
+    The bucket is held once; only the records that stay are copied.
+    """
+    forget_others()
+    out = _kept(list(batches))
+    if out is not None:
+        yield from out.to_batches(max_chunksize=50_000)
+    out = None
+    give_back()
+
+
+def _kept(parts: list[pa.RecordBatch]) -> pa.Table | None:
     table = pa.Table.from_batches(parts) if parts else None
     if table is None or not table.num_rows:
-        return
+        return None
     t1, t2 = (table.column(c).to_numpy() for c in ("t1", "t2"))
     order = multikey_order(t1, t2)
     t1, t2 = t1[order], t2[order]
     new1 = np.concatenate(([True], t1[1:] != t1[:-1]))
     new2 = new1 | np.concatenate(([True], t2[1:] != t2[:-1]))
+    del t1, t2
     run1, run2 = np.cumsum(new1) - 1, np.cumsum(new2) - 1
     same = np.bincount(run2)[run2] > 1
+    del run2
     many = np.bincount(run1[new2])[run1] > 1
-    stays = same | many | (run1 == 0) | (run1 == run1[-1])
-    out = table.take(pa.array(order)).combine_chunks()
+    stays = np.flatnonzero(same | many | (run1 == 0) | (run1 == run1[-1]))
+    del run1
+    out = table.take(pa.array(order[stays]))
     for name, values in (("same", same), ("many", many), ("leads", new2)):
-        out = out.append_column(name, pa.array(values))
-    out = out.append_column("bucket", pa.array(np.full(len(order), TaskContext.get().partitionId(), np.int32)))
-    yield from out.filter(pa.array(stays)).to_batches(max_chunksize=50_000)
+        out = out.append_column(name, pa.array(values[stays]))
+    return out.append_column("bucket", pa.array(np.full(len(stays), TaskContext.get().partitionId(), np.int32)))
 
 
 def compared(records: DataFrame, name: str) -> DataFrame:

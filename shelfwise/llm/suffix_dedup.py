@@ -48,6 +48,8 @@ from shelfwise.sources.scratch import staged
 
 #: Offsets that are looked at together before single ones (an eighth of the length at most).
 PART = 16
+#: Bytes of texts whose arrays, some hundred times as large, a worker holds at once (of a longer text: all).
+HELD = 1 << 18
 _NAME = ["d", "n_bytes"]
 
 
@@ -162,7 +164,7 @@ def _run_records(length: int, gram: int, unit: _Unit):
         for batch in slices(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             d, size = (np.asarray(batch.column(c)) for c in _NAME)
-            for a, b in portions(texts, 1 << 20):
+            for a, b in portions(texts, HELD):
                 held = Substrings([unit.of(t) for t in texts[a:b]], unit.width)
                 owner, first, last, anchor = anchored_runs(held, length, gram)
                 t2 = _salted(held.hash(first, last + length), anchor - first)
@@ -206,7 +208,7 @@ def _part_records(length: int, unit: _Unit):
         for batch in slices(batches):
             strings = batch.column("string").to_pylist()
             d, size, first, span, offset = (np.asarray(batch.column(c)).astype(np.int64) for c in (*_NAME, "first", "span", "offset"))
-            for a, b in portions(strings, 1 << 20):
+            for a, b in portions(strings, HELD):
                 held = Substrings(strings[a:b], unit.width)
                 at, highest, lowest = held.starts + offset[a:b], offset[a:b], offset[a:b] - span[a:b]  # of the anchors, in the joined strings
                 n = highest // size_of - lowest // size_of + 1
@@ -231,7 +233,7 @@ def _window_records(length: int, unit: _Unit):
         for batch in slices(batches):
             strings, offsets = batch.column("string").to_pylist(), batch.column("offsets").to_pylist()
             d, size, first, offset = (np.asarray(batch.column(c)).astype(np.int64) for c in (*_NAME, "first", "offset"))
-            for a, b in portions(strings, 1 << 20):
+            for a, b in portions(strings, HELD):
                 held = Substrings(strings[a:b], unit.width)
                 own = np.array([i for i, parts in enumerate(offsets[a:b]) for p in parts for _ in range(p["low"], p["high"] + 1)], np.int64)
                 o = np.array([o for parts in offsets[a:b] for p in parts for o in range(p["low"], p["high"] + 1)], np.int64)

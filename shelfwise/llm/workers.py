@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -33,16 +34,30 @@ def ship_code(spark: SparkSession) -> None:
 CACHES: dict[str, Callable[[], None]] = {}
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 512, keeps: str | None = None) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` a few hundred at a time, so that few texts are Python objects at once.
+def give_back() -> None:
+    """What Arrow and the C library hold in reserve goes back to the system (the latter where it is glibc)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
-    Workers serve one stage after another: what others remember is dropped first, all but ``keeps``, and what
-    Arrow holds in reserve goes back to the system at the end of a task.
-    """
+
+def forget_others(keeps: str | None = None) -> None:
+    """Workers serve one stage after another: what others remember is dropped, all but ``keeps``."""
     for name, forget in CACHES.items():
         if name != keeps:
             forget()
+    give_back()
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512, keeps: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` a few hundred at a time, so that few texts are Python objects at once.
+
+    Before the first and after the last, memory that is not in use goes back to the system: an idle worker stays.
+    """
+    forget_others(keeps)
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
-    pa.default_memory_pool().release_unused()
+    batch = None
+    give_back()
