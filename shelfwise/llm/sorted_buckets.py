@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -53,6 +54,8 @@ def _kept(parts: list[pa.RecordBatch]) -> pa.Table | None:
     del t1, t2
     run1, run2 = np.cumsum(new1) - 1, np.cumsum(new2) - 1
     same = np.bincount(run2)[run2] > 1
+    if "more" in table.column_names:
+        same |= pc.greater(table.column("more"), 0).to_numpy()[order]
     del run2
     many = np.bincount(run1[new2])[run1] > 1
     stays = np.flatnonzero(same | many | (run1 == 0) | (run1 == run1[-1]))
@@ -66,7 +69,8 @@ def _kept(parts: list[pa.RecordBatch]) -> pa.Table | None:
 def compared(records: DataFrame, name: str) -> DataFrame:
     """``records`` (t1, t2, salt, ...) that share t1 with another, with three flags:
 
-    same: another record has the same t1 and t2; many: records with this t1 have
+    same: another record has the same t1 and t2, or this one's ``more`` (if records have
+    that column) is over 0, as it stands for several such; many: records with this t1 have
     several t2; leads: this is the first of the records with its t1 and t2.
 
     Sampled splitters over (t1, t2, salt) cut the records into even ranges, whatever the

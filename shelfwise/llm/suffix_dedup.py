@@ -6,7 +6,8 @@ content-chosen anchors only. A window (``length`` bytes from one place) has as i
 the place whose next ``GRAM`` bytes hash lowest in it; equal windows therefore have
 their anchors at the same offset. Neighbouring windows with one anchor are a *run*, and a run
 is one suffix record of two tokens: the anchor's bytes lead, the run's whole string
-follows.
+follows. Where a text repeats itself with a short period, run after run has the same
+tokens; those are one record, which is known to repeat.
 
 Records are range-partitioned by sampled splitters, each bucket is sorted by a
 multikey sort and compared with its neighbours' edges (``sorted_buckets``):
@@ -142,14 +143,14 @@ def _cuts(texts: DataFrame, length: int, unit: _Unit = _BYTES) -> DataFrame:
     parts = compared(staged(strings.mapInArrow(_part_records(length, unit), _PART), "parts"), "parts")
     asked = parts.filter("many and leads").groupBy(*_NAME, "first").agg(F.collect_list(F.struct("high", "low")).alias("offsets"))
     singles = compared(staged(strings.join(asked, [*_NAME, "first"]).mapInArrow(_window_records(length, unit), _WINDOW), "windows"), "windows")
-    ranges = (runs.filter("same").select(*_NAME, F.struct("first", (F.col("first") + F.col("span") + length).alias("end")).alias("range"))
+    ranges = (runs.filter("same").select(*_NAME, F.struct("first", (F.col("first") + F.col("span") + F.col("more") + length).alias("end")).alias("range"))
               .unionByName(parts.filter("same").select(*_NAME, F.struct((F.col("anchor") - F.col("high")).alias("first"),
                                                                         (F.col("anchor") - F.col("low") + length).alias("end")).alias("range")))
               .unionByName(singles.filter("same").select(*_NAME, F.struct("first", (F.col("first") + length).alias("end")).alias("range"))))
     return ranges.groupBy(*_NAME).agg(F.collect_set("range").alias("cut"))  # as many as one text has
 
 
-_RUN = "t1 long, t2 long, salt long, d long, n_bytes long, first long, span int, offset int"
+_RUN = "t1 long, t2 long, salt long, d long, n_bytes long, first long, span int, offset int, more long"
 _PART = "t1 long, t2 long, salt long, d long, n_bytes long, first long, anchor long, high int, low int"
 _WINDOW = "t1 long, t2 long, salt long, d long, n_bytes long, first long"
 
@@ -167,12 +168,16 @@ def _run_records(length: int, gram: int, unit: _Unit):
             for a, b in portions(texts, HELD):
                 held = Substrings([unit.of(t) for t in texts[a:b]], unit.width)
                 owner, first, last, anchor = anchored_runs(held, length, gram)
-                t2 = _salted(held.hash(first, last + length), anchor - first)
-                at = first - held.starts[owner]
+                t1, t2 = held.hash(anchor, anchor + gram), _salted(held.hash(first, last + length), anchor - first)
+                goes_on = np.zeros(len(owner), bool)
+                goes_on[1:] = (t1[1:] == t1[:-1]) & (t2[1:] == t2[:-1]) & (owner[1:] == owner[:-1])
+                lead = np.flatnonzero(~goes_on)
+                more = last[np.append(lead[1:], len(owner))[:len(lead)] - 1] - last[lead]
+                t1, t2, owner, first, last, anchor = (x[lead] for x in (t1, t2, owner, first, last, anchor))
                 yield pa.RecordBatch.from_arrays(
-                    [_long(held.hash(anchor, anchor + gram)), _long(t2), _long(_salts(len(owner), done)), _long(d[a:b][owner]), _long(size[a:b][owner]),
-                     _long(at), pa.array((last - first).astype(np.int32)), pa.array((anchor - first).astype(np.int32))],
-                    names=["t1", "t2", "salt", *_NAME, "first", "span", "offset"])
+                    [_long(t1), _long(t2), _long(_salts(len(owner), done)), _long(d[a:b][owner]), _long(size[a:b][owner]),
+                     _long(first - held.starts[owner]), pa.array((last - first).astype(np.int32)), pa.array((anchor - first).astype(np.int32)), _long(more)],
+                    names=["t1", "t2", "salt", *_NAME, "first", "span", "offset", "more"])
                 done += len(owner)
 
     return make

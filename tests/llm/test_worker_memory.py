@@ -58,3 +58,17 @@ def test_workers_forget_before_a_bucket_is_sorted(monkeypatch):
     monkeypatch.setitem(workers.CACHES, "other", lambda: forgotten.append("other"))
     assert list(_sorted(iter([]))) == []
     assert forgotten == ["other"]
+
+
+def test_a_short_period_is_one_record(monkeypatch):
+    """However long the text that repeats itself, in bytes and in words."""
+    monkeypatch.setattr(suffix_dedup, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    for unit, length in ((suffix_dedup._BYTES, 400), (suffix_dedup._WORDS, 51)):
+        for times in (1000, 2000):
+            text = "lorem " * times
+            batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([len(text)]), pa.array([text])], names=["d", "n_bytes", "text"])
+            made = pa.Table.from_batches(suffix_dedup._run_records(length, length // 2, unit)(iter([batch]))).to_pylist()
+            assert len(made) < 10
+            places = len(unit.of(text.encode())) // unit.width - length + 1
+            assert sum(r["span"] + r["more"] + 1 for r in made) == places
+            assert sum(r["more"] for r in made) > places - 100
