@@ -155,8 +155,9 @@ FROM sets s JOIN reached ON s.r = reached.r JOIN sets o ON o.r = reached.root GR
 
 @registered
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (suffix_dedup.with_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=True)
-            .select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"))
+    """By the contract, strings of 400 bytes; ``text`` is without repeated passages of over 50 words as well, as in the pipeline."""
+    return (suffix_dedup.with_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=True, words=51, less="text")
+            .select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text"))
 
 
 @registered

@@ -65,15 +65,17 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def with_spans(docs: DataFrame, length: int = 400, text: str = "text", keep_text: bool = False, words: int | None = None) -> DataFrame:
+def with_spans(docs: DataFrame, length: int = 400, text: str = "text", keep_text: bool = False, words: int | None = None,
+               less: str | None = None) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans, kept_sha256, spans ([first, end) in bytes, merged) and, if asked, kept.
 
-    kept is the text that stays; of a character that a cut goes through, nothing stays in it.
+    kept is the text that stays; of a character that a cut goes through, nothing stays in it. If ``less`` names one more
+    column, it is the text that stays when windows of ``words`` words go too, and all other results are of bytes alone.
     """
     spark = docs.sparkSession
     ship_code(spark)
     new = T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
-                                   "spans array<struct<first: long, end: long>>" + ", kept string" * keep_text)
+                                   "spans array<struct<first: long, end: long>>" + ", kept string" * keep_text + (f", `{less}` string" if less else ""))
     rest = docs.drop(*(set(new.names) - {text}))
     digest, size, cut_at, word_cut_at = unused(rest, "d", "n_bytes_", "cut", "word_cut")
     whole = F.coalesce(text, F.lit(""))
@@ -91,12 +93,14 @@ def with_spans(docs: DataFrame, length: int = 400, text: str = "text", keep_text
             word_cuts = batch.column(word_cut_at).to_pylist() if words else [None] * batch.num_rows
             for data, cut, word_cut in zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column(cut_at).to_pylist(), word_cuts):
                 data = data or b""
-                spans = _merged((cut or []) + _in_bytes(data, word_cut or []))
-                kept = b"".join(data[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(f for f, _ in spans), len(data)]))
+                both = _merged((cut or []) + _in_bytes(data, word_cut or []))
+                spans = _merged(cut or []) if less else both
+                kept = _without(data, spans)
                 rows.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(),
-                             [{"first": a, "end": b} for a, b in spans], kept.decode(errors="ignore"))[:len(added)])
+                             [{"first": a, "end": b} for a, b in spans], *[kept.decode(errors="ignore")] * keep_text,
+                             *[_without(data, both).decode(errors="ignore")] * bool(less)))
             columns = list(zip(*rows)) or [[] for _ in added]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct({"first": pa.int64(), "end": pa.int64()})), pa.string()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct({"first": pa.int64(), "end": pa.int64()})), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns_kept), *(pa.array(c, k) for c, k in zip(columns, kinds))],
                                              names=[*columns_kept, *added])
 
@@ -113,6 +117,10 @@ def _merged(cut: list[dict]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def _without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    return b"".join(data[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(f for f, _ in spans), len(data)]))
+
+
 def _in_bytes(data: bytes, cut: list[dict]) -> list[dict]:
     """Ranges of words as ranges of bytes, from the first word's first byte to the last word's end."""
     if not cut:

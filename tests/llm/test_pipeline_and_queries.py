@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import subprocess
 import sys
 from pathlib import Path
@@ -58,6 +59,25 @@ def test_suffix_dedup_query_equals_brute_force(spark, sf_dir):
     assert sorted(map(tuple, got)) == sorted(expected)
 
 
+def test_suffix_dedup_query_cuts_passages_of_over_50_words(spark, sf_dir, tmp_path):
+    """Shorter than 400 bytes: the contract's columns leave them, text does not."""
+    rng = random.Random(7)
+    words = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(n))
+    passage, short = words(52), words(50)
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(9_000_000 + i, f"{words(30)} {p} {words(30)}") for i, p in enumerate((passage, passage, short, short, "alone"))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op7_suffix_dedup"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    data = [(t or "").encode() for _, t in rows]
+    for (doc_id, text), by_bytes, (_, less) in zip(rows, cut(data, 400), cut_both(data, 400, 51)):
+        r = got[doc_id]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["kept"], r["text"]) == (*by_bytes, less)
+    planted = [got[9_000_000 + i] for i in range(5)]
+    assert [r["n_removed"] for r in planted] == [0] * 5
+    assert [passage in r["text"] for r in planted[:2]] == [False] * 2 and [r["text"] for r in planted[2:]] == [t for _, t in rows[-3:]]
+
+
 def test_stages_one_after_the_other(spark, sf_dir, documents, tmp_path):
     stages, docs = dict(corpus_pipeline.STAGES), documents
     rows = lambda df: df.select("doc_id", "text", "n_chars", "lang", "source").collect()
