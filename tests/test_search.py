@@ -237,7 +237,7 @@ def test_similarity_sends_no_rows_per_product_to_the_driver(spark):
                                      "clock_tannin INT, clock_sweetness INT, clock_fruitacid INT, availability_rank INT, is_discontinued BOOLEAN")
     grapes = spark.createDataFrame([(i, f"g{i % 3}") for i in range(60)], "product_id INT, grape STRING")
     plans = [similar._cells(products, similar.grape_sets(grapes), "product_id", "cat2")] + [
-        find_similar(products, products, grapes, 3, cheaper) for cheaper in (True,)]
+        find_similar(products, products, grapes, 3, cheaper) for cheaper in (True, False)]
     for df in plans:
         joins_of = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [" in line]
         per_product = [line for line in joins_of if "_gkey#" in line or "s_set#" in line]
