@@ -21,6 +21,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfwise import spec
+from shelfwise.functions import typed
 from shelfwise.operators import audit, merge, normalise, publish
 from shelfwise.sources.scratch import compiled_in_pieces
 
@@ -73,13 +74,15 @@ def _records(walk: Walk) -> DataFrame:
     both = walk.first.select(*ORDER, "raw", F.lit(0).alias("sweep"))
     if walk.retried is not None:
         both = both.unionByName(walk.retried.select(*ORDER, "raw", F.lit(1).alias("sweep")))
-    named = normalise.typed_columns(both, {"product_id": ("string", "productId")}, keep=(*ORDER, "sweep"))
+    # A generated column like the parsed text: as a plain one the id is read twice, for the filter and for the row.
+    product_id = F.explode(F.array(typed.text(F.col("_v"), "productId")))
+    named = normalise.parsed_once(both, "raw").select(*ORDER, "sweep", "raw", product_id.alias("product_id"))
     return named.filter(F.col("product_id") != "")
 
 
 def _rows(records: DataFrame, started_at: datetime) -> DataFrame:
     """Each product once, typed: the first sweep before the second, then by slice, pass and place."""
-    once = merge.first_by(records, ["product_id"], [F.col("sweep"), *[F.col(c) for c in ORDER]])
+    once = records.groupBy("product_id").agg(F.min_by("raw", F.struct("sweep", *ORDER)).alias("raw"))
     return normalise.normalise(once.select("raw", F.lit(started_at).alias("synced_at")))
 
 
@@ -95,7 +98,7 @@ def _audit(records: DataFrame, expected: DataFrame, walk: Walk) -> DataFrame:
         planned = planned.join(walk.failed_again.select("slice"), "slice", "left_anti")
     covered = audit.coverage_audit(walked, planned)
     zero = F.lit(0).cast("bigint")
-    silent = planned.join(walked.select("slice"), "slice", "left_anti").select(
+    silent = planned.join(walked.select("slice").distinct(), "slice", "left_anti").select(
         "slice", "expected", zero.alias("rows"), zero.alias("unique_ids"), zero.alias("passes"), F.lit(False).alias("complete"))
     return covered.unionByName(silent)
 

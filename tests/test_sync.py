@@ -139,3 +139,22 @@ def test_records_are_parsed_once_and_expectations_worked_out_once(spark, tmp_pat
     walk = sync.Walk(records(spark, ("Vin", 0, "1", [])), gone)
     run = sync.sync(root, 1, DAY, walk, lookup, minimum=1).first()
     assert (run.products, run.slices, run.publish) == (4, 2, True)
+
+
+def test_ids_are_read_once_and_slices_meet_expectations_once(spark, tmp_path, lookup):
+    """A walk has many records for each product and slice: of none is the id read twice, or the slice sorted for the join."""
+    found = whole(spark)
+    records_ = sync._records(found)
+    assert records_._jdf.queryExecution().optimizedPlan().toString().count("$.productId, StringType") == 1
+    audited = sync._audit(records_, found.expected, found)
+    lines = audited._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    anti = next(n for n, line in enumerate(lines) if "Join LeftAnti" in line)
+    right = [lines[n] for n in range(anti + 1, len(lines)) if depth[n] == depth[anti] + 3][1]
+    assert "Aggregate [slice#" in right
+    assert {(r.slice, r.rows, r.unique_ids, r.complete) for r in audited.collect()} == {("Vin", 3, 3, True), ("Beer", 2, 2, True)}
+    # Of several records the first sweep's, then the first by slice, pass and place is kept, whatever the others say.
+    again = sync.Walk(records(spark, ("B", 0, "1", ["late"]), ("A", 5, "1", ["first"]), ("A", 7, "1", [])), expected(spark, A=1, B=1),
+                      retried=records(spark, ("A", 0, "1", ["retried"]), ("A", 1, "2", ["only"]), ("A", 2, " ", [])))
+    rows = sync._rows(sync._records(again), DAY)
+    assert {r.product_id: r.grapes for r in rows.collect()} == {"1": ["first"], "2": ["only"]}
